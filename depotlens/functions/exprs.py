@@ -148,14 +148,32 @@ def lsn_to_long(lsn: Column) -> Column:
 
 
 def size_pretty(nbytes: Column) -> Column:
-    """Human readable byte count: bytes, kB, MB, GB, TB (1024 steps, rounded)."""
-    n = nbytes.cast("double")
-    a = F.abs(n)
-    out = F.when(a < 10 * 1024, F.concat(nbytes.cast("long").cast("string"), F.lit(" bytes")))
-    for i, unit in enumerate(["kB", "MB", "GB"], start=1):
-        out = out.when(a < 10 * 1024 ** (i + 1),
-                       F.concat(F.round(n / (1024 ** i)).cast("long").cast("string"), F.lit(" " + unit)))
-    return out.otherwise(F.concat(F.round(n / 1024 ** 4).cast("long").cast("string"), F.lit(" TB")))
+    """Human readable byte count in the server's style: below 10 kB in bytes,
+    then kB, MB, GB, TB in 1024 steps, each rounded half up from one extra
+    binary digit (shift by 9, 10, 10, 10 bits; value (x + 1) div 2)."""
+    b = nbytes.cast("long")
+    out = F.when(F.abs(b) < 10 * 1024, F.concat(b.cast("string"), F.lit(" bytes")))
+    x = F.shiftright(b, 9)
+    for unit in ["kB", "MB", "GB"]:
+        half = idiv(x + F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)), F.lit(2))
+        out = out.when(F.abs(x) < 20 * 1024 - 1, F.concat(half.cast("string"), F.lit(" " + unit)))
+        x = F.shiftright(x, 10)
+    half = idiv(x + F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)), F.lit(2))
+    return out.otherwise(F.concat(half.cast("string"), F.lit(" TB")))
+
+
+def sql_size_pretty(nbytes: str) -> str:
+    b = f"CAST({nbytes} AS BIGINT)"
+    parts = [f"WHEN abs({b}) < 10240 THEN CAST({b} AS VARCHAR) || ' bytes'"]
+    shift = 9
+    for unit in ["kB", "MB", "GB"]:
+        x = f"({b} >> {shift})"
+        parts.append(f"WHEN abs({x}) < 20479 THEN CAST((({x}) + CASE WHEN {x} < 0 THEN -1 ELSE 1 END) // 2 AS VARCHAR)"
+                     f" || ' {unit}'")
+        shift += 10
+    x = f"({b} >> {shift})"
+    return (f"(CASE {' '.join(parts)} ELSE CAST((({x}) + CASE WHEN {x} < 0 THEN -1 ELSE 1 END) // 2 AS VARCHAR)"
+            f" || ' TB' END)")
 
 
 # ---------------------------------------------------------------------------

@@ -53,6 +53,8 @@ def all_queries() -> dict[str, Query]:
         out.update(primitives.PRIMITIVES)
     except ImportError:  # pragma: no cover - during bootstrap
         pass
+    from .operations import OPERATIONS
+    out.update(OPERATIONS)
     return out
 
 
