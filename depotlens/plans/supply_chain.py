@@ -13,7 +13,12 @@ per-side aggregates:
   equals mean(ship ts) - mean(receive ts) of the two groups.
 
 So each side is reduced to one row per (warehouse, day) first and only the
-day aggregates are paired.  The WHERE (receive >= c OR ship >= c) with a
+day aggregates are paired.  Per side, the exact mean timestamp is kept as a
+floor quotient and remainder of longs (mean = q + r/n, 0 <= r < n); the pair
+then needs long arithmetic only: with D = q_b - q_a and s = sign(r_b n_a -
+r_a n_b), the rounded hours are round_half_away((2D + s) / 72e6) / 100 --
+exact, because every rounding boundary of (mean_b - mean_a) / 36e6 lies on a
+whole microsecond while a non-zero fractional part never does.  The WHERE (receive >= c OR ship >= c) with a
 midnight-aligned cut-off c is decided by the day alone, and is split into
 (recent receive days x all ship days) UNION ALL (other receive days x recent
 ship days): every pair produced is an output row, no pair is filtered away.
@@ -27,27 +32,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.exprs import (BIG, MICROS_PER_HUNDREDTH_HOUR, avg_hours2, bucket, micros_between, minus,
-                               round2, ts_lit)
+from ..functions.exprs import (BIG, MICROS_PER_HUNDREDTH_HOUR, avg_hours2, bucket, hundredths, idiv,
+                               micros_between, minus, round2, round_half_away, ts_lit)
 from ..functions.rules import ladder
 from ..sources.tables import Tables
 from .warehouse import SIDES, activity_rollup
 
 
 def side_days(t: Tables, activity: str, as_of: dt.date, prefix: str, day_name: str) -> DataFrame:
-    """warehouses LEFT JOIN header LEFT JOIN items, reduced to (warehouse, day)."""
+    """warehouses LEFT JOIN header LEFT JOIN items, reduced to (warehouse, day):
+    joined-row count, distinct headers, quantity, rounded average duration and
+    the exact mean event time (relative to as_of) as long quotient/remainder."""
     head, key, ts, _, _, _, _ = SIDES[activity]
     per = activity_rollup(t, activity).withColumn("rel_us", micros_between(ts_lit(as_of), F.col(ts)))
     w, dur, rel = F.col("w"), F.col("dur_us"), F.col("rel_us")
     g = per.groupBy("warehouse_id", bucket(F.col(ts), "day").alias(day_name)).agg(
-        F.sum(w).alias(f"{prefix}_rows"), F.count(key).alias(f"{prefix}_ids"), F.sum("qty").alias(f"{prefix}_qty"),
-        F.sum(dur.cast(BIG) * w).alias(f"{prefix}_hsum"), F.sum(F.when(dur.isNotNull(), w)).alias(f"{prefix}_hn"),
-        F.sum(rel.cast(BIG) * w).alias(f"{prefix}_esum"), F.sum(F.when(rel.isNotNull(), w)).alias(f"{prefix}_en"))
+        F.sum(w).alias("rows"), F.count(key).alias("ids"), F.sum("qty").alias("qty"),
+        F.sum(dur.cast(BIG) * w).alias("hsum"), F.sum(F.when(dur.isNotNull(), w)).alias("hn"),
+        F.sum(rel.cast(BIG) * w).alias("esum"), F.sum(F.when(rel.isNotNull(), w)).alias("en"))
+    en = F.nullif(F.col("en"), F.lit(0))
+    q0 = idiv(F.col("esum"), en)
+    r0 = F.col("esum") - q0 * en
+    g = g.select("warehouse_id", day_name, "rows", "ids", "qty",
+                 avg_hours2(F.col("hsum"), F.col("hn")).alias("hours"),
+                 F.when(r0 < 0, q0 - 1).otherwise(q0).cast("long").alias("q"),
+                 F.when(r0 < 0, r0 + en).otherwise(r0).cast("long").alias("r"), en.alias("en"))
     wh = t["warehouses"].select("warehouse_id", "warehouse_name", "region")
     j = wh.join(g, "warehouse_id", "left")
     # a warehouse without any header row still yields one all-NULL joined row
-    return j.withColumn(f"{prefix}_rows", F.coalesce(F.col(f"{prefix}_rows"), F.lit(1))) \
-            .withColumn(f"{prefix}_ids", F.coalesce(F.col(f"{prefix}_ids"), F.lit(0)))
+    return j.select("warehouse_id", "warehouse_name", "region", day_name,
+                    *[F.col(c).alias(f"{prefix}_{c}") for c in ("qty", "hours", "q", "r", "en")],
+                    F.coalesce(F.col("rows"), F.lit(1)).alias(f"{prefix}_rows"),
+                    F.coalesce(F.col("ids"), F.lit(0)).alias(f"{prefix}_ids"))
 
 
 def supply_chain(t: Tables, as_of: dt.date, days: int = 30, mode: str = "reference") -> DataFrame:
@@ -57,23 +73,22 @@ def supply_chain(t: Tables, as_of: dt.date, days: int = 30, mode: str = "referen
         raise ValueError(mode)
     cut = ts_lit(minus(as_of, days=days))
     a = side_days(t, "Receiving", as_of, "a", "receive_date")
-    b = side_days(t, "Shipping", as_of, "b", "ship_date").select(
-        "warehouse_id", "ship_date", *[f"b_{x}" for x in ("rows", "ids", "qty", "hsum", "hn", "esum", "en")])
+    b = side_days(t, "Shipping", as_of, "b", "ship_date").drop("warehouse_name", "region")
     a_recent = F.coalesce(F.col("receive_date") >= cut, F.lit(False))
     pairs = (a.where(a_recent).join(b, "warehouse_id", "inner")
              .unionByName(a.where(~a_recent).join(b.where(F.col("ship_date") >= cut), "warehouse_id", "inner")))
     ref = mode == "reference"
     q_recv = F.col("a_qty") * F.col("b_rows") if ref else F.col("a_qty")
     q_ship = F.col("b_qty") * F.col("a_rows") if ref else F.col("b_qty")
-    proc_num = F.col("b_esum") * F.col("a_en") - F.col("a_esum") * F.col("b_en")
-    proc_den = F.col("a_en").cast(BIG) * F.col("b_en").cast(BIG) * MICROS_PER_HUNDREDTH_HOUR
+    frac_sign = F.signum(F.col("b_r") * F.col("a_en") - F.col("a_r") * F.col("b_en")).cast("long")
+    proc_h = round_half_away((F.col("b_q") - F.col("a_q")) * 2 + frac_sign, F.lit(2 * MICROS_PER_HUNDREDTH_HOUR))
     s = pairs.select(
         "warehouse_name", "region", "receive_date", "ship_date",
         F.col("a_ids").alias("receipts_count"), q_recv.alias("total_quantity_received"),
-        avg_hours2(F.col("a_hsum"), F.col("a_hn")).alias("avg_receiving_time_hours"),
+        F.col("a_hours").alias("avg_receiving_time_hours"),
         F.col("b_ids").alias("shipments_count"), q_ship.alias("total_quantity_shipped"),
-        avg_hours2(F.col("b_hsum"), F.col("b_hn")).alias("avg_shipping_time_hours"),
-        round2(proc_num, proc_den).alias("avg_processing_time_hours"))
+        F.col("b_hours").alias("avg_shipping_time_hours"),
+        hundredths(proc_h).alias("avg_processing_time_hours"))
     recv, ship = F.col("total_quantity_received"), F.col("total_quantity_shipped")
     hours = {"recv": F.col("avg_receiving_time_hours"), "ship": F.col("avg_shipping_time_hours"),
              "proc": F.col("avg_processing_time_hours")}
