@@ -32,7 +32,7 @@ def _lsn_text(pos: Column) -> Column:
 
 def lag_samples(events: DataFrame) -> DataFrame:
     """Fixture samples: one per event, positions derived from its columns."""
-    cur = F.col("event_id") * SEGMENT + F.col("user_id") * 1000
+    cur = (F.col("event_id") + 16) * SEGMENT + F.col("user_id") * 1000  # positions stay positive
     sent = cur - (F.col("value") * 1000).cast("long")
     write = sent - (F.col("event_id") % 7) * 4096
     flush = write - F.col("user_id") * 10
