@@ -63,3 +63,37 @@ def all_oracles() -> dict[str, str]:
     out = {k: f() for k, f in oracle.REPORT_SQL.items()}
     out.update(getattr(oracle, "EXTRA_SQL", {}))
     return out
+
+
+# report key -> function(tables[, as_of]) for library use (CLI, views)
+REPORT_FUNCTIONS = {
+    "v1_warehouse_performance": warehouse.warehouse_performance,
+    "v2_inventory_summary": inventory.inventory_summary,
+    "v3_order_performance": orders.order_performance,
+    "v4_customer_insights": customers.customer_insights,
+    "v5_shipping_receiving_performance": warehouse.shipping_receiving_performance,
+    "v6_product_movement_summary": inventory.product_movement_summary,
+    "m1_daily_warehouse_summary": warehouse.daily_warehouse_summary,
+    "m2_monthly_inventory_summary": inventory.monthly_inventory_summary,
+    "m3_weekly_order_summary": orders.weekly_order_summary,
+    "m4_customer_lifetime_value": customers.customer_lifetime_value,
+    "m5_product_movement_30days": inventory.product_movement_30days,
+    "m6_daily_shipping_receiving": warehouse.daily_shipping_receiving,
+    "q1_warehouse_monthly_ranking": orders.warehouse_monthly_ranking,
+    "q2_inventory_forecast": inventory.inventory_forecast,
+    "q3_customer_rfm": customers.customer_rfm,
+    "q4_hourly_operations": orders.hourly_operations,
+    "q5_supply_chain": supply_chain.supply_chain,
+}
+
+
+def register_views(spark: SparkSession, tables, as_of) -> list[str]:
+    """Register every report as a temp view named by its key (the analytics
+    layer of views), e.g. ``SELECT * FROM v1_warehouse_performance``."""
+    import inspect
+    names = []
+    for name, fn in REPORT_FUNCTIONS.items():
+        kw = {"as_of": as_of} if "as_of" in inspect.signature(fn).parameters else {}
+        fn(tables, **kw).createOrReplaceTempView(name)
+        names.append(name)
+    return names
