@@ -53,12 +53,17 @@ def item_aggs(distinct_items: bool = False) -> dict[str, Column]:
 
 
 def order_rollup(orders: DataFrame, order_items: DataFrame, distinct_items: bool = False,
-                 inner: bool = False) -> DataFrame:
+                 inner: bool = False, restrict: bool = False) -> DataFrame:
     """One row per order with its item aggregates and fulfillment micros.
 
     ``inner=True`` keeps only orders with at least one line (inner join form);
-    then the weight is the line count itself.
+    then the weight is the line count itself.  ``restrict=True`` (for date-
+    filtered orders) first prunes the lines to those orders through a
+    size-checked broadcast semi-join, so only their lines are aggregated.
     """
+    if restrict:
+        from .joins import restrict_to_keys
+        order_items = restrict_to_keys(order_items, orders, "order_id")
     items = child_rollup(order_items, "order_id", item_aggs(distinct_items))
     if inner:
         j = orders.join(items, "order_id", "inner").withColumn("w", F.col("n_child").cast("long"))
