@@ -8,7 +8,8 @@ Layout under a *shared* root (default: ``<spark.checkpoint.dir>/snapshots``)::
 
 A refresh computes every member of its group, writes each to a new version
 folder, checks the unique key on the written files, and only then replaces
-the manifest in one ``os.replace`` -- so readers see either all old or all new
+the manifest in one rename on the shared file system (``fsio``) -- so readers
+see either all old or all new
 versions of the group (the reference runs its three REFRESH statements in one
 function call, i.e. one transaction).  Reading back from the written files
 also cuts the lineage of every snapshot.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
 from ..sources.tables import Tables
+from . import fsio
 
 # Refresh groups and their cadence (cron: daily 02:00, Monday
 # 03:00, first of month 04:00), and the unique keys of the snapshots.
@@ -149,25 +151,19 @@ def _manifest_path(root: str) -> str:
     return os.path.join(root, "_manifest.json")
 
 
-def read_manifest(root: str) -> dict:
-    try:
-        with open(_manifest_path(root)) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return {}
+def read_manifest(root: str, spark: SparkSession | None = None) -> dict:
+    spark = spark or SparkSession.getActiveSession()
+    text = fsio.read_text(spark, _manifest_path(root))
+    return json.loads(text) if text else {}
 
 
-def _swap_manifest(root: str, manifest: dict) -> None:
-    os.makedirs(root, exist_ok=True)
-    tmp = os.path.join(root, f"._manifest.{uuid.uuid4().hex}.tmp")
-    with open(tmp, "w") as f:
-        json.dump(manifest, f, sort_keys=True)
-    os.replace(tmp, _manifest_path(root))  # atomic commit point
+def _swap_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
+    fsio.write_text_atomic(spark, _manifest_path(root), json.dumps(manifest, sort_keys=True))  # commit point
 
 
 def read_snapshot(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:
     root = root or default_root(spark)
-    entry = read_manifest(root).get(name)
+    entry = read_manifest(root, spark).get(name)
     if entry is None:
         raise KeyError(f"no committed snapshot {name!r} under {root}")
     return spark.read.parquet(os.path.join(root, name, f"v={entry['version']}"))
@@ -198,7 +194,7 @@ def refresh(spark: SparkSession, tables: Tables, group: str = "daily", as_of: dt
         raise ValueError("as_of is required (reports never read the wall clock)")
     root = root or default_root(spark)
     build = builders()
-    manifest = read_manifest(root)
+    manifest = read_manifest(root, spark)
     staged, report = {}, {}
     for name in GROUPS[group]:
         version, written = materialize(spark, build[name](tables, as_of), name, root)
@@ -213,7 +209,7 @@ def refresh(spark: SparkSession, tables: Tables, group: str = "daily", as_of: dt
         staged[name] = {"version": version, "as_of": info["as_of"]}
         report[name] = info
     manifest.update(staged)
-    _swap_manifest(root, manifest)
+    _swap_manifest(spark, root, manifest)
     return report
 
 
@@ -233,12 +229,6 @@ def due_groups(ts: dt.datetime) -> list[str]:
 
 # --- export with retention ----------------------------------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def export_snapshot(spark: SparkSession, df: DataFrame, export_root: str, name: str, as_of: dt.date,
                     retention_days: int = 30) -> str:
     """Write ``df`` compressed under ``export_root/dt=<as_of>/<name>`` and drop
@@ -266,11 +256,7 @@ def expired(partitions: list[str], as_of: dt.date, retention_days: int = 30) ->
 
 
 def expire_partitions(spark: SparkSession, export_root: str, as_of: dt.date, retention_days: int = 30) -> list[str]:
-    fs, root = _fs(spark, export_root)
-    if not fs.exists(root):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory()]
-    gone = expired(names, as_of, retention_days)
+    gone = expired(fsio.list_dirs(spark, export_root), as_of, retention_days)
     for n in gone:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, n), True)
+        fsio.delete(spark, os.path.join(export_root, n))
     return gone

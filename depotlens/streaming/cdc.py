@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import fsio
+
 CHANGE_SCHEMA = T.StructType([
     T.StructField("lsn", T.LongType()), T.StructField("table", T.StringType()),
     T.StructField("key", T.LongType()), T.StructField("op", T.StringType()),
@@ -117,10 +118,14 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: list[str] = KEY) ->
                     F.when(newer, F.col("_op") == "D").otherwise(F.col("_s_del")).alias("_deleted"))
 
 
-def table_dml_counts(feed: DataFrame) -> DataFrame:
-    """Per table: inserts, updates, deletes and live rows (inserts - deletes)."""
+def table_dml_counts(feed: DataFrame, schema_like: str | None = None) -> DataFrame:
+    """Per table: inserts, updates, deletes and live rows (inserts - deletes);
+    ``schema_like`` keeps schemas matching a SQL LIKE pattern (e.g. '%analytics%')."""
     op = F.col("op")
-    g = feed.groupBy(F.split_part(F.col("table"), F.lit("."), F.lit(1)).alias("schemaname"),
+    schema = F.split_part(F.col("table"), F.lit("."), F.lit(1))
+    if schema_like is not None:
+        feed = feed.where(schema.like(schema_like))
+    g = feed.groupBy(schema.alias("schemaname"),
                      F.split_part(F.col("table"), F.lit("."), F.lit(2)).alias("tablename")).agg(
         F.count(F.when(op == "I", 1)).alias("inserts"), F.count(F.when(op == "U", 1)).alias("updates"),
         F.count(F.when(op == "D", 1)).alias("deletes"))
@@ -139,11 +144,8 @@ class StateStore:
         return os.path.join(self.root, "_current.json")
 
     def current_version(self) -> str | None:
-        try:
-            with open(self._pointer()) as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return None
+        text = fsio.read_text(self.spark, self._pointer())
+        return json.loads(text)["version"] if text else None
 
     def read(self) -> DataFrame:
         v = self.current_version()
@@ -152,12 +154,8 @@ class StateStore:
         return self.spark.read.parquet(os.path.join(self.root, f"v={v}"))
 
     def commit(self, df: DataFrame, version: str) -> None:
-        path = os.path.join(self.root, f"v={version}")
-        df.write.mode("overwrite").parquet(path)  # a replayed epoch rewrites its own folder
-        tmp = os.path.join(self.root, f"._current.{uuid.uuid4().hex}.tmp")
-        with open(tmp, "w") as f:
-            json.dump({"version": version}, f)
-        os.replace(tmp, self._pointer())
+        df.write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}"))  # replay rewrites its folder
+        fsio.write_text_atomic(self.spark, self._pointer(), json.dumps({"version": version}))
 
 
 def start_apply_stream(spark: SparkSession, source_dir: str, state_root: str, checkpoint: str,
@@ -165,7 +163,7 @@ def start_apply_stream(spark: SparkSession, source_dir: str, state_root: str, ch
                        schemas: list[str] | None = None):
     """Structured Streaming job: change files -> publication filter ->
     foreachBatch(apply_changes) -> versioned state table."""
-    os.makedirs(state_root, exist_ok=True)
+    fsio.mkdirs(spark, state_root)
     store = StateStore(spark, state_root)
     stream = select_tables(spark.readStream.schema(CHANGE_SCHEMA).parquet(source_dir), schemas)
 

@@ -87,3 +87,11 @@ def test_incremental_v3_equals_full(spark):
     inc = cdc.incremental_order_performance(t, order_performance(before), changed)
     full = order_performance(t)
     assert rows_multiset(inc.columns, inc.collect()) == rows_multiset(full.columns, full.collect())
+
+
+def test_dml_counts_with_like(spark):
+    f = spark.createDataFrame([(1, "orders.orders", 1, "I", 1.0, T), (2, "orders.orders", 1, "D", None, T),
+                               (3, "staging.x", 2, "U", 1.0, T)], SCHEMA)
+    rows = {(r.schemaname, r.tablename): (r.inserts, r.updates, r.deletes, r.live_tuples)
+            for r in cdc.table_dml_counts(f, schema_like="%ord%").collect()}
+    assert rows == {("orders", "orders"): (1, 0, 1, 0)}
