@@ -40,3 +40,33 @@ def restrict_to_keys(big: DataFrame, keys: DataFrame, key: str, max_rows: int |
     if has_at_most(k, bound):
         return big.join(F.broadcast(k), key, "left_semi")
     return big
+
+
+# Dimension lookups (N:1 joins of a large fact to a dimension).  A dimension
+# is broadcast when a bounded count proves it has at most this many rows; the
+# bound is a session setting so clusters with larger executors can raise it.
+LOOKUP_ROWS_CONF = "depotlens.lookup.broadcastRows"
+DEFAULT_LOOKUP_ROWS = 2_000_000  # a few narrow columns: well under 100 MB as a hash relation
+
+
+def lookup_row_bound(spark) -> int:
+    try:
+        return int(spark.conf.get(LOOKUP_ROWS_CONF, str(DEFAULT_LOOKUP_ROWS)))
+    except (TypeError, ValueError):
+        return DEFAULT_LOOKUP_ROWS
+
+
+def fits_lookup(dim: DataFrame) -> bool:
+    """True when ``dim`` provably has at most the lookup bound of rows."""
+    return has_at_most(dim, lookup_row_bound(dim.sparkSession))
+
+
+def lookup(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left",
+           small: bool | None = None) -> DataFrame:
+    """``fact JOIN dim`` for an N:1 lookup: broadcast ``dim`` when it provably
+    fits (``limit(n + 1).count()``, or the caller's earlier check ``small``),
+    else leave the strategy to the planner (sort-merge, with AQE skew
+    splitting for hot fact keys)."""
+    if small is None:
+        small = fits_lookup(dim)
+    return fact.join(F.broadcast(dim) if small else dim, on, how)

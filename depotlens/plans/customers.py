@@ -17,6 +17,7 @@ from ..functions import rules as R
 from ..functions.exprs import (avg_hours2, money_from_cents, pct, round2, ts_lit, whole_days_between,
                                minus)
 from ..functions.rules import ladder
+from ..operators.joins import lookup
 from ..operators.rollups import order_rollup, weighted_hours_aggs
 from ..sources.tables import Tables
 
@@ -80,7 +81,7 @@ def categories_per_customer(t: Tables) -> DataFrame:
     items = t["order_items"].select("order_id", "product_id")
     cat = t["products"].select("product_id", "product_category")
     orders = t["orders"].select("order_id", "customer_id")
-    pairs = items.join(cat, "product_id", "inner").select("order_id", "product_category").distinct()
+    pairs = lookup(items, cat, "product_id", "inner").select("order_id", "product_category").distinct()
     return (pairs.join(orders, "order_id", "inner")
             .groupBy("customer_id").agg(F.count_distinct("product_category").alias("product_categories_purchased")))
 

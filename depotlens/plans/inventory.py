@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.exprs import BIG, bucket, cents, in_bucket, money_from_cents, round2, since, ts_lit
 from ..functions.rules import ladder
+from ..operators.joins import fits_lookup, lookup
 from ..sources.tables import Tables
 
 PRODUCT_COLS = ["product_id", "product_name", "product_category", "sku", "unit_of_measure"]
@@ -97,15 +98,18 @@ def movements_with_warehouse(t: Tables, movements: DataFrame) -> DataFrame:
     """Movements with the warehouse of their from- (else to-) location.
 
     Two N:1 lookups into locations and one into warehouses on the computed
-    ``COALESCE`` key (still an equi-join).  Unmatched lookups give NULL.
+    ``COALESCE`` key (still an equi-join).  Unmatched lookups give NULL.  Each
+    lookup broadcasts the dimension only after a bounded count proved it
+    small (``operators.joins.lookup``); otherwise it is a shuffle join.
     """
     loc = t["locations"].select("location_id", "warehouse_id")
     fl = loc.select(F.col("location_id").alias("from_location_id"), F.col("warehouse_id").alias("fl_wh"))
     tl = loc.select(F.col("location_id").alias("to_location_id"), F.col("warehouse_id").alias("tl_wh"))
     w = t["warehouses"].select(F.col("warehouse_id").alias("wh_key"), "warehouse_id", "warehouse_name")
-    m = (movements.join(fl, "from_location_id", "left").join(tl, "to_location_id", "left")
-         .withColumn("wh_key", F.coalesce(F.col("fl_wh"), F.col("tl_wh"))))
-    return m.join(w, "wh_key", "left").drop("wh_key", "fl_wh", "tl_wh")
+    small = fits_lookup(loc)  # one check serves both location lookups
+    m = lookup(lookup(movements, fl, "from_location_id", small=small), tl, "to_location_id", small=small) \
+        .withColumn("wh_key", F.coalesce(F.col("fl_wh"), F.col("tl_wh")))
+    return lookup(m, w, "wh_key").drop("wh_key", "fl_wh", "tl_wh")
 
 
 def product_movement_summary(t: Tables) -> DataFrame:
