@@ -91,7 +91,8 @@ def _stacked(t: Tables) -> DataFrame:
     return out
 
 
-def column_profile(t: Tables, top: int = 5, salt_buckets: int = 16) -> DataFrame:
+def column_profile(t: Tables, top: int = 5, salt_buckets: int = 16, fraction: float | None = None,
+                   seed: int = 17) -> DataFrame:
     """O3: rows, null_count, n_distinct and the ``top`` most common values (count
     >= 2, ties by value) per column, as '{v1,v2}' / '{c1,c2}' texts.
 
@@ -99,8 +100,14 @@ def column_profile(t: Tables, top: int = 5, salt_buckets: int = 16) -> DataFrame
     Top-k per column is two-level: first within (column, hash-salt) windows
     so that a column with billions of distinct values is ranked by many tasks,
     then among the ``top * salt_buckets`` survivors of each column.
+
+    By default every row is profiled (exact).  ``fraction`` turns it into a
+    statistics sample like a database ANALYZE (Bernoulli sample per table,
+    fixed ``seed``); counts are then those of the sample.
     """
     col_key = ["schemaname", "tablename", "attname"]
+    if fraction is not None:
+        t = {n: t[n].sample(fraction=fraction, seed=seed) for n in SCHEMAS}
     cells = _stacked(t)
     counts = cells.groupBy(*col_key, "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*col_key).agg(
