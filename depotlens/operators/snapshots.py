@@ -240,6 +240,24 @@ def export_snapshot(spark: SparkSession, df: DataFrame, export_root: str, name:
     return path
 
 
+def export_reports(spark: SparkSession, tables: Tables, as_of: dt.date, export_root: str,
+                   retention_days: int = 30) -> list[str]:
+    """Dump every analytics report (views and snapshots) at ``as_of`` under
+    ``export_root/dt=<as_of>/<report>`` (gzip Parquet), then apply retention.
+    Each report is its own distributed write; nothing passes the driver."""
+    import inspect
+
+    from ..plans.registry import REPORT_FUNCTIONS
+    paths = []
+    for name, fn in REPORT_FUNCTIONS.items():
+        kw = {"as_of": as_of} if "as_of" in inspect.signature(fn).parameters else {}
+        path = os.path.join(export_root, f"dt={as_of.isoformat()}", name)
+        fn(tables, **kw).write.mode("overwrite").option("compression", "gzip").parquet(path)
+        paths.append(path)
+    expire_partitions(spark, export_root, as_of, retention_days)
+    return paths
+
+
 def expired(partitions: list[str], as_of: dt.date, retention_days: int = 30) -> list[str]:
     """``dt=YYYY-MM-DD`` names strictly older than as_of - retention_days."""
     limit = as_of - dt.timedelta(days=retention_days)

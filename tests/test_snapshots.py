@@ -76,3 +76,10 @@ def test_export_retention(spark, small_tables, scratch):
     parts = sorted(os.listdir(scratch))
     assert parts == ["dt=2001-06-01", "dt=2001-07-01"]
     assert S.expired(["dt=2001-05-31", "dt=2001-06-01", "x"], AS_OF) == ["dt=2001-05-31"]
+
+
+def test_export_all_reports(spark, small_tables, scratch):
+    paths = S.export_reports(spark, small_tables, AS_OF, scratch)
+    assert len(paths) == 17
+    assert sorted(os.listdir(os.path.join(scratch, "dt=2001-07-01"))) == sorted(os.path.basename(p) for p in paths)
+    assert spark.read.parquet(paths[0]).count() == 25
