@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.exprs import (BIG, avg_hours2, bucket, cents, dow0, in_bucket, micros_between, minus,
+from ..functions.exprs import (BIG, avg_hours2, bucket, dow0, in_bucket, micros_between, minus,
                                money_from_cents, pct, round2, since, ts_lit, whole_days_between)
 from ..functions.rules import ladder
 from ..operators.rollups import order_rollup, weighted_hours_aggs
