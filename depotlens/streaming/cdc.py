@@ -15,9 +15,10 @@ A change row is ``(lsn, table, key, op, value, ts)``; ``op`` is I/U/D and
 * state and latest changes meet in one full outer join on the key.
 
 ``start_apply_stream`` runs the same function in ``foreachBatch`` over a
-Structured Streaming file source; each micro-batch writes a new state version
-to the shared folder and then flips a pointer file, so a restarted query
-replays the batch from the checkpoint and rewrites the same version.
+Structured Streaming file source into a ``StateStore``: the state is hash-
+bucketed on the key, each micro-batch rewrites only the buckets it touches
+under its epoch folder and then swaps a manifest, so a restarted query
+replays the batch from the checkpoint and rewrites the same epoch folder.
 """
 
 from __future__ import annotations
@@ -135,44 +136,72 @@ def table_dml_counts(feed: DataFrame, schema_like: str | None = None) -> DataFra
 # --- streaming wrapper ------------------------------------------------------------------
 
 class StateStore:
-    """Versioned state table in a shared folder with an atomic pointer file."""
+    """State table in a shared folder, hash-bucketed on the key.
+
+    Layout: ``<root>/_epochs/e=<epoch>/_bucket=<b>/part-*`` plus a manifest
+    ``<root>/_manifest.json`` = {"epoch": last committed epoch, "buckets":
+    {b: folder}}.  A micro-batch rewrites only the buckets its changes touch
+    (work proportional to the touched buckets, not to the whole table), then
+    swaps the manifest in one rename; untouched buckets keep pointing at the
+    folders of earlier epochs.  Readers use the manifest, so they never see a
+    half-applied batch.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
 
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "_current.json")
+    def bucket_of(self) -> F.Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in KEY]), F.lit(self.buckets)).cast("int")
 
-    def current_version(self) -> str | None:
-        text = fsio.read_text(self.spark, self._pointer())
-        return json.loads(text)["version"] if text else None
+    def _manifest_path(self) -> str:
+        return os.path.join(self.root, "_manifest.json")
 
-    def read(self) -> DataFrame:
-        v = self.current_version()
-        if v is None:
-            return empty_state(self.spark)
-        return self.spark.read.parquet(os.path.join(self.root, f"v={v}"))
+    def manifest(self) -> dict:
+        text = fsio.read_text(self.spark, self._manifest_path())
+        return json.loads(text) if text else {"epoch": None, "buckets": {}}
 
-    def commit(self, df: DataFrame, version: str) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}"))  # replay rewrites its folder
-        fsio.write_text_atomic(self.spark, self._pointer(), json.dumps({"version": version}))
+    def current_version(self) -> int | None:
+        return self.manifest()["epoch"]
+
+    def _read_paths(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return empty_state(self.spark)
+        schema = empty_state(self.spark).schema
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        m = self.manifest()["buckets"]
+        keys = [str(b) for b in buckets] if buckets is not None else list(m)
+        return self._read_paths([m[k] for k in keys if k in m])
+
+    def apply(self, changes: DataFrame, epoch: int) -> bool:
+        """Apply one batch as ``epoch``; False when that epoch is already committed."""
+        m = self.manifest()
+        if m["epoch"] is not None and m["epoch"] >= epoch:
+            return False
+        ch = changes.withColumn("_bucket", self.bucket_of())
+        touched = sorted(r[0] for r in ch.select("_bucket").distinct().collect())  # <= self.buckets ints
+        if touched:
+            new = apply_changes(self.read(touched), ch.drop("_bucket")).withColumn("_bucket", self.bucket_of())
+            stage = os.path.join(self.root, "_epochs", f"e={epoch}")
+            new.write.mode("overwrite").partitionBy("_bucket").parquet(stage)  # a replay rewrites it
+            m["buckets"].update({str(b): os.path.join(stage, f"_bucket={b}") for b in touched})
+        m["epoch"] = epoch
+        fsio.write_text_atomic(self.spark, self._manifest_path(), json.dumps(m, sort_keys=True))
+        return True
 
 
 def start_apply_stream(spark: SparkSession, source_dir: str, state_root: str, checkpoint: str,
                        available_now: bool = True, processing_time: str | None = None,
-                       schemas: list[str] | None = None):
+                       schemas: list[str] | None = None, buckets: int = 64):
     """Structured Streaming job: change files -> publication filter ->
-    foreachBatch(apply_changes) -> versioned state table."""
+    foreachBatch(apply into the bucketed state table)."""
     fsio.mkdirs(spark, state_root)
-    store = StateStore(spark, state_root)
+    store = StateStore(spark, state_root, buckets)
     stream = select_tables(spark.readStream.schema(CHANGE_SCHEMA).parquet(source_dir), schemas)
 
     def apply_batch(batch: DataFrame, epoch_id: int) -> None:
-        prev = store.current_version()
-        version = f"{epoch_id:012d}"
-        if prev is not None and prev >= version:
-            return  # already committed by a previous run of this epoch
-        store.commit(apply_changes(store.read(), batch), version)
+        store.apply(batch, epoch_id)
 
     w = stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")

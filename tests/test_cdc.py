@@ -64,15 +64,15 @@ def test_streaming_apply_matches_batch(spark, scratch):
     rows = [(i, i % 5, "IUUUD"[i % 5], float(i)) for i in range(1, 60)]
     for n, part in enumerate([rows[:20], rows[20:45], rows[45:]]):
         feed(spark, part).write.parquet(os.path.join(src, f"batch={n}"))
-    q = cdc.start_apply_stream(spark, src, os.path.join(scratch, "state"), os.path.join(scratch, "ckpt"))
+    q = cdc.start_apply_stream(spark, src, os.path.join(scratch, "state"), os.path.join(scratch, "ckpt"), buckets=4)
     q.awaitTermination(120)
     assert cdc.progress_frame(spark, q).count() >= 1
-    got = cdc.StateStore(spark, os.path.join(scratch, "state")).read()
+    got = cdc.StateStore(spark, os.path.join(scratch, "state"), 4).read()
     want = cdc.apply_changes(cdc.empty_state(spark), feed(spark, rows))
     assert state_rows(got) == state_rows(want)
     # a restart with nothing new leaves the state version alone
     v = cdc.StateStore(spark, os.path.join(scratch, "state")).current_version()
-    q2 = cdc.start_apply_stream(spark, src, os.path.join(scratch, "state"), os.path.join(scratch, "ckpt"))
+    q2 = cdc.start_apply_stream(spark, src, os.path.join(scratch, "state"), os.path.join(scratch, "ckpt"), buckets=4)
     q2.awaitTermination(120)
     assert cdc.StateStore(spark, os.path.join(scratch, "state")).current_version() == v
 
@@ -95,3 +95,19 @@ def test_dml_counts_with_like(spark):
     rows = {(r.schemaname, r.tablename): (r.inserts, r.updates, r.deletes, r.live_tuples)
             for r in cdc.table_dml_counts(f, schema_like="%ord%").collect()}
     assert rows == {("orders", "orders"): (1, 0, 1, 0)}
+
+
+def test_bucketed_store_rewrites_only_touched_buckets(spark, scratch):
+    store = cdc.StateStore(spark, scratch, buckets=8)
+    rows = [(i, i, "I", float(i)) for i in range(1, 41)]
+    assert store.apply(feed(spark, rows), 0)
+    first = dict(store.manifest()["buckets"])
+    assert len(first) == 8
+    assert store.apply(feed(spark, [(100, 3, "U", 0.5), (101, 4, "D", None)]), 1)
+    second = store.manifest()["buckets"]
+    changed = {b for b in second if second[b] != first[b]}
+    assert 1 <= len(changed) <= 2
+    assert not store.apply(feed(spark, [(102, 5, "D", None)]), 1)      # replayed epoch: no effect
+    want = cdc.apply_changes(cdc.empty_state(spark),
+                             feed(spark, rows + [(100, 3, "U", 0.5), (101, 4, "D", None)]))
+    assert state_rows(store.read()) == state_rows(want)
