@@ -213,6 +213,23 @@ def refresh(spark: SparkSession, tables: Tables, group: str = "daily", as_of: dt
     return report
 
 
+def prune_versions(spark: SparkSession, root: str | None = None, keep: int = 3) -> list[str]:
+    """Delete version folders of each snapshot except the committed one and
+    the ``keep`` newest; returns the deleted folder names.  Run after a
+    refresh; readers only ever follow the manifest."""
+    root = root or default_root(spark)
+    manifest = read_manifest(root, spark)
+    gone = []
+    for name in UNIQUE_KEYS:
+        versions = sorted(v for v in fsio.list_dirs(spark, os.path.join(root, name)) if v.startswith("v="))
+        live = {f"v={manifest[name]['version']}"} if name in manifest else set()
+        for v in versions[:-keep] if keep > 0 else versions:
+            if v not in live:
+                fsio.delete(spark, os.path.join(root, name, v))
+                gone.append(f"{name}/{v}")
+    return gone
+
+
 def due_groups(ts: dt.datetime) -> list[str]:
     """Groups whose scheduled run falls in the hour starting at ``ts``'s hour."""
     out = []

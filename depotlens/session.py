@@ -64,3 +64,11 @@ def checkpoint_root(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts) if parts else base
+
+
+def ensure_utc(spark: SparkSession) -> None:
+    """Reports are defined on UTC wall-clock ``timestamp_ntz`` values; Spark
+    routes some NTZ arithmetic (date_trunc, timestampdiff) through the session
+    zone, so a non-UTC session could shift results across DST changes."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -182,6 +182,8 @@ class FixtureTables(dict):
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> FixtureTables:
+    from ..session import ensure_utc
+    ensure_utc(spark)
     return FixtureTables(spark, sf_dir)
 
 

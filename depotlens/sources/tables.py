@@ -67,6 +67,8 @@ Tables = Mapping[str, DataFrame]
 
 def load_tables(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Read ``root/<table>`` Parquet folders with the declared schemas."""
+    from ..session import ensure_utc
+    ensure_utc(spark)
     out = {}
     for name in names or list(SCHEMAS):
         out[name] = spark.read.schema(SCHEMAS[name]).parquet(os.path.join(root, name))

@@ -83,3 +83,18 @@ def test_export_all_reports(spark, small_tables, scratch):
     assert len(paths) == 17
     assert sorted(os.listdir(os.path.join(scratch, "dt=2001-07-01"))) == sorted(os.path.basename(p) for p in paths)
     assert spark.read.parquet(paths[0]).count() == 25
+
+
+def test_prune_versions_keeps_committed(spark, small_tables, scratch):
+    for d in (AS_OF - dt.timedelta(days=14), AS_OF - dt.timedelta(days=7), AS_OF):
+        S.refresh(spark, small_tables, "weekly", d, root=scratch)
+    gone = S.prune_versions(spark, scratch, keep=1)
+    assert len(gone) == 2
+    assert S.read_snapshot(spark, "m3_weekly_order_summary", scratch).count() >= 0
+
+
+def test_session_is_pinned_to_utc(spark):
+    from depotlens.sources.fixtures import fixture_tables
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    fixture_tables(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
