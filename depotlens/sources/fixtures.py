@@ -15,12 +15,12 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import LOCATION_TYPES  # assigned by s_suppkey % 4
 from .tables import conform
 
 # Fixed values of the fixture contract: the point-in-time date of all relative
 # reports (a Sunday) and the enum texts the mapping produces.
 AS_OF = dt.date(2001, 7, 1)
-LOCATION_TYPES = ["storage", "picking", "receiving", "shipping"]  # by s_suppkey % 4
 ORDER_STATUS = {"F": "completed", "O": "pending", "P": "cancelled"}
 MOVEMENT_TYPE = {"R": "in", "A": "out", "N": "transfer"}
 
