@@ -2,8 +2,8 @@
 
 ``restrict_to_keys`` prunes a large child table to the keys of a filtered
 parent *before* the child is aggregated -- but only through a broadcast
-left-semi join whose key set has been counted and found small (bounded work:
-``limit(n + 1).count()``).  Beyond the bound the child is returned unchanged;
+left-semi join whose key set has been counted (distributed ``count()``) and
+found small.  Beyond the bound the child is returned unchanged;
 the later parent join drops the unmatched rows anyway, so results are the
 same either way and no unbounded side is ever broadcast.
 """
@@ -28,8 +28,13 @@ def broadcast_row_bound(spark) -> int:
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows (reads at most n + 1 rows)."""
-    return n > 0 and df.limit(n + 1).count() <= n
+    """True when ``df`` has at most ``n`` rows.
+
+    A plain distributed ``count()`` (partial counts per partition, one number
+    per task reaches the driver).  ``limit(n + 1).count()`` would read less
+    but funnels up to n + 1 rows *per partition* into a single task.
+    """
+    return n > 0 and df.count() <= n
 
 
 def restrict_to_keys(big: DataFrame, keys: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
@@ -64,7 +69,7 @@ def fits_lookup(dim: DataFrame) -> bool:
 def lookup(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left",
            small: bool | None = None) -> DataFrame:
     """``fact JOIN dim`` for an N:1 lookup: broadcast ``dim`` when it provably
-    fits (``limit(n + 1).count()``, or the caller's earlier check ``small``),
+    fits (a distributed ``count()``, or the caller's earlier check ``small``),
     else leave the strategy to the planner (sort-merge, with AQE skew
     splitting for hot fact keys)."""
     if small is None:
