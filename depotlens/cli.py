@@ -2,6 +2,7 @@
 
     python -m depotlens.cli refresh [daily|weekly|monthly] --as-of 2001-07-01 --tables <root>
     python -m depotlens.cli report v1_warehouse_performance --as-of 2001-07-01 --tables <root> --out <dir>
+    python -m depotlens.cli layout --fixture-sf /root/testdata/sf0.1 --out <root>
 
 ``--tables`` is a folder of the twelve base tables (one Parquet folder each);
 ``--fixture-sf <dir>`` derives them from the test tables instead.  Scheduling
@@ -32,9 +33,10 @@ def _tables(spark, args):
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="depotlens")
     sub = p.add_subparsers(dest="cmd", required=True)
-    for name in ("refresh", "report"):
+    for name in ("refresh", "report", "layout"):
         sp = sub.add_parser(name)
-        sp.add_argument("--as-of", required=True, type=dt.date.fromisoformat)
+        if name != "layout":
+            sp.add_argument("--as-of", required=True, type=dt.date.fromisoformat)
         src = sp.add_mutually_exclusive_group(required=True)
         src.add_argument("--tables")
         src.add_argument("--fixture-sf")
@@ -43,6 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     sub.choices["refresh"].add_argument("--root", default=None)
     sub.choices["report"].add_argument("name")
     sub.choices["report"].add_argument("--out", required=True)
+    sub.choices["layout"].add_argument("--out", required=True)
     args = p.parse_args(argv)
 
     if args.cmd == "refresh" and args.group not in S.GROUPS:
@@ -50,6 +53,10 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = build_session(args.master)
     t = _tables(spark, args)
+    if args.cmd == "layout":
+        from .sources.tables import write_tables
+        print(json.dumps(write_tables(t, args.out)))
+        return 0
     if args.cmd == "refresh":
         print(json.dumps(S.refresh(spark, t, args.group, args.as_of, args.root), default=str))
         return 0

@@ -40,3 +40,10 @@ def test_cli_report(spark, scratch):
     assert cli.main(["report", "v1_warehouse_performance", "--as-of", "2001-07-01",
                      "--fixture-sf", "/root/testdata/sf0.001", "--out", out]) == 0
     assert spark.read.parquet(out).count() == 25
+
+
+def test_cli_layout(spark, scratch):
+    out = scratch + "/tables"
+    assert cli.main(["layout", "--fixture-sf", "/root/testdata/sf0.001", "--out", out]) == 0
+    from depotlens.sources.tables import load_tables
+    assert load_tables(spark, out)["warehouses"].count() == 25
