@@ -91,15 +91,17 @@ def _stacked(t: Tables) -> DataFrame:
     return out
 
 
-def column_profile(t: Tables, top: int = 5, salt_buckets: int = 16, fraction: float | None = None,
+def column_profile(t: Tables, top: int = 5, salt_buckets: int = 256, fraction: float | None = None,
                    seed: int = 17) -> DataFrame:
     """O3: rows, null_count, n_distinct and the ``top`` most common values (count
     >= 2, ties by value) per column, as '{v1,v2}' / '{c1,c2}' texts.
 
     Value counts come from one partial aggregation over the stacked cells.
-    Top-k per column is two-level: first within (column, hash-salt) windows
-    so that a column with billions of distinct values is ranked by many tasks,
-    then among the ``top * salt_buckets`` survivors of each column.
+    Only values seen at least twice compete (unique keys drop out at once).
+    Top-k per column is two-level: first within (column, hash-salt) windows,
+    so each window group holds 1/``salt_buckets`` of a column's repeated
+    values and a column with billions of them is ranked by many tasks; then
+    among the at most ``top * salt_buckets`` survivors of each column.
 
     By default every row is profiled (exact).  ``fraction`` turns it into a
     statistics sample like a database ANALYZE (Bernoulli sample per table,
