@@ -77,14 +77,24 @@ def slow_queries_topk(log: DataFrame, k: int = 20) -> DataFrame:
     return out.orderBy(F.col("mean_time").desc_nulls_last(), F.col("query")).limit(k)
 
 
+def _columns() -> list[tuple[int, str, str, str]]:
+    """(column id, schemaname, tablename, attname) of every base-table column."""
+    out = []
+    for name, schema in SCHEMAS.items():
+        for f in schema.fields:
+            out.append((len(out), TABLE_SCHEMA[name], name, f.name))
+    return out
+
+
 def _stacked(t: Tables) -> DataFrame:
-    """(schemaname, tablename, attname, value text) for every cell of every table."""
+    """(column id, value text) for every cell of every table; a small integer
+    id keeps the aggregation key short (names are joined back at the end)."""
+    ids = {(tn, an): cid for cid, _, tn, an in _columns()}
     parts = []
     for name, schema in SCHEMAS.items():
-        cells = F.array(*[F.struct(F.lit(f.name).alias("attname"), F.col(f.name).cast("string").alias("value"))
-                          for f in schema.fields])
-        parts.append(t[name].select(F.lit(TABLE_SCHEMA[name]).alias("schemaname"), F.lit(name).alias("tablename"),
-                                    F.inline(cells)))
+        cells = F.array(*[F.struct(F.lit(ids[(name, f.name)]).alias("cid"),
+                                   F.col(f.name).cast("string").alias("value")) for f in schema.fields])
+        parts.append(t[name].select(F.inline(cells)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -107,27 +117,29 @@ def column_profile(t: Tables, top: int = 5, salt_buckets: int = 256, fraction: f
     statistics sample like a database ANALYZE (Bernoulli sample per table,
     fixed ``seed``); counts are then those of the sample.
     """
-    col_key = ["schemaname", "tablename", "attname"]
     if fraction is not None:
         t = {n: t[n].sample(fraction=fraction, seed=seed) for n in SCHEMAS}
     cells = _stacked(t)
-    counts = cells.groupBy(*col_key, "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*col_key).agg(
+    counts = cells.groupBy("cid", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("cid").agg(
         F.sum("n").cast("long").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
         F.count("value").alias("n_distinct"))
     order = [F.col("n").desc(), F.col("value").asc()]
     cand = counts.where(F.col("value").isNotNull() & (F.col("n") >= 2)) \
                  .withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salt_buckets)))
-    cand = cand.withColumn("_r", F.row_number().over(Window.partitionBy(*col_key, "_salt").orderBy(*order))) \
+    cand = cand.withColumn("_r", F.row_number().over(Window.partitionBy("cid", "_salt").orderBy(*order))) \
                .where(F.col("_r") <= top)
-    best = cand.withColumn("_r", F.row_number().over(Window.partitionBy(*col_key).orderBy(*order))) \
+    best = cand.withColumn("_r", F.row_number().over(Window.partitionBy("cid").orderBy(*order))) \
                .where(F.col("_r") <= top)
-    mcv = best.groupBy(*col_key).agg(F.array_sort(F.collect_list(F.struct("_r", "value", "n"))).alias("_l"))
-    mcv = mcv.select(*col_key,
+    mcv = best.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("_r", "value", "n"))).alias("_l"))
+    mcv = mcv.select("cid",
                      F.concat(F.lit("{"), F.array_join(F.transform("_l", lambda s: s["value"]), ","), F.lit("}"))
                      .alias("most_common_vals"),
                      F.concat(F.lit("{"), F.array_join(F.transform("_l", lambda s: s["n"].cast("string")), ","),
                               F.lit("}")).alias("most_common_counts"))
-    return totals.join(mcv, col_key, "left").select(*col_key, "rows", "null_count", "n_distinct",
-                                                   "most_common_vals", "most_common_counts")
+    names = t[next(iter(SCHEMAS))].sparkSession.createDataFrame(
+        _columns(), "cid int, schemaname string, tablename string, attname string")
+    return totals.join(mcv, "cid", "left").join(F.broadcast(names), "cid") \
+                 .select("schemaname", "tablename", "attname", "rows", "null_count", "n_distinct",
+                         "most_common_vals", "most_common_counts")
