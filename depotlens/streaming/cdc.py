@@ -147,47 +147,89 @@ class StateStore:
     half-applied batch.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, root, buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: list[str] = KEY,
+                 payload: T.StructType | None = None, manifest_path: str | None = None,
+                 section: str = "buckets"):
+        """``payload``: schema of the stored columns (key included); defaults
+        to the generic change feed's (table, key, value, ts).  ``manifest_path``
+        / ``section`` let a larger job keep this store's bucket map in its own
+        manifest, so several stores commit in one rename."""
+        self.spark, self.root, self.buckets, self.key = spark, root, buckets, list(key)
+        self.manifest_path, self.section = manifest_path or os.path.join(root, "_manifest.json"), section
+        fields = (payload.fields if payload is not None
+                  else [f for f in CHANGE_SCHEMA.fields if f.name not in ("op", "lsn")])
+        self.schema = T.StructType(list(fields) + [T.StructField("_lsn", T.LongType()),
+                                                   T.StructField("_deleted", T.BooleanType())])
 
     def bucket_of(self) -> F.Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in KEY]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.buckets)).cast("int")
 
     def _manifest_path(self) -> str:
-        return os.path.join(self.root, "_manifest.json")
+        return self.manifest_path
 
     def manifest(self) -> dict:
         text = fsio.read_text(self.spark, self._manifest_path())
-        return json.loads(text) if text else {"epoch": None, "buckets": {}}
+        m = json.loads(text) if text else {"epoch": None}
+        m.setdefault(self.section, {})
+        return m
 
     def current_version(self) -> int | None:
         return self.manifest()["epoch"]
 
     def _read_paths(self, paths: list[str]) -> DataFrame:
         if not paths:
-            return empty_state(self.spark)
-        schema = empty_state(self.spark).schema
-        return self.spark.read.schema(schema).parquet(*paths)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame:
-        m = self.manifest()["buckets"]
+    def read(self, buckets: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+        m = (manifest or self.manifest())[self.section]
         keys = [str(b) for b in buckets] if buckets is not None else list(m)
         return self._read_paths([m[k] for k in keys if k in m])
 
+    def _stage(self, m: dict, new: DataFrame | None, touched: list[int], epoch: int) -> None:
+        """Write the touched buckets of ``new`` under the epoch folder and
+        point this store's manifest section at them (manifest not written)."""
+        if new is not None and touched:
+            stage = os.path.join(self.root, "_epochs", f"e={epoch}")
+            new.withColumn("_bucket", self.bucket_of()).write.mode("overwrite") \
+               .partitionBy("_bucket").parquet(stage)  # a replay rewrites the same folder
+            written = {d.split("=", 1)[1] for d in fsio.list_dirs(self.spark, stage) if d.startswith("_bucket=")}
+            for b in touched:  # a touched bucket left without rows is dropped from the manifest
+                if str(b) in written:
+                    m[self.section][str(b)] = os.path.join(stage, f"_bucket={b}")
+                else:
+                    m[self.section].pop(str(b), None)
+
+    def _commit(self, m: dict, new: DataFrame | None, touched: list[int], epoch: int) -> None:
+        self._stage(m, new, touched, epoch)
+        m["epoch"] = epoch
+        fsio.write_text_atomic(self.spark, self._manifest_path(), json.dumps(m, sort_keys=True))
+
+    def stage_changes(self, m: dict, changes: DataFrame, epoch: int) -> DataFrame:
+        """Apply ``changes`` to the touched buckets and stage them into ``m``;
+        returns the new rows of those buckets (tombstones included)."""
+        touched = self.touched_buckets(changes)
+        new = apply_changes(self.read(touched, m), changes, self.key) if touched else None
+        self._stage(m, new, touched, epoch)
+        return new if new is not None else self.spark.createDataFrame([], self.schema)
+
+    def initialize(self, rows: DataFrame, lsn: int = 0) -> None:
+        """Initial copy (version -1): every bucket written from ``rows``."""
+        m = self.manifest()
+        self._commit(m, initial_copy(rows.select(*self.schema.names[:-2]), lsn), list(range(self.buckets)), -1)
+
+    def touched_buckets(self, changes: DataFrame) -> list[int]:
+        """Bucket ids a batch touches (at most ``buckets`` small ints reach the driver)."""
+        return sorted(r[0] for r in changes.select(self.bucket_of()).distinct().collect())
+
     def apply(self, changes: DataFrame, epoch: int) -> bool:
         """Apply one batch as ``epoch``; False when that epoch is already committed."""
         m = self.manifest()
         if m["epoch"] is not None and m["epoch"] >= epoch:
             return False
-        ch = changes.withColumn("_bucket", self.bucket_of())
-        touched = sorted(r[0] for r in ch.select("_bucket").distinct().collect())  # <= self.buckets ints
-        if touched:
-            new = apply_changes(self.read(touched), ch.drop("_bucket")).withColumn("_bucket", self.bucket_of())
-            stage = os.path.join(self.root, "_epochs", f"e={epoch}")
-            new.write.mode("overwrite").partitionBy("_bucket").parquet(stage)  # a replay rewrites it
-            m["buckets"].update({str(b): os.path.join(stage, f"_bucket={b}") for b in touched})
-        m["epoch"] = epoch
-        fsio.write_text_atomic(self.spark, self._manifest_path(), json.dumps(m, sort_keys=True))
+        touched = self.touched_buckets(changes)
+        new = apply_changes(self.read(touched), changes, self.key) if touched else None
+        self._commit(m, new, touched, epoch)
         return True
 
 
