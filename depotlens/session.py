@@ -70,5 +70,8 @@ def ensure_utc(spark: SparkSession) -> None:
     """Reports are defined on UTC wall-clock ``timestamp_ntz`` values; Spark
     routes some NTZ arithmetic (date_trunc, timestampdiff) through the session
     zone, so a non-UTC session could shift results across DST changes."""
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") not in UTC_NAMES:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+UTC_NAMES = {"UTC", "Etc/UTC", "Etc/UCT", "UCT", "GMT", "Etc/GMT", "Z", "Zulu", "+00:00"}
