@@ -1,8 +1,4 @@
 """Report ordering (NULL placement), temp views, CLI dispatch."""
-import datetime as dt
-
-import pytest
-
 from depotlens import cli
 from depotlens.plans import customers, ordering, registry
 from depotlens.sources.fixtures import AS_OF
