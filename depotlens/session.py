@@ -24,6 +24,32 @@ BASE_CONF = {
 }
 
 
+# Cluster sizing for ~100 TB inputs, applied only where the submit
+# configuration left a setting unset.  AQE starts from many fine shuffle
+# partitions and coalesces them to ~256 MB each, so a stage's partitions fit
+# executor memory whatever its input size; skewed partitions over 512 MB (and
+# 5x the median) are split; scans read 256 MB splits.
+SCALE_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+def apply_scale_defaults(spark: SparkSession) -> dict:
+    """Set ``SCALE_DEFAULTS`` the launch configuration (submit flags, defaults
+    file, builder) did not set; returns what was set."""
+    launch = spark.sparkContext.getConf()
+    applied = {}
+    for k, v in SCALE_DEFAULTS.items():
+        if not launch.contains(k):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "depotlens", extra: dict | None = None) -> SparkSession:
     """Return a session configured for the reports.
@@ -42,6 +68,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if master is None or not master.startswith("local"):
+        apply_scale_defaults(spark)
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -43,3 +43,11 @@ def test_cli_layout(spark, scratch):
     assert cli.main(["layout", "--fixture-sf", "/root/testdata/sf0.001", "--out", out]) == 0
     from depotlens.sources.tables import load_tables
     assert load_tables(spark, out)["warehouses"].count() == 25
+
+
+def test_scale_defaults_respect_launch_conf(spark):
+    from depotlens.session import SCALE_DEFAULTS, apply_scale_defaults
+    applied = apply_scale_defaults(spark)
+    assert set(applied) <= set(SCALE_DEFAULTS)
+    for k, v in applied.items():
+        assert spark.conf.get(k) == v
