@@ -48,6 +48,10 @@ def test_cli_layout(spark, scratch):
 def test_scale_defaults_respect_launch_conf(spark):
     from depotlens.session import SCALE_DEFAULTS, apply_scale_defaults
     applied = apply_scale_defaults(spark)
-    assert set(applied) <= set(SCALE_DEFAULTS)
-    for k, v in applied.items():
-        assert spark.conf.get(k) == v
+    try:
+        assert set(applied) <= set(SCALE_DEFAULTS)
+        for k, v in applied.items():
+            assert spark.conf.get(k) == v
+    finally:  # the test session is shared: put local sizing back
+        for k in applied:
+            spark.conf.unset(k)
