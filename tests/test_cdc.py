@@ -111,3 +111,26 @@ def test_bucketed_store_rewrites_only_touched_buckets(spark, scratch):
     want = cdc.apply_changes(cdc.empty_state(spark),
                              feed(spark, rows + [(100, 3, "U", 0.5), (101, 4, "D", None)]))
     assert state_rows(store.read()) == state_rows(want)
+
+
+def test_crash_before_commit_then_replay(spark, scratch, monkeypatch):
+    from depotlens.operators import fsio
+    store = cdc.StateStore(spark, scratch, buckets=4)
+    base = [(i, i, "I", float(i)) for i in range(1, 21)]
+    assert store.apply(feed(spark, base), 0)
+    before = state_rows(store.read())
+    batch = [(30, 3, "U", 9.0), (31, 4, "D", None), (32, 99, "I", 1.0)]
+    real = fsio.write_text_atomic
+
+    def crash(*a, **k):
+        raise RuntimeError("executor lost before commit")
+    monkeypatch.setattr(fsio, "write_text_atomic", crash)
+    try:
+        store.apply(feed(spark, batch), 1)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(fsio, "write_text_atomic", real)
+    assert state_rows(store.read()) == before and store.current_version() == 0   # nothing half-applied
+    assert store.apply(feed(spark, batch), 1)                                    # replay of the epoch
+    want = cdc.apply_changes(cdc.empty_state(spark), feed(spark, base + batch))
+    assert state_rows(store.read()) == state_rows(want)
