@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.exprs import (avg_hours2, bucket, cents, in_bucket, micros_between, pct, round2,
                                ts_lit)
+from ..operators.joins import restrict_to_keys
 from ..operators.rollups import attach, child_rollup
 from ..sources.tables import Tables
 
@@ -101,13 +102,19 @@ SIDES = {
 }
 
 
-def activity_rollup(t: Tables, activity: str, header_filter: Column | None = None) -> DataFrame:
-    """One row per shipment (receipt) with its item count/quantity and duration."""
+def activity_rollup(t: Tables, activity: str, header_filter: Column | None = None,
+                    restrict: bool = False) -> DataFrame:
+    """One row per shipment (receipt) with its item count/quantity and duration.
+
+    ``restrict=True`` (for a selective header filter, e.g. one day) prunes the
+    lines to the filtered headers first via a size-checked broadcast
+    semi-join, so only their lines are aggregated."""
     head, key, ts, items, qty, _, _ = SIDES[activity]
     h = t[head]
     if header_filter is not None:
         h = h.where(header_filter)
-    roll = child_rollup(t[items], key, {"qty": F.sum(qty)})
+    lines = restrict_to_keys(t[items], h, key) if restrict else t[items]
+    roll = child_rollup(lines, key, {"qty": F.sum(qty)})
     return (attach(h, roll, key)
             .withColumn("dur_us", micros_between(F.col("created_date"), F.col(ts))))
 
@@ -147,7 +154,7 @@ def daily_shipping_receiving(t: Tables, as_of: dt.date) -> DataFrame:
     branches = []
     for activity in ("Shipping", "Receiving"):
         head, key, ts, _, _, done, _ = SIDES[activity]
-        per = activity_rollup(t, activity, in_bucket(F.col(ts), "day", as_of))
+        per = activity_rollup(t, activity, in_bucket(F.col(ts), "day", as_of), restrict=True)
         g = per.groupBy("warehouse_id").agg(*_activity_measures(key, done))
         j = w.join(g, "warehouse_id", "left")
         n = F.coalesce(F.col("n_ids"), F.lit(0))
