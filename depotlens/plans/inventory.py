@@ -113,15 +113,22 @@ def movements_with_warehouse(t: Tables, movements: DataFrame) -> DataFrame:
 
 
 def product_movement_summary(t: Tables) -> DataFrame:
-    """V6: per product, day, type, from/to location and warehouse *name*."""
-    m = movements_with_warehouse(t, t["inventory_movements"])
+    """V6: per product, day, type, from/to location and warehouse *name*.
+
+    The warehouse is COALESCE(warehouse(from), warehouse(to)), a function of
+    (from, to), so grouping by the name adds nothing to the (product, day,
+    type, from, to) grouping: movements are aggregated first and the three
+    lookups run on the aggregated rows, not on every movement.
+    """
+    m = t["inventory_movements"]
     qty, cost = F.col("quantity_moved"), F.col("unit_cost")
     g = m.groupBy("product_id", bucket(F.col("movement_date"), "day").alias("movement_date"), "movement_type",
-                  "from_location_id", "to_location_id", "warehouse_name").agg(
+                  "from_location_id", "to_location_id").agg(
         F.sum(qty).alias("total_quantity_moved"),
         F.count_distinct("movement_id").alias("movement_count"),
         F.sum(cents(cost)).alias("cost_cents"), F.count(cost).alias("cost_n"),
         F.sum(qty * cents(cost)).alias("value_cents"))
+    g = movements_with_warehouse(t, g)
     p = t["products"].select("product_id", "product_name", "product_category")
     return g.join(p, "product_id", "inner").select(
         "product_id", "product_name", "product_category", "movement_date", "movement_type",
