@@ -32,8 +32,13 @@ def _money(rng):
     return Decimal(rng.randint(0, 2000)) / 100
 
 
-def make_tables(seed):
+def make_tables(seed, hot: bool = False):
+    """Random edge-case tables; ``hot=True`` puts about a third of the rows of
+    orders, lines, movements and shipments/receipts on one key each."""
     rng = random.Random(seed)
+
+    def pick(choices, hot_value):
+        return hot_value if hot and rng.random() < 0.34 else rng.choice(choices)
     wh = [(1, "North", "LOC-1", "EU"), (2, "South", "LOC-2", "EU"), (3, "North", "LOC-3", "ASIA"),
           (4, "Empty", "LOC-4", "AMERICA")]
     loc = []
@@ -50,32 +55,32 @@ def make_tables(seed):
     mov = []
     for m in range(40):
         typ = rng.choice(["in", "out", "transfer"])
-        mov.append((f"m{m}", rng.randint(1, 10), typ, _ts(rng, False), rng.randint(1, 9), _money(rng),
+        mov.append((f"m{m}", pick(list(range(1, 11)), 3), typ, _ts(rng, False), rng.randint(1, 9), _money(rng),
                     None if typ == "in" else rng.randint(1, 14), None if typ == "out" else rng.randint(1, 14)))
     cust = [(c, f"c{c}", rng.choice(["X", "Y"]), "EU", "FR") for c in range(1, 7)]
     ords = []
     for o in range(1, 31):
         od = _ts(rng, False)
         ship = None if rng.random() < 0.2 else od + dt.timedelta(hours=rng.randint(-2, 80))
-        ords.append((o, rng.choice([1, 1, 2, 3, None, 9]), rng.choice([1, 1, 2, 3, 4, None, 8]),
+        ords.append((o, pick([1, 1, 2, 3, None, 9], 4), pick([1, 1, 2, 3, 4, None, 8], 2),
                      rng.choice(["completed", "pending", "cancelled"]), od, ship))
     items = []
     for i in range(60):
         q = rng.randint(1, 20)
         s = rng.randint(0, q)
-        items.append((f"i{i}", rng.randint(1, 33), rng.randint(1, 9), q, s, q - s, _money(rng)))
+        items.append((f"i{i}", pick(list(range(1, 34)), 5), rng.randint(1, 9), q, s, q - s, _money(rng)))
     ships, recs, sitems, ritems = [], [], [], []
     for k in range(1, 25):
         created = _ts(rng, False)
         ev = None if rng.random() < 0.2 else created + dt.timedelta(hours=rng.randint(0, 40))
-        row = (k, rng.choice([1, 2, 2, 3, 6]), ev, created, rng.choice(["done", "pending"]))
+        row = (k, pick([1, 2, 2, 3, 6], 3), ev, created, rng.choice(["done", "pending"]))
         if k % 2:
             ships.append((row[0], row[1], row[2], row[3], "shipped" if row[4] == "done" else "pending"))
         else:
             recs.append((row[0], row[1], row[2], row[3], "received" if row[4] == "done" else "pending"))
     for _ in range(40):
-        sitems.append((rng.randint(1, 27), rng.randint(1, 9)))
-        ritems.append((rng.randint(1, 27), rng.randint(1, 9)))
+        sitems.append((pick(list(range(1, 28)), 7), rng.randint(1, 9)))
+        ritems.append((pick(list(range(1, 28)), 8), rng.randint(1, 9)))
     return {"warehouses": wh, "locations": loc, "products": prods, "inventory": inv, "inventory_movements": mov,
             "customers": cust, "orders": ords, "order_items": items, "shipments": ships, "receipts": recs,
             "shipment_items": sitems, "receipt_items": ritems}
@@ -102,9 +107,10 @@ REPORTS = {
 }
 
 
-@pytest.fixture(scope="module", params=[7, 2024])
+@pytest.fixture(scope="module", params=[7, 2024, "hot-99"])
 def world(request, spark):
-    rows = make_tables(request.param)
+    p = request.param
+    rows = make_tables(int(str(p).split("-")[-1]), hot=str(p).startswith("hot"))
     t = {n: spark.createDataFrame(r, SCHEMAS[n]) for n, r in rows.items()}
     con = duckdb.connect()
     for n, df in t.items():
