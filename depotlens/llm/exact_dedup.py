@@ -159,7 +159,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # byte comparison: rows of a fingerprint meet in SALTS tasks, are grouped by the text itself,
     # and one text per salt and group goes on
     salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    classes = (salted.join(repeated, ["fp", "salt"])
+    classes = (salted.join(repeated.hint("merge"), ["fp", "salt"])  # one plan at every size: small sides would be broadcast
                .groupBy("fp", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
                .groupBy("fp", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
                .where("group_size > 1")
