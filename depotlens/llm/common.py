@@ -33,10 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """At most ``n`` rows of ``df``, the ones of the smallest hash of ``key``:
-    the same rows on every run and for every partitioning.  A top-n per task
-    and a merge, so it never sorts the table."""
-    return df.orderBy(F.xxhash64(F.lit(7), key)).limit(n)
+    """About ``n`` rows of ``df`` (all, if it has fewer), those whose hash of
+    ``key`` is below a bound: a count and a filter, the same rows on every run
+    and for every partitioning, spread over the tasks that read them."""
+    rows = df.count()
+    bound = (1 << 32) if rows <= n else (1 << 32) * n // rows
+    return df.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 32)) < bound)
 
 
 def _signature(edges: DataFrame) -> tuple:

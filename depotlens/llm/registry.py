@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import identify
+from .mixing import mix
 from .simhash import simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +28,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_source_mixing": op7_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +50,42 @@ ORACLES: dict[str, str] = {
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.body) AS text_sha256
         FROM d JOIN g ON d.body = g.body""",
+    "op7_source_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+            FROM d GROUP BY source),
+        -- sources by size per weight: the first ones get their cap, the water level of the rest decides
+        o AS (
+            SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS k,
+                   sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words,
+                   sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws
+            FROM s),
+        lvl AS (SELECT words::DOUBLE AS words, ws::DOUBLE AS ws, k FROM o WHERE words::DOUBLE * w / ws <= 3 * source_size ORDER BY k LIMIT 1),
+        t AS (
+            SELECT source, source_size,
+                   CASE WHEN o.k < (SELECT k FROM lvl) THEN 3.0::DOUBLE * source_size
+                        ELSE (SELECT words FROM lvl) * w / (SELECT ws FROM lvl) END AS target
+            FROM o),
+        r AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, t.source, u,
+                   least(target / greatest(source_size, 1), 3.0::DOUBLE) AS copies
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (
+            SELECT *, floor(copies)::BIGINT AS whole, target - floor(copies) * source_size AS need,
+                   CASE WHEN copies > floor(copies)
+                        THEN u / (1 - u) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS odds
+            FROM r),
+        c AS (
+            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                   sum(size) OVER (PARTITION BY source, odds) AS unit
+            FROM q)
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+               size * (whole + CASE WHEN odds IS NOT NULL AND need > 0
+                   AND (upto <= need OR (upto - unit < need AND upto - need <= need - (upto - unit))) THEN 1 ELSE 0 END)::BIGINT AS taken
+        FROM c""",
 }
