@@ -1,23 +1,75 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""Corpus pipeline over ``documents``: five stages, each written as Parquet and
+read again as the next one's documents.
+
+All stages but the last keep the columns of their input.  Defined results:
+rows of equal id and text are one document; rows of different text that share
+an id go or stay together in the near-duplicate stage; null ids are ids like
+any other; an empty table runs through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotlens.llm.bpe import tokenised
 from depotlens.llm.common import table, written
 from depotlens.llm.exact_dedup import exact_dedup
+from depotlens.llm.langid import without_rejected
+from depotlens.llm.mixing import mix
+from depotlens.llm.simhash import simhash_dedup
+
+
+def joined(docs: DataFrame, rows: DataFrame, how: str, **on: str) -> DataFrame:
+    """``docs`` joined to ``rows`` where columns are equal or both null; texts
+    are shuffled by the same join at every size."""
+    rows = rows.select([F.col(c).alias(f"__{c}") for c in rows.columns]).hint("merge")
+    cond = None
+    for left, right in on.items():
+        same = docs[left].eqNullSafe(rows[f"__{right}"])
+        cond = same if cond is None else cond & same
+    return docs.join(rows, cond, how)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID rejects go."""
+    return without_rejected(docs)
+
+
+def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document of the largest id stays, as one row."""
+    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__sha"])
+    return joined(keyed, kept, "left_semi", doc_id="doc_id", __sha="text_sha256").drop("__sha")
+
+
+def one_of_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every SimHash component the document of the smallest id stays."""
+    groups = simhash_dedup(docs, words=3, distance=2)
+    return joined(docs, groups.where("doc_id <=> component_id").select("doc_id"), "left_semi", doc_id="doc_id")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = mix(docs).where("copies > 0").select("doc_id", "source", F.col("copies").cast("int").alias("copies")).distinct()
+    out = joined(docs, copies, "inner", doc_id="doc_id", source="source")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token ids, with digests of the ids and of what they decode to."""
+    return tokenised(docs)
 
 
 STAGES = [
-    ("exact dedup", drop_exact_copies),
+    ("language ID", known_language),
+    ("exact dedup", one_of_equal_texts),
+    ("SimHash near-dedup", one_of_near_texts),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE encoding and decoding", encoded),
 ]
 
+#: Language ID, SimHash and BPE have no SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 

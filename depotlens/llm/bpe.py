@@ -30,7 +30,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 STATES = 400_000  # transitions kept; the table starts anew beyond
@@ -238,49 +237,54 @@ def codec(path: str, ranks) -> Codec:
 ARROW = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def _rows(docs: DataFrame, fn, schema: T.StructType, path: str) -> DataFrame:
-    """``fn(codec, value)`` of the second column gives the columns after the first."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # one vocabulary, some MB
-    names = schema.names
+def _rows(src: DataFrame, fn, path: str, **columns: str) -> DataFrame:
+    """All columns of ``src`` but the last, and ``columns`` (name: type), which ``fn(codec, value)`` makes of the last."""
+    ranks = src.sparkSession.sparkContext.broadcast(read_ranks(path))  # one vocabulary, some MB
+    passed = src.columns[:-1]
+    types = [ARROW[t] for t in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, ranks)
-        types = [ARROW[f.dataType.simpleString()] for f in schema.fields[1:]]
         for batch in batches:
-            rows = [fn(own, value.as_py()) for value in batch.column(1)]
+            rows = [fn(own, value.as_py()) for value in batch.column(len(passed))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(passed)], *made], [*passed, *columns])
 
-    return docs.mapInArrow(run, schema)
-
-
-def _schema(first: T.StructField, *columns: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([first, *(T.StructField(n, t) for n, t in columns)])
+    head = "".join(f"`{c}` {t}, " for c, t in src.dtypes[:-1])
+    return src.mapInArrow(run, head + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids)"""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _rows(src, lambda c, text: (c.encode(text),), _schema(src.schema[0], ("token_ids", T.ArrayType(T.IntegerType()))), path)
+    return _rows(src, lambda c, text: (c.encode(text),), path, token_ids="array<int>")
 
 
 def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, text); null ids decode to empty text."""
     src = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("token_ids"))
-    return _rows(src, lambda c, ids: ("".join(c.decode(ids or [])),), _schema(src.schema[0], ("text", T.StringType())), path)
+    return _rows(src, lambda c, ids: ("".join(c.decode(ids or [])),), path, text="string")
 
 
-def digests(own: Codec, text: str | None) -> tuple[int, str, str]:
-    """Of one text: tokens, digest of the ids, digest of what the ids decode to."""
+def round_trip(own: Codec, text: str | None) -> tuple[list[int], int, str, str]:
+    """Of one text: ids, their number, their digest, and the digest of what they decode to."""
     ids = own.encode(text)
     decoded = hashlib.sha256()
     for part in own.decode(ids):
         decoded.update(part.encode("utf-8"))
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+    return ids, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
 
 
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded again in one pass."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return _rows(src, digests, _schema(src.schema[0], ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()),
-                                       ("decoded_sha256", T.StringType())), path)
+    return _rows(src, lambda c, text: round_trip(c, text)[1:], path, n_tokens="bigint", ids_sha256="string", decoded_sha256="string")
+
+
+def tokenised(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """All columns of ``docs`` but the text, and token_ids, n_tokens, ids_sha256
+    and decoded_sha256 (columns of these names are replaced)."""
+    made = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    src = docs.select(*[c for c in docs.columns if c not in [*made, text_col]], text_col)
+    return _rows(src, round_trip, path, **dict(zip(made, ["array<int>", "bigint", "string", "string"], strict=True)))

@@ -105,7 +105,7 @@ def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 1, epochs: int = 8, rate: float = 2.0, batch: int = 32) -> LanguageModel:
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 1, steps: int = 900, rate: float = 2.0, batch: int = 32) -> LanguageModel:
     """SGD on mean embeddings and layer; a share is held back to calibrate."""
     languages = sorted(set(labels))
     y = np.array([languages.index(v) for v in labels])
@@ -114,8 +114,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
     back = order[: int(len(y) * CALIBRATION_SHARE)]
     learn = order[len(back):]
     model = LanguageModel(languages, rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages)))
-    steps, done = epochs * -(-len(learn) // batch), 0
-    for _ in range(epochs):
+    done = 0
+    while done < steps and len(learn):
         rng.shuffle(learn)
         for at in range(0, len(learn), batch):
             rows = learn[at:at + batch]
@@ -123,7 +123,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             mean = x @ model.embedding
             error = softmax(mean @ model.layer + model.bias)
             error[np.arange(len(rows)), y[rows]] -= 1
-            lr = rate * (1 - done / steps) / len(rows)
+            lr = rate * max(0.0, 1 - done / steps) / len(rows)
             back_mean = error @ model.layer.T
             model.layer -= lr * mean.T @ error
             model.bias -= lr * error.sum(axis=0)
@@ -174,29 +174,49 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(sparse, [lang for _, lang, _ in rows])
 
 
+def verdicts(model: LanguageModel | None):
+    """A function from Arrow texts to (lang_pred, score, rejected) lists."""
+    weights = None if model is None else model.embedding @ model.layer  # what each bucket adds to the logits
+
+    def judge(texts: pa.Array) -> tuple:
+        out = []
+        for text in texts:
+            n = None if model is None else counts(text.as_py())
+            if n is None:
+                out.append(("und", 0.0, True))
+                continue
+            hit = np.flatnonzero(n)
+            p = softmax(((n[hit] / n.sum()) @ weights[hit] + model.bias) / model.temperature)
+            best = int(p.argmax())
+            out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
+        return tuple(zip(*out, strict=True)) if out else ((), (), ())
+
+    return judge
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              model: LanguageModel | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, rejected."""
-    model = model or learn(docs, id_col, text_col, lang_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model and (model.embedding @ model.layer, model))
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs, id_col, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known = sent.value or (None, None)
+        judge = verdicts(sent.value)
         for batch in batches:
-            out = []
-            for text in batch.column(2):
-                n = None if known is None else counts(text.as_py())
-                if n is None:
-                    out.append(("und", 0.0, True))
-                    continue
-                # the mean embedding through the layer, as a mean of what each bucket adds
-                hit = np.flatnonzero(n)
-                p = softmax(((n[hit] / n.sum()) @ weights[hit] + known.bias) / known.temperature)
-                best = int(p.argmax())
-                out.append((known.languages[best], float(p[best]), bool(p[best] < known.reject_below)))
-            lang, score, rejected = zip(*out, strict=True) if out else ([], [], [])
+            lang, score, rejected = judge(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["doc_id"]
     return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language is known, all columns as they are; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = verdicts(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not r for r in judge(batch.column(text_col))[2]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
