@@ -11,11 +11,16 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .mixing import mix
+from .quality_rules import quality_rules
 from .simhash import simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"), words=3, distance=2)
 
@@ -37,6 +42,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
@@ -45,6 +51,39 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS body,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents),
+        lines AS (SELECT r, unnest(string_split(body, chr(10))) AS line FROM d),
+        dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+        w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+        win AS (
+            SELECT r, i, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+        many AS (SELECT r, i, count(*) OVER (PARTITION BY r, word, b, c) AS n FROM win WHERE c IS NOT NULL),
+        rep AS (SELECT r, count(DISTINCT i + k) AS n FROM many, (VALUES (0), (1), (2)) AS t(k) WHERE many.n > 1 GROUP BY r),
+        m AS (
+            SELECT d.r, doc_id, source, len(words) AS n_words,
+                   length(regexp_replace(body, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+                   length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+            FROM d LEFT JOIN dup ON d.r = dup.r LEFT JOIN rep ON d.r = rep.r),
+        f AS (
+            SELECT m.*, unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > word_chars, 5 * n_dup_lines > n_words]) AS failed,
+                   unnest([1, 2, 3, 4]) AS rule
+            FROM m),
+        h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM f GROUP BY ALL),
+        p AS (
+            SELECT rule, sum(k) / sum(n) AS mean, greatest(sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ^ 2, 0) AS var FROM h GROUP BY rule),
+        s AS (
+            SELECT rule, mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 10), 1e6) ELSE 1e6 END AS strength FROM p),
+        v AS (SELECT source, bool_or((k + mean * strength) / (n + strength) > 0.8) AS host_failed FROM h JOIN s USING (rule) GROUP BY source)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+               n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, host_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT host_failed AS kept
+        FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
