@@ -32,13 +32,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hashed_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """About ``n`` rows of ``df`` (all, if it has fewer), those whose hash of
-    ``key`` is below a bound: a count and a filter, the same rows on every run
-    and for every partitioning, spread over the tasks that read them."""
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The least row of each key, by the other columns in their order."""
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("least")).select(key, "least.*")
+
+
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows of ``df`` (all, if it has fewer), one per key: those
+    whose hash of ``key`` is below a bound.  A count and a filter, the same
+    rows on every run and for every partitioning, spread over the tasks that
+    read them; a key of very many rows adds one."""
     rows = df.count()
     bound = (1 << 32) if rows <= n else (1 << 32) * n // rows
-    return df.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 32)) < bound)
+    return one_per_key(df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 32)) < bound), key)
 
 
 def _signature(edges: DataFrame) -> tuple:

@@ -162,11 +162,11 @@ def features(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """A model from at most SAMPLE labelled documents that are not held out."""
+    """A model from about SAMPLE labelled documents that are not held out, one per id."""
     src = (docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
            .where(F.length(text_col) <= SAMPLE_CHARS)
            .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id")))
-    found = features(hashed_sample(src, F.col("id"), SAMPLE), ["lang", "id"]).where("bucket IS NOT NULL").toArrow()
+    found = features(hashed_sample(src, "id", SAMPLE), ["lang", "id"]).where("bucket IS NOT NULL").toArrow()
     if not found.num_rows:
         return None
     rows = sorted(zip(*(found[c].to_pylist() for c in ("id", "lang")), range(found.num_rows), strict=True), key=lambda r: (r[0] or "", r[1]))

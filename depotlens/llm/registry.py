@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .mixing import mix
+from .quality_mil import classify
 from .quality_rules import quality_rules
 from .simhash import simhash_dedup
 from .span_dedup import remove_repeats
@@ -42,6 +43,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 

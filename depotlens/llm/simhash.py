@@ -176,7 +176,7 @@ def near_links(distinct: DataFrame, distance: int) -> DataFrame:
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
     rows = distinct.count()
-    sample = np.array([r.fp for r in hashed_sample(distinct.select("fp"), F.col("fp"), SAMPLE).collect()], np.int64)
+    sample = np.array([r.fp for r in hashed_sample(distinct.select("fp"), "fp", SAMPLE).collect()], np.int64)
     if rows < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     plan = plan_probes(sample.view(np.uint64), rows, distance)
