@@ -15,6 +15,7 @@ from .quality_mil import classify
 from .quality_rules import quality_rules
 from .simhash import simhash_dedup
 from .span_dedup import remove_repeats
+from .toxicity import detect
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +44,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
