@@ -10,6 +10,7 @@ denominator, then ``(2|n| + |d|) div 2|d|`` with the sign restored.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,12 +49,8 @@ def cents(money: Column) -> Column:
 
 
 def money_from_cents(c: Column) -> Column:
-    return c.cast("double") / F.lit(100.0)
-
-
-def avg2_money(sum_cents: Column, n: Column) -> Column:
-    """ROUND(AVG(money), 2) from the exact cent sum and the non-null count."""
-    return round2(sum_cents, n)
+    """Exact money, decimal(38,2), from integer cents."""
+    return (c.cast("decimal(36,0)") * F.lit(decimal.Decimal("0.01"))).cast("decimal(38,2)")
 
 
 def pct(a: Column, b: Column) -> Column:

@@ -1,11 +1,8 @@
-"""Join helpers with explicit, checked broadcast decisions.
+"""Joins of large tables that behave alike at every size.
 
-``restrict_to_keys`` prunes a large child table to the keys of a filtered
-parent *before* the child is aggregated -- but only through a broadcast
-left-semi join whose key set has been counted (distributed ``count()``) and
-found small.  Beyond the bound the child is returned unchanged;
-the later parent join drops the unmatched rows anyway, so results are the
-same either way and no unbounded side is ever broadcast.
+No side is hinted to be broadcast and nothing is counted while a plan is
+built: whether a side is small enough is left to the planner, which knows its
+size (statically, or at run time through adaptive execution).
 """
 
 from __future__ import annotations
@@ -13,65 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BYTES_PER_KEY = 16  # one long key in a broadcast hash relation, with overhead
-DEFAULT_THRESHOLD = 10 * 1024 * 1024
+NULL_SPREAD = 1024  # partitions' worth of keys that rows with a NULL key are spread over
 
 
-def broadcast_row_bound(spark) -> int:
-    """Largest key count we broadcast: the session's broadcast threshold / 16 B."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_THRESHOLD))
-    try:
-        nbytes = int(str(raw).lower().rstrip("b").replace("k", "000").replace("m", "000000"))
-    except ValueError:
-        nbytes = DEFAULT_THRESHOLD
-    return max(0, nbytes // BYTES_PER_KEY)
+def restrict_to_keys(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``big`` whose key occurs in ``keys``.  Below an aggregation
+    on the same key this prunes a long history to what a date-filtered parent
+    needs, at the price of a join instead of an aggregation of everything."""
+    return big.join(keys.select(key).where(F.col(key).isNotNull()), key, "left_semi")
 
 
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows.
+def lookup(fact: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """``fact JOIN dim`` for an N:1 lookup on a key that may be NULL.
 
-    A plain distributed ``count()`` (partial counts per partition, one number
-    per task reaches the driver).  ``limit(n + 1).count()`` would read less
-    but funnels up to n + 1 rows *per partition* into a single task.
+    Rows with a NULL key match nothing, but a shuffle join would send all of
+    them to one task; a second join column that is 0 for every real key and a
+    hash of the row for NULL keys spreads them.
     """
-    return n > 0 and df.count() <= n
-
-
-def restrict_to_keys(big: DataFrame, keys: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
-    """``big`` LEFT SEMI JOIN broadcast(distinct keys) when the key set is
-    provably small, else ``big`` unchanged."""
-    k = keys.select(key).where(F.col(key).isNotNull())
-    bound = broadcast_row_bound(big.sparkSession) if max_rows is None else max_rows
-    if has_at_most(k, bound):
-        return big.join(F.broadcast(k), key, "left_semi")
-    return big
-
-
-# Dimension lookups (N:1 joins of a large fact to a dimension).  A dimension
-# is broadcast when a bounded count proves it has at most this many rows; the
-# bound is a session setting so clusters with larger executors can raise it.
-LOOKUP_ROWS_CONF = "depotlens.lookup.broadcastRows"
-DEFAULT_LOOKUP_ROWS = 2_000_000  # a few narrow columns: well under 100 MB as a hash relation
-
-
-def lookup_row_bound(spark) -> int:
-    try:
-        return int(spark.conf.get(LOOKUP_ROWS_CONF, str(DEFAULT_LOOKUP_ROWS)))
-    except (TypeError, ValueError):
-        return DEFAULT_LOOKUP_ROWS
-
-
-def fits_lookup(dim: DataFrame) -> bool:
-    """True when ``dim`` provably has at most the lookup bound of rows."""
-    return has_at_most(dim, lookup_row_bound(dim.sparkSession))
-
-
-def lookup(fact: DataFrame, dim: DataFrame, on: str | list[str], how: str = "left",
-           small: bool | None = None) -> DataFrame:
-    """``fact JOIN dim`` for an N:1 lookup: broadcast ``dim`` when it provably
-    fits (a distributed ``count()``, or the caller's earlier check ``small``),
-    else leave the strategy to the planner (sort-merge, with AQE skew
-    splitting for hot fact keys)."""
-    if small is None:
-        small = fits_lookup(dim)
-    return fact.join(F.broadcast(dim) if small else dim, on, how)
+    spread = F.when(F.col(on).isNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    left = fact.withColumn("_spread", spread.cast("int"))
+    return left.join(dim.withColumn("_spread", F.lit(0)), [on, "_spread"], how).drop("_spread")

@@ -59,7 +59,7 @@ def order_rollup(orders: DataFrame, order_items: DataFrame, distinct_items: bool
     ``inner=True`` keeps only orders with at least one line (inner join form);
     then the weight is the line count itself.  ``restrict=True`` (for date-
     filtered orders) first prunes the lines to those orders through a
-    size-checked broadcast semi-join, so only their lines are aggregated.
+    semi-join, so only their lines are aggregated.
     """
     if restrict:
         from .joins import restrict_to_keys

@@ -91,6 +91,15 @@ def key_stats(df: DataFrame, key: tuple[str, ...] | list[str], name: str) -> Dat
         F.count(F.when(~F.col("_null") & (F.col("n") > 1), F.lit(1))).alias("duplicate_keys"))
 
 
+def base_key_stats(t: Tables, keys: dict[str, tuple[str, ...] | list[str]]) -> DataFrame:
+    """One row per table of ``keys``: rows, rows with a NULL key part, duplicated keys."""
+    out = None
+    for name, key in keys.items():
+        st = key_stats(t[name], key, name).withColumnRenamed("snapshot", "table_name")
+        out = st if out is None else out.unionByName(st)
+    return out
+
+
 class DuplicateKeyError(ValueError):
     pass
 

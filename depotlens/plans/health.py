@@ -101,45 +101,24 @@ def _stacked(t: Tables) -> DataFrame:
     return out
 
 
-def column_profile(t: Tables, top: int = 5, salt_buckets: int = 256, fraction: float | None = None,
-                   seed: int = 17) -> DataFrame:
-    """O3: rows, null_count, n_distinct and the ``top`` most common values (count
-    >= 2, ties by value) per column, as '{v1,v2}' / '{c1,c2}' texts.
-
-    Value counts come from one partial aggregation over the stacked cells.
-    Only values seen at least twice compete (unique keys drop out at once).
-    Top-k per column is two-level: first within (column, hash-salt) windows,
-    so each window group holds 1/``salt_buckets`` of a column's repeated
-    values and a column with billions of them is ranked by many tasks; then
-    among the at most ``top * salt_buckets`` survivors of each column.
-
-    By default every row is profiled (exact).  ``fraction`` turns it into a
-    statistics sample like a database ANALYZE (Bernoulli sample per table,
-    fixed ``seed``); counts are then those of the sample.
+def column_profile(t: Tables) -> DataFrame:
+    """O3: per column rows, null_count and n_distinct, with every value that
+    occurs more than once, how often (n) and its share of the rows (frequency).
+
+    A row per column and repeated value; a column without any has one row with
+    a NULL value.  Nothing is ranked, cut or sampled: value counts come from
+    one partial aggregation over the cells and stay spread over the tasks.
     """
-    if fraction is not None:
-        t = {n: t[n].sample(fraction=fraction, seed=seed) for n in SCHEMAS}
-    cells = _stacked(t)
-    counts = cells.groupBy("cid", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = _stacked(t).groupBy("cid", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("cid").agg(
         F.sum("n").cast("long").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
         F.count("value").alias("n_distinct"))
-    order = [F.col("n").desc(), F.col("value").asc()]
-    cand = counts.where(F.col("value").isNotNull() & (F.col("n") >= 2)) \
-                 .withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salt_buckets)))
-    cand = cand.withColumn("_r", F.row_number().over(Window.partitionBy("cid", "_salt").orderBy(*order))) \
-               .where(F.col("_r") <= top)
-    best = cand.withColumn("_r", F.row_number().over(Window.partitionBy("cid").orderBy(*order))) \
-               .where(F.col("_r") <= top)
-    mcv = best.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("_r", "value", "n"))).alias("_l"))
-    mcv = mcv.select("cid",
-                     F.concat(F.lit("{"), F.array_join(F.transform("_l", lambda s: s["value"]), ","), F.lit("}"))
-                     .alias("most_common_vals"),
-                     F.concat(F.lit("{"), F.array_join(F.transform("_l", lambda s: s["n"].cast("string")), ","),
-                              F.lit("}")).alias("most_common_counts"))
+    repeated = counts.where(F.col("value").isNotNull() & (F.col("n") > 1))
     names = t[next(iter(SCHEMAS))].sparkSession.createDataFrame(
         _columns(), "cid int, schemaname string, tablename string, attname string")
-    return totals.join(mcv, "cid", "left").join(F.broadcast(names), "cid") \
-                 .select("schemaname", "tablename", "attname", "rows", "null_count", "n_distinct",
-                         "most_common_vals", "most_common_counts")
+    # totals and names have a row per column of the schema
+    heads = totals.join(F.broadcast(names), "cid")
+    return heads.join(repeated, "cid", "left").select(
+        "schemaname", "tablename", "attname", "rows", "null_count", "n_distinct", "value", "n",
+        (F.col("n") / F.col("rows")).alias("frequency"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.exprs import BIG, bucket, cents, in_bucket, money_from_cents, round2, since, ts_lit
 from ..functions.rules import ladder
-from ..operators.joins import fits_lookup, lookup
+from ..operators.joins import lookup
 from ..sources.tables import Tables
 
 PRODUCT_COLS = ["product_id", "product_name", "product_category", "sku", "unit_of_measure"]
@@ -38,7 +38,7 @@ def inventory_rollup(inventory: DataFrame) -> DataFrame:
 
 
 def _stock_measures(factor: Column | None = None) -> list[Column]:
-    f = (lambda c: c * factor) if factor is not None else (lambda c: c)
+    f = (lambda c: (c.cast(BIG) * factor).cast(BIG)) if factor is not None else (lambda c: c)
     on_hand = F.coalesce(f(F.col("sum_on_hand")), F.lit(0))
     return [on_hand.alias("total_quantity_on_hand"),
             F.coalesce(f(F.col("sum_alloc")), F.lit(0)).alias("total_quantity_allocated"),
@@ -82,15 +82,15 @@ def monthly_inventory_summary(t: Tables, as_of: dt.date, mode: str = "reference"
          .join(inventory_rollup(t["inventory"]), "product_id", "left")
          .join(mov, "product_id", "left"))
     ref = mode == "reference"
-    f_mov = F.coalesce(F.col("n_mov"), F.lit(1)) if ref else None
-    f_inv = F.coalesce(F.col("n_inv"), F.lit(1)) if ref else F.lit(1)
+    f_mov = (F.coalesce(F.col("n_mov"), F.lit(1)) if ref else F.lit(1)).cast(BIG)
+    f_inv = (F.coalesce(F.col("n_inv"), F.lit(1)) if ref else F.lit(1)).cast(BIG)
     no_mov = F.col("n_mov").isNull()
     return j.select(
         ts_lit(dt.datetime(as_of.year, as_of.month, 1)).alias("summary_month"), *PRODUCT_COLS,
         *_stock_measures(f_mov),
         F.coalesce(F.col("movements_this_month"), F.lit(0)).alias("movements_this_month"),
-        F.when(no_mov, F.lit(0)).otherwise(F.col("sum_in") * f_inv).alias("total_quantity_in"),
-        F.when(no_mov, F.lit(0)).otherwise(F.col("sum_out") * f_inv).alias("total_quantity_out"),
+        F.when(no_mov, F.lit(0)).otherwise((F.col("sum_in").cast(BIG) * f_inv).cast(BIG)).cast(BIG).alias("total_quantity_in"),
+        F.when(no_mov, F.lit(0)).otherwise((F.col("sum_out").cast(BIG) * f_inv).cast(BIG)).cast(BIG).alias("total_quantity_out"),
     ).withColumn("stock_status", _stock_status())
 
 
@@ -98,16 +98,14 @@ def movements_with_warehouse(t: Tables, movements: DataFrame) -> DataFrame:
     """Movements with the warehouse of their from- (else to-) location.
 
     Two N:1 lookups into locations and one into warehouses on the computed
-    ``COALESCE`` key (still an equi-join).  Unmatched lookups give NULL.  Each
-    lookup broadcasts the dimension only after a bounded count proved it
-    small (``operators.joins.lookup``); otherwise it is a shuffle join.
+    ``COALESCE`` key (still an equi-join).  Unmatched lookups give NULL; rows
+    without a location are spread (``operators.joins.lookup``).
     """
     loc = t["locations"].select("location_id", "warehouse_id")
     fl = loc.select(F.col("location_id").alias("from_location_id"), F.col("warehouse_id").alias("fl_wh"))
     tl = loc.select(F.col("location_id").alias("to_location_id"), F.col("warehouse_id").alias("tl_wh"))
     w = t["warehouses"].select(F.col("warehouse_id").alias("wh_key"), "warehouse_id", "warehouse_name")
-    small = fits_lookup(loc)  # one check serves both location lookups
-    m = lookup(lookup(movements, fl, "from_location_id", small=small), tl, "to_location_id", small=small) \
+    m = lookup(lookup(movements, fl, "from_location_id"), tl, "to_location_id") \
         .withColumn("wh_key", F.coalesce(F.col("fl_wh"), F.col("tl_wh")))
     return lookup(m, w, "wh_key").drop("wh_key", "fl_wh", "tl_wh")
 
@@ -140,22 +138,27 @@ def product_movement_summary(t: Tables) -> DataFrame:
 def product_movement_30days(t: Tables, as_of: dt.date) -> DataFrame:
     """M5: per product, movements since as_of - 30 days (no upper bound)."""
     recent = t["inventory_movements"].where(since(F.col("movement_date"), as_of, days=30))
-    m = movements_with_warehouse(t, recent)
     qty, cost = F.col("quantity_moved"), F.col("unit_cost")
-    g = m.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("n_mov"),
-        F.count_distinct("movement_id").alias("total_movements"),
-        F.sum(_type_qty(R.MOVE_IN)).alias("sum_in"), F.sum(_type_qty(R.MOVE_OUT)).alias("sum_out"),
-        F.sum(_type_qty(R.MOVE_TRANSFER)).alias("sum_tr"),
-        F.sum(cents(cost)).alias("cost_cents"), F.count(cost).alias("cost_n"),
-        F.sum(qty * cents(cost)).alias("value_cents"),
-        F.count_distinct("from_location_id").alias("unique_from_locations"),
-        F.count_distinct("to_location_id").alias("unique_to_locations"),
-        F.count_distinct("warehouse_id").alias("warehouses_involved"),
-        F.max("movement_date").alias("last_movement_date"), F.min("movement_date").alias("first_movement_date"))
+    sums = [F.count(F.lit(1)).alias("n_mov"), F.sum(_type_qty(R.MOVE_IN)).alias("sum_in"), F.sum(_type_qty(R.MOVE_OUT)).alias("sum_out"),
+            F.sum(_type_qty(R.MOVE_TRANSFER)).alias("sum_tr"), F.sum(cents(cost)).alias("cost_cents"), F.count(cost).alias("cost_n"),
+            F.sum(qty * cents(cost)).alias("value_cents"),
+            F.max("movement_date").alias("last_movement_date"), F.min("movement_date").alias("first_movement_date")]
+    routes = recent.groupBy("product_id", "from_location_id", "to_location_id").agg(*sums)
+    routes = movements_with_warehouse(t, routes)
+    # distinct places by explicit dedupes of the reduced rows; no set is ever held in one row
+    place = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("place"))
+                               for k, c in enumerate(("from_location_id", "to_location_id", "warehouse_id"))]))
+    places = routes.select("product_id", place).where(F.col("place").isNotNull()).distinct().groupBy("product_id").agg(
+        *[F.count(F.when(F.col("kind") == k, 1)).alias(n)
+          for k, n in enumerate(("unique_from_locations", "unique_to_locations", "warehouses_involved"))])
+    total = {"n_mov": F.sum, "sum_in": F.sum, "sum_out": F.sum, "sum_tr": F.sum, "cost_cents": F.sum, "cost_n": F.sum, "value_cents": F.sum,
+             "last_movement_date": F.max, "first_movement_date": F.min}
+    g = routes.groupBy("product_id").agg(*[fn(c).alias(c) for c, fn in total.items()])
+    ids = recent.groupBy("product_id").agg(F.count_distinct("movement_id").alias("total_movements"))
+    g = g.join(ids, "product_id").join(places, "product_id", "left")
     j = t["products"].select("product_id", "product_name", "product_category", "sku").join(g, "product_id", "left")
     no_mov = F.col("n_mov").isNull()
-    zero = lambda c: F.when(no_mov, F.lit(0)).otherwise(F.col(c))
+    zero = lambda c: F.when(no_mov, F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0)))
     return j.select(
         F.lit(as_of).alias("summary_date"), "product_id", "product_name", "product_category", "sku",
         zero("total_movements").alias("total_movements"),

@@ -30,6 +30,13 @@ def r_unique_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def r_base_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key statistics of the base tables whose declared keys the reports rely on."""
+    from ..sources.tables import PRIMARY_KEYS
+    t = fixture_tables(spark, sf_dir)
+    return S.base_key_stats(t, PRIMARY_KEYS)
+
+
 def _m4_plain(t, as_of):
     return S.builders()["m4_customer_lifetime_value"](t, as_of).drop("summary_month")
 
@@ -116,6 +123,7 @@ def o_table_dml_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATIONS = {
     "r_unique_key_check": r_unique_key_check,
+    "r_base_key_check": r_base_key_check,
     "r_refresh_diff_m4": r_refresh_diff_m4,
     "export_snapshot": export_snapshot,
     "cdc_table_selection": cdc_table_selection,

@@ -89,9 +89,9 @@ def j_fanout_product(t: Tables, as_of: dt.date) -> DataFrame:
          .join(n_day(t["shipments"], "ship_date", "n_shipments"), "warehouse_id", "left")
          .join(n_day(t["receipts"], "receive_date", "n_receipts"), "warehouse_id", "left"))
     names = ["n_locations", "n_orders", "n_shipments", "n_receipts"]
-    rows = F.lit(1).cast("long")
+    rows = F.lit(1).cast(BIG)
     for n in names:
-        rows = rows * F.coalesce(F.col(n), F.lit(1))
+        rows = (rows * F.coalesce(F.col(n), F.lit(1)).cast(BIG)).cast(BIG)
     return j.select("warehouse_id", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names],
                     rows.alias("joined_rows"))
 

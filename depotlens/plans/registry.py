@@ -47,22 +47,15 @@ REPORTS: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    out = dict(REPORTS)
-    try:
-        from . import primitives
-        out.update(primitives.PRIMITIVES)
-    except ImportError:  # pragma: no cover - during bootstrap
-        pass
     from .operations import OPERATIONS
-    out.update(OPERATIONS)
-    return out
+    from .primitives import PRIMITIVES
+    return REPORTS | PRIMITIVES | OPERATIONS
 
 
 def all_oracles() -> dict[str, str]:
     from ..checks import oracle
     out = {k: f() for k, f in oracle.REPORT_SQL.items()}
-    out.update(getattr(oracle, "EXTRA_SQL", {}))
-    return out
+    return out | oracle.EXTRA_SQL
 
 
 # report key -> function(tables[, as_of]) for library use (CLI, views)

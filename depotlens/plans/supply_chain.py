@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -43,7 +43,7 @@ def side_days(t: Tables, activity: str, as_of: dt.date, prefix: str, day_name: s
     """warehouses LEFT JOIN header LEFT JOIN items, reduced to (warehouse, day):
     joined-row count, distinct headers, quantity, rounded average duration and
     the exact mean event time (relative to as_of) as long quotient/remainder."""
-    head, key, ts, _, _, _, _ = SIDES[activity]
+    head, key, ts, _, _, _ = SIDES[activity]
     per = activity_rollup(t, activity).withColumn("rel_us", micros_between(ts_lit(as_of), F.col(ts)))
     w, dur, rel = F.col("w"), F.col("dur_us"), F.col("rel_us")
     g = per.groupBy("warehouse_id", bucket(F.col(ts), "day").alias(day_name)).agg(
@@ -66,6 +66,27 @@ def side_days(t: Tables, activity: str, as_of: dt.date, prefix: str, day_name: s
                     F.coalesce(F.col("ids"), F.lit(0)).alias(f"{prefix}_ids"))
 
 
+SPLIT = 16  # tasks that share the output of one warehouse
+
+
+def pair_days(a: DataFrame, b: DataFrame, cut: Column) -> DataFrame:
+    """Days of both sides of a warehouse of which at least one is recent.
+
+    One equi-join on (warehouse, group, part).  A receive day is in the group
+    "recent" or "old"; a ship day joins recent receive days always and old
+    ones only when it is recent itself.  Receive days are dealt to SPLIT parts
+    by their date and ship days repeated for each, so a warehouse with most of
+    the days is paired by many tasks.
+    """
+    recent = lambda c: F.coalesce(F.col(c) >= cut, F.lit(False))
+    part = F.pmod(F.xxhash64("receive_date"), F.lit(SPLIT)).cast("int")
+    left = a.withColumn("_old", ~recent("receive_date")).withColumn("_part", part)
+    groups = F.when(recent("ship_date"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    right = (b.withColumn("_old", F.explode(groups))
+             .withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SPLIT)]))))
+    return left.join(right, ["warehouse_id", "_old", "_part"]).drop("_old", "_part")
+
+
 def supply_chain(t: Tables, as_of: dt.date, days: int = 30, mode: str = "reference") -> DataFrame:
     """Q5.  ``mode="reference"`` keeps the report's quantity inflation (each
     side's quantity times the other side's row count); ``"corrected"`` does not."""
@@ -74,12 +95,11 @@ def supply_chain(t: Tables, as_of: dt.date, days: int = 30, mode: str = "referen
     cut = ts_lit(minus(as_of, days=days))
     a = side_days(t, "Receiving", as_of, "a", "receive_date")
     b = side_days(t, "Shipping", as_of, "b", "ship_date").drop("warehouse_name", "region")
-    a_recent = F.coalesce(F.col("receive_date") >= cut, F.lit(False))
-    pairs = (a.where(a_recent).join(b, "warehouse_id", "inner")
-             .unionByName(a.where(~a_recent).join(b.where(F.col("ship_date") >= cut), "warehouse_id", "inner")))
+    pairs = pair_days(a, b, cut)
     ref = mode == "reference"
-    q_recv = F.col("a_qty") * F.col("b_rows") if ref else F.col("a_qty")
-    q_ship = F.col("b_qty") * F.col("a_rows") if ref else F.col("b_qty")
+    one = F.lit(1)
+    q_recv = (F.col("a_qty").cast(BIG) * (F.col("b_rows") if ref else one).cast(BIG)).cast(BIG)
+    q_ship = (F.col("b_qty").cast(BIG) * (F.col("a_rows") if ref else one).cast(BIG)).cast(BIG)
     frac_sign = F.signum(F.col("b_r") * F.col("a_en") - F.col("a_r") * F.col("b_en")).cast("long")
     proc_h = round_half_away((F.col("b_q") - F.col("a_q")) * 2 + frac_sign, F.lit(2 * MICROS_PER_HUNDREDTH_HOUR))
     s = pairs.select(

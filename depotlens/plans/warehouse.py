@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.exprs import (avg_hours2, bucket, cents, in_bucket, micros_between, pct, round2,
+from ..functions.exprs import (BIG, avg_hours2, bucket, cents, in_bucket, micros_between, pct, round2,
                                ts_lit)
 from ..operators.joins import restrict_to_keys
 from ..operators.rollups import attach, child_rollup
@@ -40,7 +40,7 @@ def location_rollup(locations: DataFrame) -> DataFrame:
 
 
 def _location_measures(factor: Column | None = None) -> list[Column]:
-    f = (lambda c: c * factor) if factor is not None else (lambda c: c)
+    f = (lambda c: (c.cast(BIG) * factor).cast(BIG)) if factor is not None else (lambda c: c)
     return ([F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ["total_locations"] + LOC_COUNTS]
             + [round2(F.col("util_cents"), F.col("util_n")).alias("avg_utilization_rate"),
                f(F.col("sum_available")).alias("total_available_capacity"),
@@ -78,10 +78,12 @@ def daily_warehouse_summary(t: Tables, as_of: dt.date, mode: str = "reference")
                                      ("shipments", t["shipments"], "shipment_id", "ship_date"),
                                      ("receipts", t["receipts"], "receipt_id", "receive_date")]:
         j = j.join(_day_counts(df, id_col, ts_col, as_of, name), "warehouse_id", "left")
-    factor = None
     if mode == "reference":
-        factor = (F.coalesce(F.col("n_orders"), F.lit(1)) * F.coalesce(F.col("n_shipments"), F.lit(1))
-                  * F.coalesce(F.col("n_receipts"), F.lit(1)))
+        factor = F.lit(1).cast(BIG)  # the product of three counts outgrows a long
+        for n in ("n_orders", "n_shipments", "n_receipts"):
+            factor = (factor * F.coalesce(F.col(n), F.lit(1)).cast(BIG)).cast(BIG)
+    else:
+        factor = F.lit(1).cast(BIG)
     return j.select(
         ts_lit(as_of).alias("summary_date"), "warehouse_id", "warehouse_name", "location_code",
         *_location_measures(factor),
@@ -92,13 +94,9 @@ def daily_warehouse_summary(t: Tables, as_of: dt.date, mode: str = "reference")
 # --- shipping / receiving ----------------------------------------------------
 
 SIDES = {
-    # activity: (header table, key, event ts, items table, item qty, done status, out names)
-    "Shipping": ("shipments", "shipment_id", "ship_date", "shipment_items", "quantity_shipped", R.SHIPMENT_DONE,
-                 ("total_shipments", "total_quantity_shipped", "avg_hours_to_ship", "completed_shipments",
-                  "pending_shipments", "shipping_completion_rate")),
-    "Receiving": ("receipts", "receipt_id", "receive_date", "receipt_items", "quantity_received", R.RECEIPT_DONE,
-                  ("total_receipts", "total_quantity_received", "avg_hours_to_receive", "completed_receipts",
-                   "pending_receipts", "receiving_completion_rate")),
+    # activity: (header table, key, event ts, items table, item qty, done status)
+    "Shipping": ("shipments", "shipment_id", "ship_date", "shipment_items", "quantity_shipped", R.SHIPMENT_DONE),
+    "Receiving": ("receipts", "receipt_id", "receive_date", "receipt_items", "quantity_received", R.RECEIPT_DONE),
 }
 
 
@@ -107,9 +105,8 @@ def activity_rollup(t: Tables, activity: str, header_filter: Column | None = Non
     """One row per shipment (receipt) with its item count/quantity and duration.
 
     ``restrict=True`` (for a selective header filter, e.g. one day) prunes the
-    lines to the filtered headers first via a size-checked broadcast
-    semi-join, so only their lines are aggregated."""
-    head, key, ts, items, qty, _, _ = SIDES[activity]
+    lines to the filtered headers first, so only their lines are aggregated."""
+    head, key, ts, items, qty, _ = SIDES[activity]
     h = t[head]
     if header_filter is not None:
         h = h.where(header_filter)
@@ -136,7 +133,7 @@ def shipping_receiving_performance(t: Tables) -> DataFrame:
     w = t["warehouses"].select("warehouse_id", "warehouse_name")
     branches = []
     for activity in ("Shipping", "Receiving"):
-        head, key, ts, _, _, done, _ = SIDES[activity]
+        head, key, ts, _, _, done = SIDES[activity]
         per = activity_rollup(t, activity, F.col(ts).isNotNull())
         g = per.groupBy(bucket(F.col(ts), "day").alias("activity_date"), "warehouse_id").agg(
             *_activity_measures(key, done))
@@ -153,7 +150,7 @@ def daily_shipping_receiving(t: Tables, as_of: dt.date) -> DataFrame:
     w = t["warehouses"].select("warehouse_id", "warehouse_name")
     branches = []
     for activity in ("Shipping", "Receiving"):
-        head, key, ts, _, _, done, _ = SIDES[activity]
+        head, key, ts, _, _, done = SIDES[activity]
         per = activity_rollup(t, activity, in_bucket(F.col(ts), "day", as_of), restrict=True)
         g = per.groupBy("warehouse_id").agg(*_activity_measures(key, done))
         j = w.join(g, "warehouse_id", "left")

@@ -25,6 +25,20 @@ ORDER_STATUS = {"F": "completed", "O": "pending", "P": "cancelled"}
 MOVEMENT_TYPE = {"R": "in", "A": "out", "N": "transfer"}
 
 
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 class RawTables:
     """Lazy reader of the driver tables in one scale-factor folder."""
 
@@ -34,7 +48,8 @@ class RawTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+            reader = self.spark.read.schema(RAW_SCHEMAS[name])  # declared: reading a footer would be a job
+            self._cache[name] = reader.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
         return self._cache[name]
 
 
