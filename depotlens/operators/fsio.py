@@ -47,6 +47,12 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below ``path``."""
+    fs, p = _fs(spark, path)
+    return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
+
+
 def delete(spark: SparkSession, path: str, recursive: bool = True) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, recursive)

@@ -104,6 +104,10 @@ class DuplicateKeyError(ValueError):
     pass
 
 
+class RefreshConflict(RuntimeError):
+    """A snapshot of the group was committed by another refresh."""
+
+
 def assert_unique(df: DataFrame, key, name: str = "snapshot") -> None:
     bad = duplicate_keys(df, key).limit(5).collect()  # at most 5 rows reach the driver
     if bad:
@@ -217,8 +221,12 @@ def refresh(spark: SparkSession, tables: Tables, group: str = "daily", as_of: dt
             info["changes"] = {r["op"]: r["count"] for r in counts}
         staged[name] = {"version": version, "as_of": info["as_of"]}
         report[name] = info
-    manifest.update(staged)
-    _swap_manifest(spark, root, manifest)
+    # another group may have committed meanwhile: merge into what is committed now, refuse to overwrite a newer version
+    latest = read_manifest(root, spark)
+    lost = [name for name in staged if latest.get(name) != manifest.get(name)]
+    if lost:
+        raise RefreshConflict(f"refreshed by someone else meanwhile: {lost}; run the group again")
+    _swap_manifest(spark, root, latest | staged)
     return report
 
 

@@ -95,14 +95,16 @@ def c_idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c_incremental_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3 kept current: snapshot of the initial copy (orders before as_of - 30
-    days), then the batch of newer orders recomputes only its days."""
+    days, without the lines of every tenth order), then a batch of the newer
+    orders and of the missing lines recomputes only the days of either."""
     from ..functions.exprs import minus, ts_lit
     t = fixture_tables(spark, sf_dir)
     cut = ts_lit(minus(AS_OF, days=30))
-    before = {"orders": t["orders"].where(F.col("order_date") < cut), "order_items": t["order_items"],
+    late = F.col("order_id") % 10 == 3
+    before = {"orders": t["orders"].where(F.col("order_date") < cut), "order_items": t["order_items"].where(~late),
               "warehouses": t["warehouses"]}
     changed = t["orders"].where(F.col("order_date") >= cut)
-    return cdc.incremental_order_performance(t, order_performance(before), changed)
+    return cdc.incremental_order_performance(t, order_performance(before), changed, t["order_items"].where(late))
 
 
 def o_replication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,8 @@ REPORT_FUNCTIONS = {
 
 def register_views(spark: SparkSession, tables, as_of) -> list[str]:
     """Register every report as a temp view named by its key (the analytics
-    layer of views), e.g. ``SELECT * FROM v1_warehouse_performance``."""
+    layer of views), e.g. ``SELECT * FROM v1_warehouse_performance``.  The views
+    read the files that ``tables`` lists; see ``ReportViews`` for current ones."""
     import inspect
     names = []
     for name, fn in REPORT_FUNCTIONS.items():
@@ -90,3 +91,19 @@ def register_views(spark: SparkSession, tables, as_of) -> list[str]:
         fn(tables, **kw).createOrReplaceTempView(name)
         names.append(name)
     return names
+
+
+class ReportViews:
+    """Views recomputed on read: every query sees the tables' current files.
+
+    ``load()`` returns the tables (``lambda: load_tables(spark, root)``); it is
+    called, and the views registered anew, for each query.  Building a report
+    runs no job, so this costs a listing.
+    """
+
+    def __init__(self, spark: SparkSession, load: Callable[[], dict[str, DataFrame]], as_of):
+        self.spark, self.load, self.as_of = spark, load, as_of
+
+    def sql(self, query: str) -> DataFrame:
+        register_views(self.spark, self.load(), self.as_of)
+        return self.spark.sql(query)

@@ -24,13 +24,12 @@ BASE_CONF = {
 }
 
 
-# Cluster sizing for ~100 TB inputs, applied only where the submit
-# configuration left a setting unset.  AQE starts from many fine shuffle
-# partitions and coalesces them to ~256 MB each, so a stage's partitions fit
-# executor memory whatever its input size; skewed partitions over 512 MB (and
-# 5x the median) are split; scans read 256 MB splits.
+# Cluster sizing, applied only where the submit configuration left a setting
+# unset.  AQE coalesces shuffle partitions to ~256 MB; it cannot divide ordinary
+# ones, so the number it starts from must follow the input
+# (``partitions_for``); skewed partitions of joins over 512 MB (and 5x the
+# median) are split; scans read 256 MB splits.
 SCALE_DEFAULTS = {
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
@@ -38,6 +37,24 @@ SCALE_DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(input_bytes: int, least: int = 200) -> int:
+    """Shuffle partitions to start from for a job over ``input_bytes``: a fixed
+    number would give partitions that grow with the input."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
+def size_for(spark: SparkSession, *paths: str) -> int:
+    """Set the initial shuffle partitions from the size of ``paths`` on the
+    shared file system (a listing, no job); returns the number."""
+    from .operators import fsio
+    n = partitions_for(sum(fsio.size(spark, p) for p in paths))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    return n
+
+
 def apply_scale_defaults(spark: SparkSession) -> dict:
     """Set ``SCALE_DEFAULTS`` the launch configuration (submit flags, defaults
     file, builder) did not set; returns what was set."""
@@ -82,6 +99,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="depotlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,9 +113,14 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: list[str] = KEY) ->
                      F.col("_deleted").alias("_s_del"))
     c = last.select(*key, *[F.col(x).alias(f"_c_{x}") for x in cols], F.col("op").alias("_op"),
                     F.col("lsn").alias("_c_lsn"))
-    j = s.join(c, key, "full")
+    # NULL key parts are equal here, or every replay would add the row again
+    c = c.withColumnsRenamed({k: f"_k_{k}" for k in key})
+    same = F.lit(True)
+    for k in key:
+        same = same & s[k].eqNullSafe(c[f"_k_{k}"])
+    j = s.join(c, same, "full")
     newer = F.col("_c_lsn").isNotNull() & (F.col("_s_lsn").isNull() | (F.col("_c_lsn") > F.col("_s_lsn")))
-    return j.select(*key, *[F.when(newer, F.col(f"_c_{x}")).otherwise(F.col(f"_s_{x}")).alias(x) for x in cols],
+    return j.select(*[F.coalesce(F.col(k), F.col(f"_k_{k}")).alias(k) for k in key], *[F.when(newer, F.col(f"_c_{x}")).otherwise(F.col(f"_s_{x}")).alias(x) for x in cols],
                     F.when(newer, F.col("_c_lsn")).otherwise(F.col("_s_lsn")).alias("_lsn"),
                     F.when(newer, F.col("_op") == "D").otherwise(F.col("_s_del")).alias("_deleted"))
 
@@ -138,13 +144,16 @@ def table_dml_counts(feed: DataFrame, schema_like: str | None = None) -> DataFra
 class StateStore:
     """State table in a shared folder, hash-bucketed on the key.
 
-    Layout: ``<root>/_epochs/e=<epoch>/_bucket=<b>/part-*`` plus a manifest
-    ``<root>/_manifest.json`` = {"epoch": last committed epoch, "buckets":
-    {b: folder}}.  A micro-batch rewrites only the buckets its changes touch
-    (work proportional to the touched buckets, not to the whole table), then
-    swaps the manifest in one rename; untouched buckets keep pointing at the
-    folders of earlier epochs.  Readers use the manifest, so they never see a
-    half-applied batch.
+    Layout: ``<root>/_epochs/e=<attempt>/_bucket=<b>/part-*`` plus a manifest
+    ``<root>/_manifest.json`` = {"epoch": last batch, "buckets": {b: folder}}.
+    A micro-batch rewrites the buckets its changes touch, then swaps the
+    manifest in one rename; untouched buckets keep pointing at the folders of
+    earlier batches.  Every attempt writes a folder of its own name, so
+    neither a replay nor a new stream whose batch numbers start again can
+    overwrite what the manifest points at.  Batch numbers decide nothing: a
+    change is applied if it is newer than its key's LSN, so replays are
+    harmless and no batch is ever skipped.  Folders that neither the committed
+    nor the previous manifest names are deleted after a commit.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: list[str] = KEY,
@@ -187,12 +196,12 @@ class StateStore:
         return self._read_paths([m[k] for k in keys if k in m])
 
     def _stage(self, m: dict, new: DataFrame | None, touched: list[int], epoch: int) -> None:
-        """Write the touched buckets of ``new`` under the epoch folder and
-        point this store's manifest section at them (manifest not written)."""
+        """Write the touched buckets of ``new`` under a folder of this attempt
+        and point this store's manifest section at them (manifest not written)."""
         if new is not None and touched:
-            stage = os.path.join(self.root, "_epochs", f"e={epoch}")
-            new.withColumn("_bucket", self.bucket_of()).write.mode("overwrite") \
-               .partitionBy("_bucket").parquet(stage)  # a replay rewrites the same folder
+            stage = os.path.join(self.root, "_epochs", f"e={epoch}-{uuid.uuid4().hex[:12]}")
+            new.withColumn("_bucket", self.bucket_of()).repartition("_bucket").write \
+               .partitionBy("_bucket").parquet(stage)  # one file per bucket
             written = {d.split("=", 1)[1] for d in fsio.list_dirs(self.spark, stage) if d.startswith("_bucket=")}
             for b in touched:  # a touched bucket left without rows is dropped from the manifest
                 if str(b) in written:
@@ -201,9 +210,19 @@ class StateStore:
                     m[self.section].pop(str(b), None)
 
     def _commit(self, m: dict, new: DataFrame | None, touched: list[int], epoch: int) -> None:
+        before = self.manifest()
         self._stage(m, new, touched, epoch)
         m["epoch"] = epoch
         fsio.write_text_atomic(self.spark, self._manifest_path(), json.dumps(m, sort_keys=True))
+        self.prune([before, m])
+
+    def prune(self, manifests: list[dict]) -> None:
+        """Delete attempt folders that none of ``manifests`` names."""
+        live = {os.path.basename(os.path.dirname(p)) for m in manifests for p in m.get(self.section, {}).values()}
+        root = os.path.join(self.root, "_epochs")
+        for name in fsio.list_dirs(self.spark, root):
+            if name not in live:
+                fsio.delete(self.spark, os.path.join(root, name))
 
     def stage_changes(self, m: dict, changes: DataFrame, epoch: int) -> DataFrame:
         """Apply ``changes`` to the touched buckets and stage them into ``m``;
@@ -223,12 +242,10 @@ class StateStore:
         return sorted(r[0] for r in changes.select(self.bucket_of()).distinct().collect())
 
     def apply(self, changes: DataFrame, epoch: int) -> bool:
-        """Apply one batch as ``epoch``; False when that epoch is already committed."""
+        """Apply one batch; ``epoch`` only names it."""
         m = self.manifest()
-        if m["epoch"] is not None and m["epoch"] >= epoch:
-            return False
         touched = self.touched_buckets(changes)
-        new = apply_changes(self.read(touched), changes, self.key) if touched else None
+        new = apply_changes(self.read(touched, m), changes, self.key) if touched else None
         self._commit(m, new, touched, epoch)
         return True
 
@@ -243,7 +260,11 @@ def start_apply_stream(spark: SparkSession, source_dir: str, state_root: str, ch
     stream = select_tables(spark.readStream.schema(CHANGE_SCHEMA).parquet(source_dir), schemas)
 
     def apply_batch(batch: DataFrame, epoch_id: int) -> None:
-        store.apply(batch, epoch_id)
+        batch.persist()  # read for its buckets and for its rows
+        try:
+            store.apply(batch, epoch_id)
+        finally:
+            batch.unpersist()
 
     w = stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
@@ -261,10 +282,12 @@ def progress_frame(spark: SparkSession, query) -> DataFrame:
 
 # --- incremental V3 ------------------------------------------------------------------------
 
-def incremental_order_performance(t_after, v3_before: DataFrame, changed_orders: DataFrame) -> DataFrame:
+def incremental_order_performance(t_after, v3_before: DataFrame, changed_orders: DataFrame,
+                                  changed_items: DataFrame | None = None) -> DataFrame:
     """Refresh V3 after a change batch: only the order days touched by
-    ``changed_orders`` (rows with ``order_date``; old and new images) are
-    recomputed from the post-apply tables; the other days are kept.
+    ``changed_orders`` (rows with ``order_date``; old and new images) or by
+    ``changed_items`` (rows with ``order_id``) are recomputed from the
+    post-apply tables; the other days are kept.
 
     COUNT(DISTINCT) is not supported in streaming aggregations, hence this
     recompute-touched-buckets form inside ``foreachBatch``.
@@ -272,7 +295,11 @@ def incremental_order_performance(t_after, v3_before: DataFrame, changed_orders:
     from ..functions.exprs import bucket
     from ..plans.orders import order_performance
 
-    touched = changed_orders.select(bucket(F.col("order_date"), "day").alias("order_date")).distinct()
+    touched = changed_orders.select(bucket(F.col("order_date"), "day").alias("order_date"))
+    if changed_items is not None:
+        theirs = t_after["orders"].join(changed_items.select("order_id"), "order_id", "left_semi")
+        touched = touched.unionByName(theirs.select(bucket(F.col("order_date"), "day").alias("order_date")))
+    touched = touched.distinct()
     orders = t_after["orders"].withColumn("_d", bucket(F.col("order_date"), "day"))
     orders = orders.join(touched.withColumnRenamed("order_date", "_d"), "_d", "left_semi").drop("_d")
     items = t_after["order_items"].join(orders.select("order_id"), "order_id", "left_semi")

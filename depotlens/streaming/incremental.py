@@ -1,28 +1,30 @@
-"""V3's daily order buckets kept current from a stream of order changes.
+"""V3's daily order buckets kept current from order and order-line changes.
 
-A change row is an order row (all order columns) plus ``lsn`` and ``op``
-(I/U/D).  Per micro-batch (``foreachBatch``):
+A change row is a row of its table plus ``lsn`` and ``op`` (I/U/D).  Per
+micro-batch (``foreachBatch``) over both tables:
 
-1. the days of the changed orders' *old* images are read from the orders
-   state (only the hash buckets the batch touches);
-2. the changes are applied to those buckets (last writer wins on LSN,
-   tombstones for deletes, see ``cdc.apply_changes``);
-3. V3 is recomputed for the touched days only (old and new images: an order
-   that moves to another day updates both) from the orders of those days and
-   their lines (a size-checked broadcast semi-join);
-4. orders buckets and V3 day folders are written under the batch's epoch and
-   one manifest naming both is swapped in a single rename.
+1. the orders that the batch touches are its changed orders and the orders of
+   its changed lines (old and new images); their days are read from the orders
+   state before and after the changes;
+2. the changes are applied to the hash buckets they touch (last writer wins on
+   LSN, tombstones for deletes, see ``cdc.apply_changes``);
+3. V3 is recomputed for the touched days only, from the orders of those days
+   (a pushed date range, then the days) and their lines (a semi-join);
+4. both states and the V3 day folders are written under folders of this
+   attempt, and one manifest that names them all is swapped in one rename.
 
 ``COUNT(DISTINCT)`` is not supported by streaming aggregations, which is why
 the touched buckets are recomputed with the batch plan instead of a stateful
-streaming aggregate.  A replayed epoch rewrites its own folders; a committed
-epoch is skipped.
+streaming aggregate.  A replayed batch changes nothing: no change in it is
+newer than its key's LSN.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ from ..plans.orders import order_performance
 from ..sources.tables import SCHEMAS
 from .cdc import StateStore, initial_copy, visible
 
-ORDER_CHANGE_SCHEMA = T.StructType(list(SCHEMAS["orders"].fields)
-                                   + [T.StructField("lsn", T.LongType()), T.StructField("op", T.StringType())])
+_CHANGE = [T.StructField("lsn", T.LongType()), T.StructField("op", T.StringType())]
+ORDER_CHANGE_SCHEMA = T.StructType(list(SCHEMAS["orders"].fields) + _CHANGE)
+LINE_CHANGE_SCHEMA = T.StructType(list(SCHEMAS["order_items"].fields) + _CHANGE)
 
 
 def day_key(ts: Column) -> Column:
@@ -44,35 +47,41 @@ def day_key(ts: Column) -> Column:
 
 
 class IncrementalV3:
-    """Orders state + V3 by day under one root and one manifest."""
+    """Orders state, lines state and V3 by day under one root and one manifest."""
 
-    def __init__(self, spark: SparkSession, root: str, order_items: DataFrame, warehouses: DataFrame,
-                 buckets: int = 64):
-        self.spark, self.root = spark, root
-        self.items, self.warehouses = order_items, warehouses
+    def __init__(self, spark: SparkSession, root: str, warehouses: DataFrame, buckets: int = 64):
+        self.spark, self.root, self.warehouses = spark, root, warehouses
         self.manifest_path = os.path.join(root, "_manifest.json")
-        self.orders = StateStore(spark, os.path.join(root, "orders"), buckets, key=["order_id"],
-                                 payload=SCHEMAS["orders"], manifest_path=self.manifest_path, section="orders")
+        store = lambda name, key: StateStore(spark, os.path.join(root, name), buckets, key=[key], payload=SCHEMAS[name],
+                                             manifest_path=self.manifest_path, section=name)
+        self.orders, self.lines = store("orders", "order_id"), store("order_items", "order_item_id")
 
     def manifest(self) -> dict:
         text = fsio.read_text(self.spark, self.manifest_path)
         m = json.loads(text) if text else {"epoch": None}
-        m.setdefault("orders", {})
-        m.setdefault("v3", {})
+        for section in ("orders", "order_items", "v3"):
+            m.setdefault(section, {})
         return m
 
-    def _write(self, m: dict, epoch: int) -> None:
+    def _write(self, before: dict, m: dict, epoch: int) -> None:
         m["epoch"] = epoch
         fsio.write_text_atomic(self.spark, self.manifest_path, json.dumps(m, sort_keys=True))
-
-    def _v3(self, orders: DataFrame) -> DataFrame:
-        items = restrict_to_keys(self.items, orders, "order_id")
-        return order_performance({"orders": orders, "order_items": items, "warehouses": self.warehouses})
+        for store in (self.orders, self.lines):
+            store.prune([before, m])
+        live = {os.path.basename(os.path.dirname(p)) for x in (before, m) for p in x["v3"].values()}
+        root = os.path.join(self.root, "v3", "_epochs")
+        for name in fsio.list_dirs(self.spark, root):
+            if name not in live:
+                fsio.delete(self.spark, os.path.join(root, name))
+
+    def _v3(self, orders: DataFrame, lines: DataFrame) -> DataFrame:
+        lines = restrict_to_keys(lines, orders, "order_id")
+        return order_performance({"orders": orders, "order_items": lines, "warehouses": self.warehouses})
 
     def _stage_v3(self, m: dict, rows: DataFrame, days: list[str] | None, epoch: int) -> None:
-        stage = os.path.join(self.root, "v3", "_epochs", f"e={epoch}")
-        rows.withColumn("_day", day_key(F.col("order_date"))).write.mode("overwrite") \
-            .partitionBy("_day").parquet(stage)
+        stage = os.path.join(self.root, "v3", "_epochs", f"e={epoch}-{uuid.uuid4().hex[:12]}")
+        rows.withColumn("_day", day_key(F.col("order_date"))).repartition("_day").write \
+            .partitionBy("_day").parquet(stage)  # one file per day
         written = {d.split("=", 1)[1] for d in fsio.list_dirs(self.spark, stage) if d.startswith("_day=")}
         for d in (days if days is not None else sorted(written)):
             if d in written:
@@ -80,46 +89,81 @@ class IncrementalV3:
             else:  # the day lost its last order
                 m["v3"].pop(d, None)
 
-    def initialize(self, orders: DataFrame, lsn: int = 0) -> None:
-        """Initial copy of the orders and the V3 computed from it (epoch -1)."""
-        m = self.manifest()
-        rows = orders.select(*SCHEMAS["orders"].names)
-        self.orders._stage(m, initial_copy(rows, lsn), list(range(self.orders.buckets)), -1)
-        self._stage_v3(m, self._v3(rows), None, -1)
-        self._write(m, -1)
+    def initialize(self, orders: DataFrame, order_items: DataFrame, lsn: int = 0) -> None:
+        """Initial copy of both tables and the V3 computed from it (epoch -1);
+        what an earlier copy committed stays readable until the new one is."""
+        before, m = self.manifest(), self.manifest()
+        orders, lines = orders.select(*SCHEMAS["orders"].names), order_items.select(*SCHEMAS["order_items"].names)
+        for store, rows in ((self.orders, orders), (self.lines, lines)):
+            store._stage(m, initial_copy(rows, lsn), list(range(store.buckets)), -1)
+        m["v3"] = {}
+        self._stage_v3(m, self._v3(orders, lines), None, -1)
+        self._write(before, m, -1)
 
     def read_v3(self) -> DataFrame:
         paths = list(self.manifest()["v3"].values())
         if not paths:
-            return self._v3(self.spark.createDataFrame([], SCHEMAS["orders"]))
+            return self._v3(*(self.spark.createDataFrame([], SCHEMAS[n]) for n in ("orders", "order_items")))
         return self.spark.read.parquet(*paths)
 
     def read_orders(self) -> DataFrame:
         return visible(self.orders.read()).drop("_lsn")
 
-    def apply(self, changes: DataFrame, epoch: int) -> bool:
-        m = self.manifest()
-        if m["epoch"] is not None and m["epoch"] >= epoch:
-            return False
-        keys = changes.select("order_id").distinct()
-        touched = self.orders.touched_buckets(changes)
-        before = visible(self.orders.read(touched, m)).join(keys, "order_id", "left_semi")
-        after = visible(self.orders.stage_changes(m, changes, epoch)).join(keys, "order_id", "left_semi")
-        days = sorted(r[0] for r in before.select(day_key(F.col("order_date")))
-                      .union(after.select(day_key(F.col("order_date")))).distinct().collect())  # calendar-bounded
+    def read_lines(self) -> DataFrame:
+        return visible(self.lines.read()).drop("_lsn")
+
+    def _orders_of(self, days: list[str], m: dict) -> DataFrame:
+        """Orders of the touched days: the range of days is pushed to the scan."""
+        date, known = F.col("order_date"), [dt.datetime.strptime(d, "%Y%m%d") for d in days if d != "none"]
+        within = date.isNull()
+        if known:
+            first, last = min(known), max(known) + dt.timedelta(days=1)
+            within = within | ((date >= F.lit(first).cast("timestamp_ntz")) & (date < F.lit(last).cast("timestamp_ntz")))
+        return visible(self.orders.read(manifest=m).where(within)).drop("_lsn").where(day_key(date).isin(days))
+
+    def apply(self, order_changes: DataFrame, line_changes: DataFrame | None = None, epoch: int = 0) -> bool:
+        before, m = self.manifest(), self.manifest()
+        ids = order_changes.select("order_id")
+        if line_changes is not None:
+            keys = line_changes.select("order_item_id").distinct()
+            old = visible(self.lines.read(self.lines.touched_buckets(line_changes), m)).join(keys, "order_item_id", "left_semi")
+            ids = ids.unionByName(line_changes.select("order_id")).unionByName(old.select("order_id"))
+        ids = ids.distinct()
+        touched = self.orders.touched_buckets(ids)
+        days_of = lambda manifest: (visible(self.orders.read(touched, manifest)).join(ids, "order_id", "left_semi")
+                                    .select(day_key(F.col("order_date")).alias("d")).distinct())
+        days = {r.d for r in days_of(m).collect()}  # calendar-bounded, as below
+        self.orders.stage_changes(m, order_changes, epoch)
+        if line_changes is not None:
+            self.lines.stage_changes(m, line_changes, epoch)
+        days |= {r.d for r in days_of(m).collect()}
         if days:
-            orders_now = visible(self.orders.read(manifest=m)).drop("_lsn") \
-                .where(day_key(F.col("order_date")).isin(days))
-            self._stage_v3(m, self._v3(orders_now), days, epoch)
-        self._write(m, epoch)
+            lines = visible(self.lines.read(manifest=m)).drop("_lsn")
+            self._stage_v3(m, self._v3(self._orders_of(sorted(days), m), lines), sorted(days), epoch)
+        self._write(before, m, epoch)
         return True
 
 
-def start_incremental_v3_stream(spark: SparkSession, source_dir: str, job: IncrementalV3, checkpoint: str,
+def start_incremental_v3_stream(spark: SparkSession, orders_dir: str, lines_dir: str, job: IncrementalV3, checkpoint: str,
                                 available_now: bool = True, processing_time: str | None = None):
-    """Structured Streaming job: order change files -> ``job.apply`` per batch."""
-    stream = spark.readStream.schema(ORDER_CHANGE_SCHEMA).parquet(source_dir)
-    w = stream.writeStream.foreachBatch(lambda df, epoch: job.apply(df, epoch)) \
-        .option("checkpointLocation", checkpoint)
+    """Structured Streaming job: change files of both tables -> ``job.apply`` per batch."""
+    as_struct = {n: T.StructType(list(SCHEMAS[n].fields)) for n in ("orders", "order_items")}
+
+    def side(path: str, schema: T.StructType, mine: str) -> DataFrame:
+        rows = spark.readStream.schema(schema).parquet(path)
+        cols = [F.struct(*SCHEMAS[n].names).alias(n) if n == mine else F.lit(None).cast(kind).alias(n) for n, kind in as_struct.items()]
+        return rows.select(*cols, "lsn", "op")
+
+    both = side(orders_dir, ORDER_CHANGE_SCHEMA, "orders").unionByName(side(lines_dir, LINE_CHANGE_SCHEMA, "order_items"))
+
+    def apply_batch(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            part = {n: batch.where(F.col(n).isNotNull()).select(f"{n}.*", "lsn", "op") for n in as_struct}
+            job.apply(part["orders"], part["order_items"], epoch)
+        finally:
+            batch.unpersist()
+
+    w = both.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
     return w.start()

@@ -27,6 +27,28 @@ def test_register_views(spark, small_tables):
     assert spark.sql("SELECT count(*) FROM v1_warehouse_performance").first()[0] == 25
 
 
+def test_views_see_appended_rows(spark, small_tables, scratch):
+    from depotlens.sources.tables import load_tables, write_tables
+    write_tables(small_tables, scratch, partitions=2)
+    views = registry.ReportViews(spark, lambda: load_tables(spark, scratch), AS_OF)
+    count = "SELECT count(*) FROM v1_warehouse_performance"
+    assert views.sql(count).first()[0] == 25
+    more = small_tables["warehouses"].limit(1).selectExpr("warehouse_id + 1000 AS warehouse_id", "warehouse_name", "location_code", "region")
+    more.write.mode("append").parquet(scratch + "/warehouses")
+    assert views.sql(count).first()[0] == 26
+
+
+def test_partitions_follow_the_input(spark, small_tables, scratch):
+    from depotlens import session
+    assert session.partitions_for(0) == 200 and session.partitions_for(10**14) > 700_000
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    small_tables["orders"].write.parquet(scratch + "/o")
+    try:
+        assert session.size_for(spark, scratch + "/o") == 200 and spark.conf.get(key) == "200"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_cli_rejects_unknown_group(capsys):
     assert cli.main(["refresh", "hourly", "--as-of", "2001-07-01", "--fixture-sf", "/nonexistent"]) == 2
 

@@ -107,12 +107,62 @@ def test_bucketed_store_rewrites_only_touched_buckets(spark, scratch):
     second = store.manifest()["buckets"]
     changed = {b for b in second if second[b] != first[b]}
     assert 1 <= len(changed) <= 2
-    assert not store.apply(feed(spark, [(102, 5, "D", None)]), 1)      # replayed epoch: no effect
+    store.apply(feed(spark, [(100, 3, "U", 0.5), (101, 4, "D", None)]), 1)      # replay: nothing is newer
+    store.apply(feed(spark, [(102, 5, "D", None)]), 1)      # another batch of the same number is not skipped
     want = cdc.apply_changes(cdc.empty_state(spark),
-                             feed(spark, rows + [(100, 3, "U", 0.5), (101, 4, "D", None)]))
+                             feed(spark, rows + [(100, 3, "U", 0.5), (101, 4, "D", None), (102, 5, "D", None)]))
     assert state_rows(store.read()) == state_rows(want)
 
 
+def test_a_new_checkpoint_on_old_state_loses_nothing(spark, scratch):
+    """Batch numbers start again at 0; changes are applied by their LSN."""
+    import os
+    src, root = os.path.join(scratch, "src"), os.path.join(scratch, "state")
+    feed(spark, [(1, 1, "I", 1.0)]).write.parquet(os.path.join(src, "a=0"))
+    cdc.start_apply_stream(spark, src, root, os.path.join(scratch, "c1"), buckets=4).awaitTermination(120)
+    feed(spark, [(2, 1, "U", 2.0), (3, 2, "I", 3.0)]).write.parquet(os.path.join(src, "a=1"))
+    cdc.start_apply_stream(spark, src, root, os.path.join(scratch, "c2"), buckets=4).awaitTermination(120)
+    store = cdc.StateStore(spark, root, 4)
+    want = cdc.apply_changes(cdc.empty_state(spark), feed(spark, [(1, 1, "I", 1.0), (2, 1, "U", 2.0), (3, 2, "I", 3.0)]))
+    assert state_rows(store.read()) == state_rows(want)
+
+
+def test_second_initialize_keeps_the_first_until_it_commits(spark, scratch, monkeypatch):
+    from depotlens.operators import fsio
+    store = cdc.StateStore(spark, scratch, buckets=4)
+    rows = lambda v: cdc.apply_changes(cdc.empty_state(spark), feed(spark, [(i, i, "I", v) for i in range(1, 9)]))
+    store.initialize(rows(1.0))
+    before = state_rows(store.read())
+    real = fsio.write_text_atomic
+    monkeypatch.setattr(fsio, "write_text_atomic", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    try:
+        store.initialize(rows(2.0))
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(fsio, "write_text_atomic", real)
+    assert state_rows(store.read()) == before
+    store.initialize(rows(2.0))
+    assert state_rows(store.read()) != before and store.read().count() == 8
+
+
+def test_null_keys_do_not_multiply(spark):
+    change = feed(spark, [(5, None, "I", 1.0)])
+    state = cdc.empty_state(spark)
+    for _ in range(3):
+        state = cdc.apply_changes(state, change)
+    assert state.count() == 1
+
+
+def test_one_file_per_bucket_and_old_folders_go(spark, scratch):
+    from depotlens.operators import fsio
+    store = cdc.StateStore(spark, scratch, buckets=4)
+    for epoch in range(5):
+        store.apply(feed(spark, [(100 * epoch + i, i, "U", float(epoch)) for i in range(1, 60)]).repartition(6), epoch)
+    folders = list(store.manifest()["buckets"].values())
+    assert all(len([f for f in spark.read.parquet(p).inputFiles()]) == 1 for p in folders)
+    assert len(fsio.list_dirs(spark, scratch + "/_epochs")) == 2  # the committed batch and the one before
+
+
 def test_crash_before_commit_then_replay(spark, scratch, monkeypatch):
     from depotlens.operators import fsio
     store = cdc.StateStore(spark, scratch, buckets=4)

@@ -21,8 +21,10 @@ def test_stream_keeps_v3_current(spark, scratch):
     t = fixture_tables(spark, SF_SMALL)
     orders = t["orders"]
     cut = F.lit(CUT).cast("timestamp_ntz")
-    job = IncrementalV3(spark, os.path.join(scratch, "job"), t["order_items"], t["warehouses"], buckets=8)
-    job.initialize(orders.where(F.col("order_date") < cut))
+    job = IncrementalV3(spark, os.path.join(scratch, "job"), t["warehouses"], buckets=8)
+    lines = t["order_items"].dropDuplicates(["order_item_id"])
+    late = F.col("order_id") % 6 == 0  # of these orders the lines come by the stream
+    job.initialize(orders.where(F.col("order_date") < cut), lines.where(~late))
 
     cols = orders.columns
     later = orders.where(F.col("order_date") >= cut)
@@ -40,15 +42,30 @@ def test_stream_keeps_v3_current(spark, scratch):
     inserts.write.parquet(os.path.join(src, "b=0"))
     updates.unionByName(deletes).write.parquet(os.path.join(src, "b=1"))
 
-    q = start_incremental_v3_stream(spark, src, job, os.path.join(scratch, "ckpt"))
-    q.awaitTermination(300)
+    line_src = os.path.join(scratch, "line_changes")
+    change = lambda df, op, lsn: df.withColumn("lsn", F.lit(lsn).cast("long")).withColumn("op", F.lit(op))
+    change(lines.where(late), "I", 10).write.parquet(os.path.join(line_src, "b=0"))
+    more = lines.where(F.col("order_id") % 8 == 1).withColumn("quantity_shipped", F.col("quantity_shipped") + 5)
+    gone = lines.where(F.col("order_id") % 8 == 3)
+    moved = lines.where(F.col("order_id") % 8 == 5).withColumn("order_id", F.col("order_id") + 8)
+    for k, (df, op) in enumerate(((more, "U"), (gone, "D"), (moved, "U"))):
+        change(df, op, 20 + k).write.parquet(os.path.join(line_src, f"b={k + 1}"))
+    for _ in range(2):  # the second run has a new checkpoint and replays everything
+        q = start_incremental_v3_stream(spark, src, line_src, job, os.path.join(scratch, f"ckpt{_}"))
+        q.awaitTermination(300)
+        assert q.exception() is None
 
     final = (early.join(updates.select("order_id"), "order_id", "left_anti")
              .join(deletes.select("order_id"), "order_id", "left_anti")
              .unionByName(updates.join(deletes.select("order_id"), "order_id", "left_anti").select(*cols))
              .unionByName(later))  # a delete (higher LSN) wins over an update of the same order
     assert _ms(job.read_orders().select(*cols)) == _ms(final.select(*cols))
-    want = order_performance({"orders": final, "order_items": t["order_items"], "warehouses": t["warehouses"]})
+    left = lines
+    for df in (more, gone, moved):
+        left = left.join(df.select("order_item_id"), "order_item_id", "left_anti")
+    left = left.unionByName(more).unionByName(moved)
+    assert _ms(job.read_lines().select(*lines.columns)) == _ms(left.select(*lines.columns))
+    want = order_performance({"orders": final, "order_items": left, "warehouses": t["warehouses"]})
     got = job.read_v3()
     assert sorted(got.columns) == sorted(want.columns)
     assert _ms(got.select(*want.columns)) == _ms(want)

@@ -98,3 +98,35 @@ def test_session_is_pinned_to_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     fixture_tables(spark, "/root/testdata/sf0.001")
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_overlapping_refreshes_lose_nothing(spark, small_tables, scratch, monkeypatch):
+    """A weekly refresh that commits while the daily one runs stays committed; the same group conflicts."""
+    from depotlens.sources.fixtures import AS_OF
+    S.refresh(spark, small_tables, "daily", AS_OF, scratch)
+    real = S.materialize
+    state = {"done": False}
+
+    def slow(spark_, df, name, root=None, key=None):
+        out = real(spark_, df, name, root, key)
+        if not state["done"]:
+            state["done"] = True
+            S.refresh(spark_, small_tables, "weekly", AS_OF, scratch)
+        return out
+    monkeypatch.setattr(S, "materialize", slow)
+    S.refresh(spark, small_tables, "daily", AS_OF, scratch)
+    assert set(S.read_manifest(scratch, spark)) == set(S.GROUPS["daily"] + S.GROUPS["weekly"])
+    state["done"] = False
+
+    def same(spark_, df, name, root=None, key=None):
+        out = real(spark_, df, name, root, key)
+        if not state["done"]:
+            state["done"] = True
+            S.refresh(spark_, small_tables, "daily", AS_OF, scratch)
+        return out
+    monkeypatch.setattr(S, "materialize", same)
+    try:
+        S.refresh(spark, small_tables, "daily", AS_OF, scratch)
+        raise AssertionError("no conflict")
+    except S.RefreshConflict:
+        pass
