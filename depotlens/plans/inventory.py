@@ -139,23 +139,20 @@ def product_movement_30days(t: Tables, as_of: dt.date) -> DataFrame:
     """M5: per product, movements since as_of - 30 days (no upper bound)."""
     recent = t["inventory_movements"].where(since(F.col("movement_date"), as_of, days=30))
     qty, cost = F.col("quantity_moved"), F.col("unit_cost")
-    sums = [F.count(F.lit(1)).alias("n_mov"), F.sum(_type_qty(R.MOVE_IN)).alias("sum_in"), F.sum(_type_qty(R.MOVE_OUT)).alias("sum_out"),
-            F.sum(_type_qty(R.MOVE_TRANSFER)).alias("sum_tr"), F.sum(cents(cost)).alias("cost_cents"), F.count(cost).alias("cost_n"),
-            F.sum(qty * cents(cost)).alias("value_cents"),
-            F.max("movement_date").alias("last_movement_date"), F.min("movement_date").alias("first_movement_date")]
-    routes = recent.groupBy("product_id", "from_location_id", "to_location_id").agg(*sums)
-    routes = movements_with_warehouse(t, routes)
-    # distinct places by explicit dedupes of the reduced rows; no set is ever held in one row
+    g = recent.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n_mov"), F.count_distinct("movement_id").alias("total_movements"),
+        F.sum(_type_qty(R.MOVE_IN)).alias("sum_in"), F.sum(_type_qty(R.MOVE_OUT)).alias("sum_out"),
+        F.sum(_type_qty(R.MOVE_TRANSFER)).alias("sum_tr"), F.sum(cents(cost)).alias("cost_cents"), F.count(cost).alias("cost_n"),
+        F.sum(qty * cents(cost)).alias("value_cents"),
+        F.max("movement_date").alias("last_movement_date"), F.min("movement_date").alias("first_movement_date"))
+    # distinct places by explicit dedupes: the lookups run on distinct routes, and no set is ever held in one row
+    routes = movements_with_warehouse(t, recent.select("product_id", "from_location_id", "to_location_id").distinct())
     place = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("place"))
                                for k, c in enumerate(("from_location_id", "to_location_id", "warehouse_id"))]))
     places = routes.select("product_id", place).where(F.col("place").isNotNull()).distinct().groupBy("product_id").agg(
         *[F.count(F.when(F.col("kind") == k, 1)).alias(n)
           for k, n in enumerate(("unique_from_locations", "unique_to_locations", "warehouses_involved"))])
-    total = {"n_mov": F.sum, "sum_in": F.sum, "sum_out": F.sum, "sum_tr": F.sum, "cost_cents": F.sum, "cost_n": F.sum, "value_cents": F.sum,
-             "last_movement_date": F.max, "first_movement_date": F.min}
-    g = routes.groupBy("product_id").agg(*[fn(c).alias(c) for c, fn in total.items()])
-    ids = recent.groupBy("product_id").agg(F.count_distinct("movement_id").alias("total_movements"))
-    g = g.join(ids, "product_id").join(places, "product_id", "left")
+    g = g.join(places, "product_id", "left")
     j = t["products"].select("product_id", "product_name", "product_category", "sku").join(g, "product_id", "left")
     no_mov = F.col("n_mov").isNull()
     zero = lambda c: F.when(no_mov, F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0)))
