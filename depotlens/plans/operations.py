@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def r_refresh_diff_m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.diff(_m4_plain(t, PREVIOUS_AS_OF), _m4_plain(t, AS_OF), ["customer_id"])
 
 
+def _refreshed(group: str, member: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = fixture_tables(spark, sf_dir)
+        root = checkpoint_root(spark, "refreshed", uuid.uuid4().hex)
+        for as_of in (PREVIOUS_AS_OF, AS_OF):
+            S.refresh(spark, t, group, as_of, root)
+        return S.read_snapshot(spark, member, root)
+    run.__doc__ = f"Materialise the {group} group, refresh it, and read {member} back from the committed version."
+    return run
+
+
 def export_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export V1 (gzip Parquet, dt= partition, 30-day retention) and read it back."""
     from .warehouse import warehouse_performance
@@ -127,6 +139,9 @@ OPERATIONS = {
     "r_unique_key_check": r_unique_key_check,
     "r_base_key_check": r_base_key_check,
     "r_refresh_diff_m4": r_refresh_diff_m4,
+    "r_refresh_daily": _refreshed("daily", "m6_daily_shipping_receiving"),
+    "r_refresh_weekly": _refreshed("weekly", "m3_weekly_order_summary"),
+    "r_refresh_monthly": _refreshed("monthly", "m2_monthly_inventory_summary"),
     "export_snapshot": export_snapshot,
     "cdc_table_selection": cdc_table_selection,
     "c_apply_changes": c_apply_changes,
