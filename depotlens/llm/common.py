@@ -4,6 +4,7 @@ the shared folder, and connected components of a link table."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..session import checkpoint_root
 
 WORD = r"[^\x20\x09-\x0D]+"
 HOLDOUT_FOLDS = 5
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold texts.  The default of 10,000 rows
+    a batch is meant for narrow rows; the session's setting is lowered to
+    TEXT_ROWS, so that a batch of long texts (on both sides of the pipe) and
+    what is made of it stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
     """The least row of each key, by the other columns in their order."""
     rest = [c for c in df.columns if c != key]

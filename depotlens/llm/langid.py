@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out
+from .common import hashed_sample, held_out, map_texts
 
 BUCKETS = 1 << 14
 GRAMS = (1, 2, 3, 4)
@@ -158,7 +158,7 @@ def features(docs: DataFrame, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], pa.array(hit, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], [*columns, "bucket", "n"])
 
     head = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return docs.select(*columns, "text").mapInArrow(run, f"{head}, bucket array<int>, n array<int>")
+    return map_texts(docs.select(*columns, "text"), run, f"{head}, bucket array<int>, n array<int>")
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     src = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["doc_id"]
-    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(src, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -219,4 +219,4 @@ def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             yield batch.filter(pa.array([not r for r in judge(batch.column(text_col))[2]], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

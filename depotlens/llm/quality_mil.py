@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out, one_per_key
+from .common import hashed_sample, held_out, map_texts, one_per_key
 
 PASSAGE_WORDS = 64
 SAMPLE = 4000  # labelled documents learned from, about
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [passages(t.as_py()).ravel() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32()))], ["id", "y", "x"])
 
-    got = rows.select(F.col("id").cast("string").alias("id"), "y", "text").mapInArrow(run, "id string, y int, x array<float>").toArrow()
+    got = map_texts(rows.select(F.col("id").cast("string").alias("id"), "y", "text"), run, "id string, y int, x array<float>").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py() or "", got["y"][i].as_py(), len(got["x"][i])))
     bags = [got["x"][i].values.to_numpy().reshape(-1, WIDTH) for i in order]
     return train(bags, np.array([got["y"][i].as_py() for i in order], float))
@@ -175,4 +175,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     src = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["doc_id"]
-    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_texts(src, run, f"doc_id {kind}, held_out boolean, score double, predicted int")

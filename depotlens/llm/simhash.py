@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hashed_sample, written
+from .common import connected_components, hashed_sample, map_texts, written
 
 BITS = 64
 SEED = 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, src.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return map_texts(src, run, src.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:

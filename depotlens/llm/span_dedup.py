@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_texts, written
 from .gsaca import suffix_array
 
 LENGTH = 200
@@ -123,7 +123,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 ["doc_id", "twin", "anchor", "ctx", "low", "windows", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, twin int, anchor long, ctx long, low int, windows int, offset int")
+    return map_texts(docs, run, f"doc_id {kind}, twin int, anchor long, ctx long, low int, windows int, offset int")
 
 
 def repeated_windows(texts: list[bytes], windows: list[int], offsets: list[int]) -> list[np.ndarray]:
@@ -266,7 +266,7 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                              ["anchor", "ctx", "windows", "offset", "contexts", "bytes"])
 
     joined = _by_row(docs, wanted, "inner")
-    return joined.select("text", "list").mapInArrow(run, "anchor long, ctx long, windows int, offset int, contexts long, bytes binary")
+    return map_texts(joined.select("text", "list"), run, "anchor long, ctx long, windows int, offset int, contexts long, bytes binary")
 
 
 def _by_row(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -302,8 +302,8 @@ def cut_out(joined: DataFrame) -> DataFrame:
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"])
 
     kind = dict(joined.dtypes)["doc_id"]
-    return joined.select("doc_id", "text", "list").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary, spans array<struct<first: long, after: long>>")
+    return map_texts(
+        joined.select("doc_id", "text", "list"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary, spans array<struct<first: long, after: long>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, held_out, one_per_key
+from .common import hashed_sample, held_out, map_texts, one_per_key
 
 CATEGORIES = ("named", "coded", "repeated", "toxic")
 # abusive words that name what they mean; only the category split reads them, never a score
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [features(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "y", "x"])
 
-    got = rows.select(F.col("id").cast("string").alias("id"), "y", "text").mapInArrow(run, "id string, y int, x array<long>").toArrow()
+    got = map_texts(rows.select(F.col("id").cast("string").alias("id"), "y", "text"), run, "id string, y int, x array<long>").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py() or "", got["y"][i].as_py()))
     docs_ = [got["x"][i].values.to_numpy() for i in order]
     toxic = np.array([got["y"][i].as_py() for i in order], float)
@@ -239,4 +239,4 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     src = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["doc_id"]
-    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, " + "".join(f"{c} double, " for c in earlier) + "score double, predicted int, toxic boolean")
+    return map_texts(src, run, f"doc_id {kind}, held_out boolean, " + "".join(f"{c} double, " for c in earlier) + "score double, predicted int, toxic boolean")
