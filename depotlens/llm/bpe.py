@@ -22,7 +22,9 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import public_tokenizers
@@ -31,9 +33,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-STATES = 400_000  # transitions kept; the table starts anew beyond
-PIECES = 250_000  # pieces whose tokens are kept
+NEVER = 1 << 62  # above every rank
+STATES = 350_000  # transitions kept; the table starts anew beyond
+PAIRS = 120_000  # pairs of tokens of which is kept whether they stay apart
+PIECES = 200_000  # pieces whose tokens are kept, twice
 
 # Characters that the regex module's newer Unicode tables call letters or numbers
 # and the tables of tiktoken's engine do not; there they are neither.
@@ -54,104 +60,164 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class State:
-    """``after``: the last token emitted (None: start of a piece).  ``held``:
-    bytes read since.  ``paths``: for every prefix of ``held`` in which a
-    growing token could start, the tokens that lead to it."""
-
-    __slots__ = ("after", "held", "paths", "steps")
-
-    def __init__(self, after: int | None, held: bytes, paths: dict[int, tuple[int, ...]]):
-        self.after, self.held, self.paths = after, held, paths
-        self.steps: dict[int, tuple[tuple[int, ...], State]] = {}
-
-    def rest(self) -> tuple[int, ...]:
-        return self.paths[len(self.held)]
-
-
 class Transducer:
+    """States are numbers.  Of a state are kept: ``after``, a last token emitted
+    (None: none that matters); ``held``, the bytes read since; and ``paths``,
+    for every prefix of ``held`` in which a growing token could start, the
+    tokens that lead to it.  Two states are one if they hold the same bytes and
+    the same merges could still reach across the border before them.
+    """
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: b for b, r in ranks.items()}
-        self.growing = {b[:n] for b in ranks for n in range(1, len(b))}  # proper prefixes of tokens
-        self._stable: dict[int, bool] = {}
+        self.growing: dict[bytes, int] = {}  # proper prefixes of tokens, with the least rank that begins so
+        for b, r in ranks.items():
+            for n in range(1, len(b)):
+                if r < self.growing.get(b[:n], NEVER):
+                    self.growing[b[:n]] = r
+        self.byte = [bytes((i,)) for i in range(256)]
+        self._sides: dict[int, tuple | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple[int | None, bytes], State] = {}
-        self.transitions = 0
-        self.start = self.states[(None, b"")] = State(None, b"", {0: ()})
+        self.steps: dict[int, int] = {}  # state * 256 + byte -> state, or its complement if tokens are emitted
+        self.outs: dict[int, tuple[int, ...]] = {}  # by the same key: the tokens emitted
+        self.after: list[int | None] = [None]
+        self.held: list[bytes] = [b""]
+        self.paths: list[tuple[tuple[int, tuple[int, ...]], ...]] = [((0, ()),)]
+        self.borders: dict[tuple, int] = {(): 0}
+        self.numbers: dict[tuple[int, bytes], int] = {(0, b""): 0}
+
+    def border(self, after: int, held: bytes) -> tuple:
+        """What of the token before ``held`` could still merge with the bytes
+        after the border: parts of its right side, each followed by the rank at
+        which it is merged itself."""
+        ranks, growing, out = self.ranks, self.growing, []
+        for part, until in self.sides(after)[2]:
+            if growing.get(part + held, NEVER) < until or any(
+                    [ranks.get(part + held[:n], NEVER) < until for n in range(1, len(held) + 1)]):
+                out.append(part)
+                out.append(until)
+        return tuple(out)
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> list[bytes]:
         """The definition: join the neighbours of least rank, the first of equals, as long as any can be joined."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
+            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def stable(self, token: int) -> bool:
-        """True if the token's own bytes encode to it."""
-        if token not in self._stable:
-            self._stable[token] = self.merge(self.tokens[token]) == [token]
-        return self._stable[token]
+        return parts
+
+    def sides(self, token: int) -> tuple | None:
+        """What the token's first and what its last byte grow into, merge by
+        merge, up to the token, and the latter with the ranks at which they
+        grow; None if its bytes do not encode to the token."""
+        if token not in self._sides:
+            whole = self.tokens[token]
+            parts, left, right = [whole[i:i + 1] for i in range(len(whole))], [whole[:1]], [whole[-1:]]
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if rank == NEVER:
+                    break
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+                if i == 0:
+                    left.append(parts[0])
+                if i == len(parts) - 1:
+                    right.append(parts[-1])
+            until = [self.ranks[r] for r in right[1:]] + [NEVER]
+            self._sides[token] = (left, right, list(zip(right, until, strict=True))) if len(parts) == 1 else None
+        return self._sides[token]
 
     def apart(self, a: int, b: int) -> bool:
-        """True if the bytes of two tokens encode to these two tokens."""
-        if (a, b) not in self._apart:
-            if len(self._apart) > STATES:
-                self._apart.clear()
-            self._apart[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return self._apart[a, b]
-
-    def step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        """Makes and keeps the transition: (tokens emitted, next state)."""
-        held = state.held + bytes((byte,))
-        path = None
-        for at, before in state.paths.items():
-            token = self.ranks.get(held[at:])
-            if token is not None and self.stable(token):
-                last = before[-1] if before else state.after
-                if last is None or self.apart(last, token):
-                    path = (*before, token)
-                    break
+        """True if the bytes of two tokens encode to these two tokens: at no
+        time is a merge across their border due before the next one on either
+        side of it (the left one goes first among equals)."""
+        known = self._apart.get((a, b))
+        if known is not None:
+            return known
+        right, left = self.sides(a)[1], self.sides(b)[0]
+        rank, never, i, j, out = self.ranks.get, NEVER, 0, 0, True
+        while True:
+            next_a = rank(right[i + 1]) if i + 1 < len(right) else never
+            next_b = rank(left[j + 1]) if j + 1 < len(left) else never
+            across = rank(right[i] + left[j], never)
+            if across < next_a and across <= next_b and across < never:
+                out = False
+                break
+            if next_a == never == next_b:
+                break
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+        if len(self._apart) > PAIRS:
+            self._apart.clear()
+        self._apart[a, b] = out
+        return out
+
+    def step(self, state: int, byte: int) -> int:
+        """Makes and keeps a transition; returns the next state."""
+        held, ranks, growing, after = self.held[state] + self.byte[byte], self.ranks, self.growing, self.after[state]
+        path, live = None, []
+        for at, before in self.paths[state]:
+            tail = held[at:]
+            if tail in growing:
+                live.append((at, before))
+            if path is None:
+                token = ranks.get(tail)
+                if token is not None and self.sides(token) is not None:
+                    last = before[-1] if before else after
+                    if last is None or self.apart(last, token):
+                        path = (*before, token)
         if path is None:
             raise ValueError("the vocabulary lacks single bytes")
-        paths = {at: p for at, p in state.paths.items() if held[at:] in self.growing}
-        paths[len(held)] = path
-        first = next(iter(paths.values()))
-        sure = 0  # tokens that all paths share
-        while all(len(p) > sure and p[sure] == first[sure] for p in paths.values()) and sure < len(first):
-            sure += 1
-        out = first[:sure]
-        cut = sum(len(self.tokens[t]) for t in out)
-        key = (out[-1] if out else state.after, held[cut:])
-        target = self.states.get(key)
-        if target is None:
-            target = State(*key, {at - cut: p[sure:] for at, p in paths.items()})
-            self.states[key] = target
-        state.steps[byte] = (out, target)
-        self.transitions += 1
-        return out, target
+        sure = len(path)  # tokens that all paths share
+        for _, p in live:
+            n = 0
+            while n < sure and n < len(p) and p[n] == path[n]:
+                n += 1
+            sure = n
+        live.append((len(held), path))
+        out = path[:sure]
+        if sure:
+            after = path[sure - 1]
+            cut = sum([len(self.tokens[t]) for t in out])
+            held = held[cut:]
+            live = [(at - cut, p[sure:]) for at, p in live]
+        border = 0 if after is None else self.borders.setdefault(self.border(after, held), len(self.borders))
+        number = self.numbers.get((border, held))
+        if number is None:
+            number = self.numbers[border, held] = len(self.after)
+            self.after.append(after if border else None)
+            self.held.append(held)
+            self.paths.append(tuple(live))
+        key = state * 256 + byte
+        if out:
+            self.outs[key], number = out, ~number
+        self.steps[key] = number
+        return number
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Tokens of one piece; a piece that is a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if self.transitions > STATES:
+        if len(self.steps) > STATES:
             self._reset()
-        state, out = self.start, []
+        state, out, known, outs = 0, (), self.steps.get, self.outs
         for byte in piece:
-            known = state.steps.get(byte)
-            tokens, state = known if known is not None else self.step(state, byte)
-            if tokens:
-                out += tokens
-        out += state.rest()
-        return tuple(out)
+            key = state * 256 + byte
+            state = known(key)
+            if state is None:
+                state = self.step(key >> 8, byte)
+            if state < 0:
+                state = ~state
+                out += outs[key]
+        return out + self.paths[state][-1][1]
 
 
 class Utf8Stream:
@@ -184,6 +250,34 @@ class Utf8Stream:
         return out
 
 
+# What the classes of the pattern hold of Latin-1; texts of no other characters are split by plain character sets.
+LATIN = {r"\s": r"\t-\r \x85\xa0", r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼½¾"}
+
+
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """``pattern`` with its classes written out for Latin-1 texts, None if it has other classes."""
+
+    def in_set(found: re.Match) -> str:
+        out = found[0]
+        for name, chars in LATIN.items():
+            out = out.replace(name, chars)
+        return out
+
+    pattern = re.sub(r"\[[^\]]*\]", in_set, pattern)
+    pattern = pattern.replace(r"\S", f"[^{LATIN[r'\s']}]")
+    for name, chars in LATIN.items():
+        pattern = pattern.replace(name, f"[{chars}]")
+    return None if r"\p" in pattern else re.compile(pattern)
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Codec:
     """Encoder and decoder for whole texts."""
 
@@ -192,12 +286,16 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
+        self.plain = latin_pattern(pattern)
         self.newer = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # what was known before the last overflow; used pieces move back
         self.token_bytes = self.transducer.tokens
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not self.newer.search(text):
+        if latin(text):
+            return (self.plain or self.pattern).findall(text)
+        if not self.newer.search(text):
             return self.pattern.findall(text)
         masked = self.newer.sub("\uffff", text)  # as long, and neither letter nor number
         return [text[m.start():m.end()] for m in self.pattern.finditer(masked)]
@@ -208,9 +306,12 @@ class Codec:
         for piece in self.split(text or ""):
             tokens = known.get(piece)
             if tokens is None:
-                tokens = encode(piece.encode("utf-8"))
+                tokens = self.older.get(piece)
+                if tokens is None:
+                    tokens = encode(piece.encode("utf-8"))
                 if len(known) >= PIECES:
-                    known.clear()
+                    self.older, known = known, {}
+                    self.known = known
                 if len(piece) <= 64:
                     known[piece] = tokens
             out += tokens
@@ -245,6 +346,7 @@ def _rows(src: DataFrame, fn, path: str, **columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, ranks)
+        gc.disable()  # nothing here makes cycles, and a collection would walk the whole tables again and again
         for batch in batches:
             rows = [fn(own, value.as_py()) for value in batch.column(len(passed))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
@@ -252,7 +354,7 @@ def _rows(src: DataFrame, fn, path: str, **columns: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(passed)], *made], [*passed, *columns])
 
     head = "".join(f"`{c}` {t}, " for c, t in src.dtypes[:-1])
-    return src.mapInArrow(run, head + ", ".join(f"{n} {t}" for n, t in columns.items()))
+    return map_texts(src, run, head + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -267,13 +369,16 @@ def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_
     return _rows(src, lambda c, ids: ("".join(c.decode(ids or [])),), path, text="string")
 
 
+DECIMAL = [str(i) for i in range(1 << 17)]
+
+
 def round_trip(own: Codec, text: str | None) -> tuple[list[int], int, str, str]:
     """Of one text: ids, their number, their digest, and the digest of what they decode to."""
     ids = own.encode(text)
     decoded = hashlib.sha256()
     for part in own.decode(ids):
         decoded.update(part.encode("utf-8"))
-    return ids, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), decoded.hexdigest()
+    return ids, len(ids), hashlib.sha256(" ".join([DECIMAL[i] for i in ids]).encode()).hexdigest(), decoded.hexdigest()
 
 
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
