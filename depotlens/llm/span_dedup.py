@@ -311,15 +311,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     src = src.select("doc_id", F.hash("text").alias("twin"), "text")
     occ = occurrences(src)
-    many = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # counts are written before they are joined: the join then reads two plain shuffles and can split a hot anchor
+    many = written(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     occ = written(occ.join(many.hint("merge"), "anchor", "left_semi"), "occurrences")
     ctx = occ.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "twin", "low", "windows", "offset")).alias("at"))
-    per_anchor = ctx.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
-    ctx = written(ctx.join(per_anchor.hint("merge"), "anchor").select("anchor", "ctx", "n", "contexts", "at.*"), "contexts")
+    ctx = written(ctx.select("anchor", "ctx", "n", "at.*"), "contexts")
+    shared = written(ctx.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "shared_anchors")
     # all windows of a context that occurs twice are repeated
     whole = ctx.where("n > 1").select("anchor", "ctx", F.array(F.lit(0)).alias("first"), F.array(F.col("windows") - 1).alias("last"))
     # contexts that share their anchor with others are compared with them
-    wanted = (ctx.where("contexts > 1").groupBy("doc_id", "twin")
+    wanted = (ctx.join(shared.hint("merge"), "anchor").groupBy("doc_id", "twin")
               .agg(F.collect_list(F.struct("anchor", "ctx", "low", "windows", "offset", "contexts")).alias("list")))
     texts = written(fetch(src, wanted), "context_texts")
     found = (by_suffix_array(texts.where(F.col("contexts") <= MAX_CONTEXTS)).unionByName(by_window(texts.where(F.col("contexts") > MAX_CONTEXTS)))
