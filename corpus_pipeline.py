@@ -38,9 +38,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document of the largest id stays, as one row."""
-    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    keyed = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "__sha"])
-    return joined(keyed, kept, "left_semi", doc_id="doc_id", __sha="text_sha256").drop("__sha")
+    # a key without nulls, the same for both steps: texts are shuffled once
+    name = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    kept = exact_dedup(docs).where("kept").select(name.alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    keyed = docs.withColumn("__id", name).withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = keyed.dropDuplicates(["__id", "__sha"])
+    return rows.join(kept.hint("merge"), ["__id", "__sha"], "left_semi").select(docs.columns)
 
 
 def one_of_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,16 +325,6 @@ class Codec:
         yield stream.end()
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str, ranks) -> Codec:
-    """The codec of the vocabulary at ``path``, broadcast as ``ranks``; one per Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(ranks.value)
-    return _codecs[path]
-
-
 ARROW = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -345,13 +335,17 @@ def _rows(src: DataFrame, fn, path: str, **columns: str) -> DataFrame:
     types = [ARROW[t] for t in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, ranks)
+        # the tables live as long as the task: a reused worker does not hold them through other stages
+        own = Codec(ranks.value)
         gc.disable()  # nothing here makes cycles, and a collection would walk the whole tables again and again
-        for batch in batches:
-            rows = [fn(own, value.as_py()) for value in batch.column(len(passed))]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(passed)], *made], [*passed, *columns])
+        try:
+            for batch in batches:
+                rows = [fn(own, value.as_py()) for value in batch.column(len(passed))]
+                cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+                made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(passed)], *made], [*passed, *columns])
+        finally:
+            gc.enable()
 
     head = "".join(f"`{c}` {t}, " for c, t in src.dtypes[:-1])
     return map_texts(src, run, head + ", ".join(f"{n} {t}" for n, t in columns.items()))
