@@ -1,16 +1,18 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs (lines) that hold a key word are scored by a sparse multinomial
-logistic regression over hashed word n-grams (one and two words).  It knows
-the licence families below and an unknown class; its probabilities are
-calibrated by a temperature on variants it was not trained on, and a family
-below ``SURE`` becomes unknown.  A predicted family is confirmed if the
-paragraph holds enough of the word pairs of one of its templates.
+Paragraphs (lines) are scored by a sparse multinomial logistic regression over
+hashed word n-grams (one and two words).  It knows the licence families below
+and an unknown class; its probabilities are calibrated by a temperature on
+variants it was not trained on, and a family below ``SURE`` becomes unknown.
+Lines without a key word are passed over: the key words are all words of the
+templates but ``GLUE``, n-grams of glue alone have no weight, and without a
+weight the unknown class is the likeliest.  A predicted family is confirmed if
+the paragraph holds enough of the word pairs of one of its templates.
 
 Scanning uses DataFrame functions only.  The model is trained in numpy on the
 driver from the templates and a bounded sample of the corpus' own paragraphs:
 variants of a template (words left out, other text around it) are its family;
-plain paragraphs, with or without a key word, and templates with half of their
+plain paragraphs, with or without a statement's words, and templates with half of their
 words replaced are unknown.  Only n-grams of templates have weights, so text
 around a licence line does not count against it.
 
@@ -34,6 +36,10 @@ from .common import hashed_sample
 
 # Fixed texts: statements by which works name their licence.
 TEMPLATES = {
+    "All-Rights-Reserved": [
+        "All rights reserved.",
+        "This work is proprietary and confidential; all rights are reserved by the copyright holder.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -54,6 +60,11 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
+    "CC0-1.0": [
+        "CC0 1.0",
+        "CC0 1.0 Universal Public Domain Dedication.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it under the terms of the GNU General Public License version 2.",
@@ -68,8 +79,15 @@ TEMPLATES = {
     ],
 }
 UNKNOWN = "unknown"
-KEY = r"(?i)licen[cs]e|redistribut|copyright|permission is hereby|\bspdx\b|creative commons"
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
+# Words that say nothing about a licence; n-grams of nothing else have no weight.
+GLUE = frozenset("""
+    2 3 4 a all and any are as binary by can charge conditions except extent file files following for form forms has
+    holder in is it law may met not of or other person possible program related source terms that the this to under use
+    with without work you
+""".split())
+# Texts that state rights; the plain paragraphs learned from have none of them.
+STATED = r"licen[cs]e|redistribut|copyright|permission is hereby|\bspdx\b|creative commons|rights reserved|\bcc0\b|public domain|provided \W?as is"
 BUCKETS = 1 << 20
 SAMPLE_DOCS = 300  # documents whose paragraphs teach the unknown class, about
 SAMPLE_CHARS = 2000  # of these, longer paragraphs are passed over
@@ -82,8 +100,21 @@ def tokens(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
+def pairs_of(words: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
 def grams(words: list[str]) -> set[str]:
-    return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+    return set(words) | pairs_of(words)
+
+
+KEYWORDS = sorted({w for texts in TEMPLATES.values() for t in texts for w in tokens(t)} - GLUE)
+# for lower-cased lines: every word that the model can weigh is among these
+KEY = rf"(?i){STATED}|(?<![a-z0-9])(?:{'|'.join(map(re.escape, KEYWORDS))})(?![a-z0-9])"
+
+
+def weighable(gram: str) -> bool:
+    return not GLUE.issuperset(gram.split())
 
 
 def bucket(gram: str) -> int:
@@ -107,7 +138,9 @@ def variants(plain: list[str], seed: int) -> list[tuple[list[str], str]]:
                 left = rng.choice([0, 0, 0.1, 0.2])
                 out.append((around([w for w in words if rng.random() >= left]), family))
                 half = [w if rng.random() < 0.5 else rng.choice(pool) for w in words]
-                out.append((around(rng.sample(half, len(half))), UNKNOWN))
+                half = rng.sample(half, len(half))
+                if len(pairs_of(words) & pairs_of(half)) < SIMILAR * len(pairs_of(words)):  # a short text may come out whole
+                    out.append((around(half), UNKNOWN))
     for p in plain:
         out.append((tokens(p), UNKNOWN))
         out.append((around([rng.choice(["license", "licence", "licensed", "copyright", "permission", "released under", "version"])]), UNKNOWN))
@@ -122,7 +155,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train(plain: list[str], seed: int = 1, steps: int = 400, rate: float = 0.5, sparse: float = 2e-4):
     """(classes, {bucket: weights}, constants, temperature)."""
     classes = [*sorted(TEMPLATES), UNKNOWN]
-    known = sorted({bucket(g) for texts in TEMPLATES.values() for t in texts for g in grams(tokens(t))})
+    known = sorted({bucket(g) for texts in TEMPLATES.values() for t in texts for g in grams(tokens(t)) if weighable(g)})
     column = {b: i for i, b in enumerate(known)}
     rows = variants(plain, seed)
     random.Random(seed).shuffle(rows)
@@ -140,6 +173,7 @@ def train(plain: list[str], seed: int = 1, steps: int = 400, rate: float = 0.5,
         w -= rate * 8 * xt.T @ d
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse, 0)  # most weights end at zero
         c -= rate * d.sum(axis=0)
+    c[-1] = c.max()  # a paragraph without a weight is unknown
     logits = x[:back] @ w + c
     grid = np.exp(np.linspace(-2, 2, 41))
     loss = [-np.log(softmax(logits / t)[np.arange(back), y[:back]] + 1e-12).mean() for t in grid]
@@ -147,18 +181,18 @@ def train(plain: list[str], seed: int = 1, steps: int = 400, rate: float = 0.5,
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, line) of paragraphs with a key word; only those become rows."""
+    """(doc_id, paragraph, line) of paragraphs with a key word, which are all that can have a weight; only those become rows."""
     lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.cast("long").alias("paragraph"), x.alias("line")))
-    found = F.filter(lines, lambda x: x.line.rlike(KEY))
-    return (docs.where(F.col(text_col).rlike(KEY)).select(F.col(id_col).alias("doc_id"), F.explode(found).alias("p"))
+    found = F.filter(lines, lambda x: F.lower(x.line).rlike(KEY))
+    return (docs.where(F.lower(F.col(text_col)).rlike(KEY)).select(F.col(id_col).alias("doc_id"), F.explode(found).alias("p"))
             .select("doc_id", "p.paragraph", "p.line"))
 
 
 def plain_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Paragraphs without a key word of about SAMPLE_DOCS documents."""
+    """Paragraphs that state nothing about rights, of about SAMPLE_DOCS documents."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= 10 * SAMPLE_CHARS)
     line = hashed_sample(src, "id", SAMPLE_DOCS).select("id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    line = line.where(~F.col("line").rlike(KEY) & (F.length("line") <= SAMPLE_CHARS) & F.col("line").rlike("[A-Za-z0-9]"))
+    line = line.where(~F.lower("line").rlike(STATED) & (F.length("line") <= SAMPLE_CHARS) & F.col("line").rlike("[A-Za-z0-9]"))
     return [r.line for r in sorted(line.collect(), key=lambda r: (str(r.id), r.i))]
 
 

@@ -92,3 +92,31 @@ def test_given_documents(spark):
     assert got.count() == lines and got.where("confirmed").count() > 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+
+
+STATEMENTS = ["All rights reserved.", "ALL RIGHTS RESERVED", "CC0 1.0", "Released under the MIT", "the Apache, Version 2.0", "is provided under the GPL",
+              "permission granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
+
+
+def test_every_line_the_model_weighs_has_a_row(spark, model):
+    """Against a list of statements, and against scoring each line without any filter."""
+    rows = [(i, f"and of the\n{t}\nend") for i, t in enumerate(STATEMENTS)]
+    got = {(r[0], r[1]): r for r in scan(spark, rows + mixed(1), model)}
+    assert {(0, 1), (1, 1), (2, 1)} <= {k for k, r in got.items() if r[2] != L.UNKNOWN}
+    assert got[0, 1][2] == "All-Rights-Reserved" and got[0, 1][5] and got[1, 1][5] and got[2, 1][2] == "CC0-1.0"
+    classes, weights, constants, temperature = model
+    assert int(np.argmax(constants)) == len(classes) - 1 or max(constants) == constants[-1]
+    for i, t in rows + mixed(1):
+        for k, line in enumerate((t or "").split("\n")):
+            if any(L.bucket(g) in weights for g in L.grams(L.tokens(line))):
+                assert (i, k) in got, line
+
+
+def test_statements_of_the_given_tables(spark):
+    """Each whole-line statement in the table, listed without KEY, has a row."""
+    named = {"all rights reserved.", "released under the mit license.", "licensed under cc by-nc 4.0.", "licensed under the apache license, version 2.0.",
+             "this work is licensed under the gnu general public license, version 3."}
+    docs = table(spark, SF_MID, "documents")
+    listed = {(r.doc_id, k) for r in docs.collect() for k, line in enumerate((r.text or "").split("\n")) if line.strip().lower() in named}
+    got = {(r.doc_id, r.paragraph) for r in L.license_scan(docs).where("confirmed").collect()}
+    assert listed and listed <= got
