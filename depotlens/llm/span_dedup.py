@@ -22,7 +22,7 @@ than a bounded piece of the corpus:
 
 Defined results: a null text is empty; texts under LENGTH bytes stay whole;
 repeated rows are occurrences of their own, so each loses what the other has;
-rows of equal id are told apart by their text; an empty table gives an empty
+rows of equal id are told apart by a 128-bit digest of their text; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -99,7 +99,7 @@ def contexts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, anchor, ctx, low, windows, offset) of every context of ``docs(doc_id, twin, text: binary)``."""
+    """(doc_id, twin, anchor, ctx, low, windows, offset) of every context of ``docs(doc_id, twin: binary, text: binary)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -123,7 +123,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 ["doc_id", "twin", "anchor", "ctx", "low", "windows", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_texts(docs, run, f"doc_id {kind}, twin int, anchor long, ctx long, low int, windows int, offset int")
+    return map_texts(docs, run, f"doc_id {kind}, twin binary, anchor long, ctx long, low int, windows int, offset int")
 
 
 def repeated_windows(texts: list[bytes], windows: list[int], offsets: list[int]) -> list[np.ndarray]:
@@ -253,12 +253,20 @@ def by_window(texts: DataFrame) -> DataFrame:
 
 
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the contexts in ``wanted`` (doc_id, twin, list of contexts) from the rows they stand in."""
+    """The bytes of the contexts in ``wanted`` (doc_id, twin, list of contexts) from the rows they stand in.
+
+    Rows of equal id and text lie next to each other after the merge join; the first speaks for them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             out = []
-            for data, wanted_here in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, twin, data, wanted_here in zip(*batch.columns, strict=True):
+                row, before = (doc_id.as_py(), twin.as_py()), last
+                last = row
+                if row == before:
+                    continue
                 data = data.as_py()
                 out += [(c["anchor"], c["ctx"], c["windows"], c["offset"], c["contexts"], data[c["low"]:c["low"] + c["windows"] + LENGTH - 1]) for c in wanted_here.as_py()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -266,7 +274,7 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                              ["anchor", "ctx", "windows", "offset", "contexts", "bytes"])
 
     joined = _by_row(docs, wanted, "inner")
-    return map_texts(joined.select("text", "list"), run, "anchor long, ctx long, windows int, offset int, contexts long, bytes binary")
+    return map_texts(joined.select("doc_id", "twin", "text", "list"), run, "anchor long, ctx long, windows int, offset int, contexts long, bytes binary")
 
 
 def _by_row(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -309,7 +317,7 @@ def cut_out(joined: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, spans."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    src = src.select("doc_id", F.hash("text").alias("twin"), "text")
+    src = src.select("doc_id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("twin"), "text")
     occ = occurrences(src)
     # counts are written before they are joined: the join then reads two plain shuffles and can split a hot anchor
     many = written(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
@@ -325,6 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = written(fetch(src, wanted), "context_texts")
     found = (by_suffix_array(texts.where(F.col("contexts") <= MAX_CONTEXTS)).unionByName(by_window(texts.where(F.col("contexts") > MAX_CONTEXTS)))
              .unionByName(whole))
+    # a set: rows of equal id and text have the same spans and share one list of them
     lists = (occ.join(found.hint("merge"), ["anchor", "ctx"]).groupBy("doc_id", "twin")
-             .agg(F.collect_list(F.struct("low", "first", "last")).alias("list")))
+             .agg(F.collect_set(F.struct("low", "first", "last")).alias("list")))
     return cut_out(_by_row(src, lists, "left"))

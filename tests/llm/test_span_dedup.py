@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from depotlens.llm import span_dedup as S
@@ -101,3 +102,24 @@ def test_outputs(spark):
     for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert hashlib.sha256(r.kept_text).hexdigest() == r.kept_sha256 and len(r.kept_text) == r.n_bytes - r.n_removed
         assert sum(s.after - s.first for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
+
+
+def test_equal_ids_of_colliding_32_bit_hashes(spark):
+    """Two texts of one null id whose Spark hash() is equal: each loses its own spans only."""
+    rng = random.Random(11)
+    passage, other = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (400, 260))
+    n = spark.range(200_000)
+    a = n.select(F.concat(F.col("id").cast("string"), F.lit(passage)).alias("a"))
+    b = n.select(F.concat(F.col("id").cast("string"), F.lit(other)).alias("b"))
+    pair = a.join(b, F.hash(F.col("a").cast("binary")) == F.hash(F.col("b").cast("binary"))).orderBy("a", "b").first()
+    rows = [(None, pair.a), (None, pair.b), (7, "x" + passage)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_equal_rows_share_one_list(spark, monkeypatch):
+    rows = [(i, t) for i, t in planted(4) for _ in range(9 if i is None or i >= 2007 else 1)]
+    assert run(spark, rows) == brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "cut_out", lambda joined: joined)
+    for r in S.remove_repeats(docs).collect():
+        assert len(r.list or []) == len({(s.low, tuple(s.first), tuple(s.last)) for s in r.list or []})
