@@ -10,12 +10,15 @@ from .bpe import bpe_round_trip
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
+from .lexical_search import lexical_search
 from .licenses import license_scan
 from .mixing import mix
+from .packing import pack
 from .quality_mil import classify
 from .quality_rules import quality_rules
 from .simhash import simhash_dedup
 from .span_dedup import remove_repeats
+from .spelling import spelling_groups
 from .toxicity import detect
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +64,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_groups": op12_spelling_groups,
+    "op13_retrieval_packing": op13_retrieval_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -151,4 +169,67 @@ ORACLES: dict[str, str] = {
                size * (whole + CASE WHEN odds IS NOT NULL AND need > 0
                    AND (upto <= need OR (upto - unit < need AND upto - need <= need - (upto - unit))) THEN 1 ELSE 0 END)::BIGINT AS taken
         FROM c""",
+    "op11_ranked_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents),
+        n AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+        a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+        b AS (SELECT DISTINCT item_id, text FROM benchmark),
+        q AS (
+            SELECT i, item_id, term, count(*) AS times
+            FROM (SELECT row_number() OVER () AS i, item_id,
+                         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+                  FROM b) GROUP BY ALL),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, docs),
+        v AS (
+            SELECT p.r, n.doc_id, p.term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n.n * a.docs) // a.length))) AS impact
+            FROM p JOIN n USING (r) JOIN w USING (term), a),
+        s AS (SELECT i, item_id, r, doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN v USING (term) GROUP BY ALL),
+        k AS (
+            SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10""",
+    "op12_spelling_groups": """
+        WITH RECURSIVE bit(i, c, k) AS (
+            SELECT i, i, 0 FROM range(256) t(i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS of FROM bit WHERE k = 8),
+        run AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run
+            FROM documents),
+        h AS (
+            SELECT run, times, len(run) AS size,
+                   xor(4294967295, list_reduce(list_transform(string_split(hex(encode(id || ':' || run)).regexp_replace('(..)', '\\1 ', 'g').rtrim(), ' '),
+                                                              lambda x: ('0x' || x)::BIGINT),
+                                               lambda a, x: xor(a >> 8, of[1 + (xor(a, x) & 255)]), 4294967295::BIGINT)) AS h
+            FROM (SELECT id, run, count(*) AS times FROM run GROUP BY ALL), crc),
+        v AS (
+            SELECT word, sum(times)::BIGINT AS n
+            FROM (SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % size)::INT) || substr(run, (h % size)::INT + 2) ELSE run END AS word FROM h)
+            WHERE len(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+        -- levenshtein() counts bytes here: one byte a letter
+        u AS (SELECT *, translate(word, 'LATIN', 'ASCII') AS plain FROM v),
+        near AS (
+            SELECT a.word, b.word AS other, a.n, b.n AS other_n
+            FROM u a JOIN u b ON abs(len(a.word) - len(b.word)) <= 1 AND a.word <> b.word AND levenshtein(a.plain, b.plain) = 1),
+        best AS (
+            SELECT word, n, count(*) AS n_near, min({'less': -other_n, 'form': other}) AS best FROM near GROUP BY word, n),
+        f AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * v.n THEN best.form END AS form,
+                   CASE WHEN -best.less >= 5 * v.n THEN -best.less END AS form_n
+            FROM v LEFT JOIN best USING (word)),
+        walk(word, spot) AS (
+            SELECT word, word FROM f
+            UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.spot = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, walk.spot AS root, f.n, f.n_near, f.form_n
+        FROM f JOIN walk USING (word) JOIN f AS last ON last.word = walk.spot AND last.form IS NULL""",
 }
+
+ORACLES["op12_spelling_groups"] = (ORACLES["op12_spelling_groups"].replace("LATIN", "".join(map(chr, range(0xC0, 0x100))))
+                                   .replace("ASCII", "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'`\"\\\\")))
