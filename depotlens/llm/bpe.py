@@ -201,23 +201,39 @@ class Transducer:
         self.steps[key] = number
         return number
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def _anew(self, state: int) -> int:
+        """Starts the table anew with ``state`` in it; returns its number."""
+        after, held, paths = self.after[state], self.held[state], self.paths[state]
+        self._reset()
+        border = 0 if after is None else self.borders.setdefault(self.border(after, held), len(self.borders))
+        number = self.numbers.setdefault((border, held), len(self.after))
+        if number == len(self.after):
+            self.after.append(after if border else None)
+            self.held.append(held)
+            self.paths.append(paths)
+        return number
+
+    def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece; a piece that is a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
-        if len(self.steps) > STATES:
-            self._reset()
-        state, out, known, outs = 0, (), self.steps.get, self.outs
+            return [whole]
+        state, out, known, outs = 0, [], self.steps.get, self.outs
         for byte in piece:
             key = state * 256 + byte
             state = known(key)
             if state is None:
-                state = self.step(key >> 8, byte)
+                state = key >> 8
+                if len(self.steps) > STATES:  # also amid a piece, however long it is
+                    state = self._anew(state)
+                    known, outs = self.steps.get, self.outs
+                    key = state * 256 + byte
+                state = self.step(state, byte)
             if state < 0:
                 state = ~state
-                out += outs[key]
-        return out + self.paths[state][-1][1]
+                out.extend(outs[key])
+        out.extend(self.paths[state][-1][1])
+        return out
 
 
 class Utf8Stream:
@@ -288,8 +304,8 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.plain = latin_pattern(pattern)
         self.newer = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # what was known before the last overflow; used pieces move back
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}  # what was known before the last overflow; used pieces move back
         self.token_bytes = self.transducer.tokens
 
     def split(self, text: str) -> list[str]:

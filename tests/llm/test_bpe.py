@@ -104,3 +104,21 @@ def test_query(spark):
         assert sorted(map(tuple, B.bpe_round_trip(df).collect()), key=str) == sorted(want, key=str)
         back = B.bpe_decode(B.bpe_encode(df))
         assert sorted(map(tuple, back.collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+
+
+@pytest.mark.parametrize("n", [200_000, 2_000_000])
+def test_an_unbroken_piece_takes_linear_time(n, monkeypatch):
+    """Random letters without a gap, encoded amid a table that overflows again and again."""
+    import time
+    monkeypatch.setattr(B, "STATES", 60_000)
+    text = "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    own, start = B.Codec(RANKS), time.monotonic()
+    got = own.encode(text)
+    assert time.monotonic() - start < 20 + n / 10_000
+    assert got == WANT.encode_ordinary(text)
+    assert len(own.transducer.steps) <= B.STATES + 1
+
+
+def test_a_long_piece_of_few_letters():
+    text = "".join(random.Random(3).choices("ab", k=5_000_000))
+    assert B.Codec(RANKS).encode(text) == WANT.encode_ordinary(text)
