@@ -10,8 +10,8 @@ that training did not see: a temperature is fitted, and the rejection bound is
 a low quantile of the calibrated scores of rightly classified documents.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
-and rejected; without any labelled document every text is ``und``; null
-languages are not learned from; a null id is held out; ties take the first
+and rejected; without any labelled document every text is ``und``, and only
+those without a letter are rejected; null languages are not learned from; a null id is held out; ties take the first
 language by code point; repeated rows are scored alike; other columns are
 ignored.
 """
@@ -32,7 +32,6 @@ BUCKETS = 1 << 14
 GRAMS = (1, 2, 3, 4)
 DIM = 16
 SAMPLE = 3000  # labelled documents learned from, about
-SAMPLE_CHARS = 20_000  # of these, documents longer than this are passed over
 CALIBRATION_SHARE = 0.25
 REJECT_QUANTILE = 0.0005
 REJECT_MOST = 0.4  # the rejection bound is never above this score
@@ -138,7 +137,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 def calibrate(model: LanguageModel, logits: np.ndarray, y: np.ndarray) -> None:
     """Temperature of least log loss on rows that training did not see, and the rejection bound."""
     rows = np.arange(len(y))
-    grid = np.exp(np.linspace(-2.5, 2.5, 51))
+    grid = np.exp(np.linspace(-8, 4, 121))
     loss = [-np.log(np.maximum(softmax(logits / t)[rows, y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(logits / model.temperature)
@@ -164,7 +163,6 @@ def features(docs: DataFrame, columns: list[str]) -> DataFrame:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
     """A model from about SAMPLE labelled documents that are not held out, one per id."""
     src = (docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-           .where(F.length(text_col) <= SAMPLE_CHARS)
            .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id")))
     found = features(hashed_sample(src, "id", SAMPLE), ["lang", "id"]).where("bucket IS NOT NULL").toArrow()
     if not found.num_rows:
@@ -181,9 +179,9 @@ def verdicts(model: LanguageModel | None):
     def judge(texts: pa.Array) -> tuple:
         out = []
         for text in texts:
-            n = None if model is None else counts(text.as_py())
-            if n is None:
-                out.append(("und", 0.0, True))
+            n = counts(text.as_py())
+            if n is None or model is None:
+                out.append(("und", 0.0, n is None))
                 continue
             hit = np.flatnonzero(n)
             p = softmax(((n[hit] / n.sum()) @ weights[hit] + model.bias) / model.temperature)
