@@ -6,7 +6,7 @@ is expected to be taken target / size times (times its own weight, if a weight
 column is given, up to ``cap``).  The whole part of that number is allocated as
 certain copies.  The rest is an inclusion probability p: documents are ranked
 by u / (1 - u) divided by p / (1 - p), u a number drawn from the document's id,
-and the source takes documents in that order until the words it still needs
+its text and, of rows alike in both, a number of the row, and the source takes documents in that order until the words it still needs
 are reached.  Two targets met by one order: documents of larger p come first,
 and any sample is fixed by the seed.
 
@@ -15,8 +15,8 @@ steps of the rank score, the step in which the target falls is cut into steps
 again, and only that last step is ordered.
 
 Defined results: a null text or one without words has size 0 and is taken 0
-words; sources are ordered by code point, null last; repeated rows and equal
-ids share one number and are taken or left together; a source whose target is
+words; sources are ordered by code point, null last; rows of equal or null id
+are documents of their own, repeated rows too; a source whose target is
 its cap takes every document ``cap`` times; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -61,10 +61,31 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
             return t.select("key", "source", "source_size", "target")
 
 
-def uniform(id_col: str) -> Column:
-    """A number in (0, 1) from the id: 52 bits of a digest."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double")
-    return (bits + 0.5) / float(1 << 52)
+def uniform(*cols: Column) -> Column:
+    """A number in (0, 1) from the columns: 52 bits of a digest."""
+    text = F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def numbered(rows: DataFrame, *same: str) -> DataFrame:
+    """``rows`` with ``nth``, which tells rows alike in ``same`` apart (from 0).
+
+    The rows are numbered inside their partition and the counts of the
+    partitions before are added, so that no group, however large, is gathered.
+    """
+    rows = written(rows.withColumn("part", F.spark_partition_id()), "parts")
+    inside = F.row_number().over(W.partitionBy(*same, "part").orderBy("part")) - 1
+    counts = rows.groupBy(*same, "part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = W.partitionBy(*same).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).where("before > 0")
+    alike = None
+    numbers = rows.withColumn("inside", inside).alias("r")
+    for c in (*same, "part"):
+        one = F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
+        alike = one if alike is None else alike & one
+    return (numbers.join(before.alias("b"), alike, "left")
+            .select(*[F.col(f"r.{c}") for c in rows.columns if c != "part"],
+                    (F.col("inside") + F.coalesce("before", F.lit(0))).cast("long").alias("nth")))
 
 
 def pareto_score(u: Column, p: Column) -> Column:
@@ -126,19 +147,22 @@ def expected_copies(rows: DataFrame, targets: DataFrame, cap: int, weighted: boo
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, weight_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, digest.
 
     ``copies`` is how often the mix has the document, ``taken`` its words in
-    it.  ``weight_col``: positive weights of documents inside their source.
+    it, ``digest`` the MD5 of its text.  ``weight_col``: positive weights of
+    documents inside their source.
     """
     weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"),
-                               n_words(F.col(text_col)).alias("size"), weight.alias("weight")), "sizes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"),
+                       n_words(F.col(text_col)).alias("size"), weight.alias("weight"),
+                       F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"))
+    rows = written(numbered(rows, "doc_id", "digest", "key", "weight"), "sizes")
     targets = source_targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, cap)
     rows = expected_copies(rows, targets, cap, weight_col is not None)
     rows = rows.withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
-    rows = rows.withColumn("score", F.when(F.col("p") > 0, pareto_score(uniform("doc_id"), F.when(F.col("p") > 0, F.col("p")))))
+    rows = rows.withColumn("score", F.when(F.col("p") > 0, pareto_score(uniform(F.col("doc_id"), F.col("digest"), F.col("nth")), F.when(F.col("p") > 0, F.col("p")))))
     rows = written(rows, "ranked") if weight_col else rows
     certain = rows.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
     need = targets.join(certain, "key").select("key", (F.col("target") - F.col("certain")).alias("need")).where("need > 0")
@@ -146,4 +170,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = F.coalesce((F.col("score") < F.col("cut")) | ((F.col("score") == F.col("cut")) & F.col("at_cut")), F.lit(False))
     copies = F.col("whole") + drawn.cast("long")
     return (rows.join(targets.select("key", "source_size", "target"), "key").join(written(cut, "cuts"), "key", "left")
-            .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")))
+            .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "digest"))

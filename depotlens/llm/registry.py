@@ -134,7 +134,8 @@ ORACLES: dict[str, str] = {
     "op7_source_mixing": """
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-                   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+                   coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, '')) || ' ' || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1) AS name,
+                   (('0x' || substr(md5(name), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
             FROM documents),
         s AS (
             SELECT source, sum(size)::BIGINT AS source_size,

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,11 +35,17 @@ def targets(sizes, weights=(5, 2, 1), cap=3):
         full |= over
 
 
-def u(i):
-    return (int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+def u(i, t, nth):
+    name = f"{'' if i is None else i} {hashlib.md5((t or '').encode()).hexdigest()} {nth}"
+    return (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
 def brute(rows, cap=3):
+    nth = Counter()
+    draws = []
+    for i, t, s, _ in rows:
+        draws.append(u(i, t, nth[i, t or "", s]))
+        nth[i, t or "", s] += 1
     sizes = {}
     for _, t, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + words(t)
@@ -48,9 +55,9 @@ def brute(rows, cap=3):
         rate = min(want[s] / max(size, 1), cap)
         whole, p = math.floor(rate), rate - math.floor(rate)
         need, units = want[s] - whole * size, {}
-        for i, t, s2, _ in rows:
+        for x, (i, t, s2, _) in zip(draws, rows, strict=True):
             if s2 == s:
-                units[u(i)] = units.get(u(i), 0) + words(t)
+                units[x] = units.get(x, 0) + words(t)
         got, sum_ = set(), 0
         if p > 0 and need > 0:
             for x in sorted(units):
@@ -59,7 +66,8 @@ def brute(rows, cap=3):
                 if sum_ + units[x] - need <= need - sum_ or sum_ + units[x] < need:
                     got.add(x)
                 sum_ += units[x]
-        out += [(i, words(t), size, round(want[s], 6), words(t) * (whole + (u(i) in got))) for i, t, s2, _ in rows if s2 == s]
+        out += [(i, words(t), size, round(want[s], 6), words(t) * (whole + (x in got)))
+                for x, (i, t, s2, _) in zip(draws, rows, strict=True) if s2 == s]
     return sorted(out, key=str)
 
 
@@ -84,6 +92,17 @@ def test_words_come_near_the_target(spark):
         assert abs(r.taken - r.target) <= r.most and r.over <= 0
 
 
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    """A third of the ids null, a third of the rows one repeated row: targets are met all the same."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * (20 + i % 90), rnd, 1.0) for i, rnd in ((i, "abc"[i % 7 % 3]) for i in range(1200))]
+    rows += [(5, "same again and again", "a", 1.0)] * 600 + [(None, None, "b", 1.0)] * 5
+    got = M.mix(frame(spark, rows))
+    assert got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect():
+        assert abs(r.taken - r.target) <= r.most
+    assert sorted(r.nth for r in M.numbered(frame(spark, rows).select("doc_id", "text"), "doc_id", "text").where("doc_id = 5 and text like 'same%'").collect()) == list(range(600))
+
+
 def test_caps_reshare(spark):
     rows = [(i, "w " * 10, s, 1.0) for i, s in enumerate(["a"] + ["b"] * 30 + ["c"] * 200)]
     by = {r.source: r.target for r in M.mix(frame(spark, rows)).collect()}
