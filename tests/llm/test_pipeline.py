@@ -55,7 +55,7 @@ def test_mix(stages):
     rows = [(r.doc_id, r.text, r.source, 1.0) for r in docs.collect()]
     want = [i for i, size, _, _, taken in brute(rows) for _ in range(taken // size if size else 0)]
     sized = [i for i in ids(after) if i in {r[0] for r in rows}]
-    assert sized == sorted(want) and u(1) != u(2)
+    assert sized == sorted(want) and u(1, "a", 0) != u(2, "a", 0)
 
 
 def test_encode(stages):
@@ -79,3 +79,37 @@ def test_odd_rows(spark):
         assert docs.columns[-4:] == ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"] and "copies" in docs.columns
     mid = C.one_of_equal_texts(spark, df, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in mid) == [(0, "null id"), (2, "the cat"), (3, ""), (4, "le chat " * 50000), (5, "le chat noir")]
+
+
+def test_null_ids_do_not_shield_each_other(spark):
+    """A third of the ids null: near copies go all the same, one of each group stays, and clean documents stay."""
+    import random
+    rnd = random.Random(5)
+    rows, groups = [], {}
+    for g in range(60):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(600)]
+        for c in range(3 if g % 2 else 1):
+            text = " ".join(base + [f"tail{c}"])
+            rows.append((None if (g + c) % 3 == 0 else 1000 * g + c, text, "en", "s", 1))
+            groups[text] = g
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __key int")
+    comp = brute_components(list(range(len(rows))), [brute_fp(r[1], 3) for r in rows], 2)
+    kept = C.one_of_near_texts(spark, df, "").collect()
+    assert len(kept) == len(set(comp)) < len(rows)
+    of = {r[1]: c for r, c in zip(rows, comp, strict=True)}
+    assert len({of[r["text"]] for r in kept}) == len(kept)  # one of each component
+    best = {}
+    for (i, text, *_), c in zip(rows, comp, strict=True):
+        best[c] = min(best.get(c, (True, 0)), (i is None, i or 0))
+    assert all((r.doc_id is None, r.doc_id or 0) == best[of[r["text"]]] for r in kept)
+    assert {r["__key"] for r in kept} == {1}
+
+
+def test_nothing_is_lost_without_labels(spark):
+    """Without a language to learn, or with long documents only, texts with letters stay."""
+    rows = [(i, f"word{i} and more text " * 2000, None if i % 2 else "en") for i in range(20)] + [(90, None, None), (91, "12 34", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for docs in (df, df.selectExpr("doc_id", "text", "cast(null as string) lang")):
+        assert ids(C.known_language(spark, docs, "")) == list(range(20))
+    got = langid.identify(df).where("doc_id < 20").collect()
+    assert {r.lang_pred for r in got} == {"en"}
