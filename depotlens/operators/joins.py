@@ -31,3 +31,16 @@ def lookup(fact: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataF
     left = fact.withColumn("_spread", spread.cast("int"))
     zero = F.pmod(F.hash(on), F.lit(1))  # always 0, but no constant that the optimizer would fold out of the join
     return left.join(dim.withColumn("_spread", zero), [on, "_spread"], how).drop("_spread")
+
+
+def left_join_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """``one LEFT JOIN many`` where ``many`` may hold most rows under one key.
+
+    Of a left join Spark splits only the left side of a skewed partition; of an
+    inner join either.  So the matches are an inner join, and the rows without
+    one are found by an anti-join against the distinct keys, which are reduced
+    before they are shuffled.
+    """
+    keys = many.select(key).where(F.col(key).isNotNull()).distinct()
+    alone = one.join(keys, key, "left_anti")
+    return one.join(many, key, "inner").unionByName(alone, allowMissingColumns=True)

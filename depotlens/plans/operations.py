@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators import snapshots as S
 from ..session import checkpoint_root
+from ..sources import feed_fixture
 from ..sources.fixtures import AS_OF, fixture_tables
-from ..streaming import cdc
-from . import health
+from ..sources.tables import SCHEMAS
+from ..streaming import cdc, incremental, replica
+from . import customers, health, inventory, ordering, supply_chain
 from .orders import order_performance
 
 PREVIOUS_AS_OF = dt.date(2001, 6, 1)
@@ -68,6 +70,15 @@ def export_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _positions(name: str):
+    """The report with every row's place in its ORDER BY."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .registry import REPORTS
+        return ordering.positions(name, REPORTS[name](spark, sf_dir))
+    run.__doc__ = f"{name} with the place of every row in its ORDER BY (a global range-partitioned sort)."
+    return run
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.change_feed_from_events(fixture_tables(spark, sf_dir).raw["events"])
 
@@ -119,6 +130,61 @@ def c_incremental_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.incremental_order_performance(t, order_performance(before), changed, t["order_items"].where(late))
 
 
+def c_delta_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 kept by signed deltas: a copy with old images, strangers and gaps, then
+    one batch of inserts, updates and deletes of orders and lines (lines of
+    every tenth order change their order), applied twice."""
+    t = fixture_tables(spark, sf_dir)
+    orders, lines, oid = t["orders"], t["order_items"], F.col("order_id")
+    job = incremental.IncrementalV3(spark, checkpoint_root(spark, "delta_v3", uuid.uuid4().hex), t["warehouses"], buckets=16)
+    old = orders.where(oid % 7 == 1).withColumn("status", F.lit("pending")).withColumn("warehouse_id", F.lit(None).cast("long"))
+    strange = orders.where(oid % 7 == 4).withColumn("order_id", -1 - oid)
+    elsewhere = lines.where(oid % 10 == 5).withColumn("order_id", oid + 1)
+    job.initialize(orders.where(~(oid % 7).isin(1, 2)).unionByName(old).unionByName(strange),
+                   lines.where(~(oid % 10).isin(3, 5)).unionByName(elsewhere))
+    sent = lambda rows, op, lsn: rows.select("*", F.lit(lsn).cast("long").alias("lsn"), F.lit(op).alias("op"))
+    order_changes = (sent(orders.where(oid % 7 == 1), "U", 10).unionByName(sent(orders.where(oid % 7 == 2), "I", 11))
+                     .unionByName(sent(strange, "D", 12)))
+    line_changes = sent(lines.where(oid % 10 == 3), "I", 13).unionByName(sent(lines.where(oid % 10 == 5), "U", 14))
+    for epoch in range(2):
+        job.apply(order_changes, line_changes, epoch)
+    return job.read_v3()
+
+
+class _Replicated(dict):
+    """Tables as their replicas have them: initial copy, then the feed of all tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.source = fixture_tables(spark, sf_dir)
+        self.feed = feed_fixture.feed(self.source)
+
+    def __missing__(self, name: str) -> DataFrame:
+        copy = replica.copied(feed_fixture.copy_of(self.source, name), name, feed_fixture.STARTED)
+        state = replica.merged(copy, replica.typed(self.feed, name), name, feed_fixture.STARTED)
+        self[name] = replica.table_of(state, name)
+        return self[name]
+
+
+def _on_replicas(report, *args):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(_Replicated(spark, sf_dir), *args)
+    run.__doc__ = f"{report.__name__} over replicated tables (initial copy and typed change feed)."
+    return run
+
+
+def c_replica_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each replicated table, and those with a NULL in any column."""
+    t, out = _Replicated(spark, sf_dir), None
+    for name, schema in SCHEMAS.items():
+        whole = None
+        for c in schema.names:
+            whole = F.col(c).isNull() if whole is None else whole | F.col(c).isNull()
+        part = t[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count(F.when(whole, 1)).alias("rows_with_null"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def o_replication_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.replication_lag(health.lag_samples(fixture_tables(spark, sf_dir).raw["events"]))
 
@@ -143,11 +209,22 @@ OPERATIONS = {
     "r_refresh_weekly": _refreshed("weekly", "m3_weekly_order_summary"),
     "r_refresh_monthly": _refreshed("monthly", "m2_monthly_inventory_summary"),
     "export_snapshot": export_snapshot,
+    "so_v4_positions": _positions("v4_customer_insights"),
+    "so_q1_positions": _positions("q1_warehouse_monthly_ranking"),
+    "so_q3_positions": _positions("q3_customer_rfm"),
+    "so_q4_positions": _positions("q4_hourly_operations"),
+    "so_q5_positions": _positions("q5_supply_chain"),
     "cdc_table_selection": cdc_table_selection,
     "c_apply_changes": c_apply_changes,
     "c_filter_ops": c_filter_ops,
     "c_idempotent_replay": c_idempotent_replay,
     "c_incremental_v3": c_incremental_v3,
+    "c_delta_v3": c_delta_v3,
+    "c_replica_counts": c_replica_counts,
+    "c_replica_v2": _on_replicas(inventory.inventory_summary),
+    "c_replica_v6": _on_replicas(inventory.product_movement_summary),
+    "c_replica_q3": _on_replicas(customers.customer_rfm, AS_OF),
+    "c_replica_q5": _on_replicas(supply_chain.supply_chain, AS_OF),
     "o_replication_lag": o_replication_lag,
     "o_slow_queries_topk": o_slow_queries_topk,
     "o_column_profile": o_column_profile,

@@ -8,10 +8,13 @@ the driver-side hash check does not need it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..session import checkpoint_root
 
 
 def asc(c: str) -> Column:
@@ -52,3 +55,33 @@ def ordered(name: str, df: DataFrame) -> DataFrame:
     """Apply the report's ORDER BY (no-op for reports without one)."""
     keys = ORDER.get(name)
     return df.orderBy(*[k() for k in keys]) if keys else df
+
+
+def with_position(df: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with every row's place (from 1) in the order of ``keys``.
+
+    A ``row_number`` over the whole result would bring all rows to one task.
+    Here the rows are range-partitioned and sorted, which is a global order
+    already; the sorted rows are written with their partition and their place
+    in it, and the sizes of the partitions before give the offset.  The sizes
+    are one number a partition, all that reaches the driver.
+    """
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition
+    path = checkpoint_root(spark, "positions", uuid.uuid4().hex)
+    df.orderBy(*keys).select("*", F.spark_partition_id().alias("_part"), place.alias("_place")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    offsets, at = [], 0
+    for part in sorted(sizes):
+        offsets.append((part, at))
+        at += sizes[part]
+    before = spark.createDataFrame(offsets, "_part int, _before long")
+    return (rows.join(F.broadcast(before), "_part")
+            .select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(name)))
+
+
+def positions(name: str, df: DataFrame) -> DataFrame:
+    """A report with the place of every row in its ORDER BY; ties are broken by
+    the other columns by name, NULLs last, so that places are defined."""
+    return with_position(df, [k() for k in ORDER[name]] + [asc(c) for c in sorted(df.columns)])

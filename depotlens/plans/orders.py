@@ -55,7 +55,12 @@ def order_performance(t: Tables) -> DataFrame:
     per = order_rollup(t["orders"], t["order_items"], distinct_items=True)
     g = per.groupBy(bucket(F.col("order_date"), "day").alias("order_date"), "warehouse_id").agg(
         *_order_group_aggs(True))
-    w = t["warehouses"].select("warehouse_id", "warehouse_name")
+    return order_figures(g, t["warehouses"])
+
+
+def order_figures(g: DataFrame, warehouses: DataFrame) -> DataFrame:
+    """V3 from its sums per day and warehouse."""
+    w = warehouses.select("warehouse_id", "warehouse_name")
     return g.join(w, "warehouse_id", "left").select(
         "order_date", "warehouse_id", "warehouse_name", *_order_measures())
 

@@ -18,6 +18,7 @@ from ..functions import rules as R
 from ..functions.exprs import (BIG, avg_hours2, bucket, dow0, in_bucket, micros_between, minus,
                                money_from_cents, pct, round2, since, ts_lit, whole_days_between)
 from ..functions.rules import ladder
+from ..operators.joins import left_join_many
 from ..operators.rollups import order_rollup, weighted_hours_aggs
 from ..sources.fixtures import AS_OF, fixture_tables
 from ..sources.tables import Tables
@@ -37,14 +38,14 @@ def j_left_residual_eq(t: Tables, as_of: dt.date) -> DataFrame:
     before the join (as a pushed range filter) and the join stays an equi-join.
     """
     o = t["orders"].where(in_bucket(F.col("order_date"), "day", as_of)).select("warehouse_id", "order_id")
-    return t["warehouses"].select("warehouse_id", "warehouse_name").join(o, "warehouse_id", "left")
+    return left_join_many(t["warehouses"].select("warehouse_id", "warehouse_name"), o, "warehouse_id")
 
 
 def j_left_residual_range(t: Tables, as_of: dt.date) -> DataFrame:
     """Products LEFT JOIN movements ON key AND movement_date >= as_of - 30 days."""
     m = (t["inventory_movements"].where(since(F.col("movement_date"), as_of, days=30))
          .select("product_id", "movement_id", "movement_date"))
-    return t["products"].select("product_id").join(m, "product_id", "left")
+    return left_join_many(t["products"].select("product_id"), m, "product_id")
 
 
 def j_double_lookup_coalesce(t: Tables) -> DataFrame:
@@ -63,8 +64,7 @@ def j_outer_to_inner(t: Tables, as_of: dt.date) -> DataFrame:
     o = t["orders"].where(since(F.col("order_date"), as_of, months=12)).select("order_id", "warehouse_id")
     w = t["warehouses"].select("warehouse_id")
     items = t["order_items"].select("order_id", "order_item_id")
-    return o.join(w, "warehouse_id", "inner").join(items, "order_id", "left") \
-            .select("warehouse_id", "order_id", "order_item_id")
+    return left_join_many(o.join(w, "warehouse_id", "inner"), items, "order_id").select("warehouse_id", "order_id", "order_item_id")
 
 
 def j_inner_star(t: Tables, as_of: dt.date) -> DataFrame:

@@ -81,6 +81,7 @@ class FixtureTables(dict):
         self.raw = RawTables(spark, sf_dir)
         self.spark = spark
         self.sf_dir = sf_dir
+        self.extra: list[str] = []
 
     def __missing__(self, name: str) -> DataFrame:
         df = conform(getattr(self, f"_{name}")(), name)
@@ -122,6 +123,14 @@ class FixtureTables(dict):
                         c.c_mktsegment.alias("customer_type"), r.r_name.alias("region"),
                         n.n_name.alias("country"))
 
+    def mapped(self, name: str, lineitem: DataFrame) -> DataFrame:
+        """A table made of lineitem rows alone, from ``lineitem`` with further
+        columns whose names start with ``_``, which are kept."""
+        own = FixtureTables(self.spark, self.sf_dir)
+        own.raw._cache["lineitem"] = lineitem
+        own.extra = [c for c in lineitem.columns if c.startswith("_")]
+        return getattr(own, f"_{name}")()
+
     # -- facts from lineitem --------------------------------------------------
     def _inventory(self) -> DataFrame:
         li = self.raw["lineitem"]
@@ -137,7 +146,7 @@ class FixtureTables(dict):
     def _inventory_movements(self) -> DataFrame:
         li = self.raw["lineitem"]
         mtype = _map(li.l_returnflag, MOVEMENT_TYPE)
-        return li.select(_movement_id(li).alias("movement_id"), li.l_partkey.alias("product_id"),
+        return li.select(*self.extra, _movement_id(li).alias("movement_id"), li.l_partkey.alias("product_id"),
                          mtype.alias("movement_type"), li.l_shipdate.alias("movement_date"),
                          li.l_quantity.cast("long").alias("quantity_moved"),
                          _line_price(li).alias("unit_cost"),
@@ -149,19 +158,19 @@ class FixtureTables(dict):
         li = self.raw["lineitem"]
         qty = li.l_quantity.cast("long")
         shipped = F.when(li.l_linestatus == "F", qty).otherwise(F.call_function("div", qty, F.lit(2)))
-        return li.select(_movement_id(li).alias("order_item_id"), li.l_orderkey.alias("order_id"),
+        return li.select(*self.extra, _movement_id(li).alias("order_item_id"), li.l_orderkey.alias("order_id"),
                          li.l_partkey.alias("product_id"), qty.alias("quantity_ordered"),
                          shipped.alias("quantity_shipped"), (qty - shipped).alias("quantity_backordered"),
                          _line_price(li).alias("unit_price"))
 
     def _shipment_items(self) -> DataFrame:
         li = self.raw["lineitem"]
-        return li.where(li.l_linestatus == "F").select(li.l_orderkey.alias("shipment_id"),
+        return li.where(li.l_linestatus == "F").select(*self.extra, li.l_orderkey.alias("shipment_id"),
                                                        li.l_quantity.cast("long").alias("quantity_shipped"))
 
     def _receipt_items(self) -> DataFrame:
         li = self.raw["lineitem"]
-        return li.where(li.l_linestatus == "O").select(li.l_orderkey.alias("receipt_id"),
+        return li.where(li.l_linestatus == "O").select(*self.extra, li.l_orderkey.alias("receipt_id"),
                                                        li.l_quantity.cast("long").alias("quantity_received"))
 
     # -- facts from orders ------------------------------------------------------

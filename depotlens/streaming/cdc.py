@@ -158,12 +158,14 @@ class StateStore:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, key: list[str] = KEY,
                  payload: T.StructType | None = None, manifest_path: str | None = None,
-                 section: str = "buckets"):
+                 section: str = "buckets", bucket_by: list[str] | None = None):
         """``payload``: schema of the stored columns (key included); defaults
         to the generic change feed's (table, key, value, ts).  ``manifest_path``
         / ``section`` let a larger job keep this store's bucket map in its own
-        manifest, so several stores commit in one rename."""
+        manifest, so several stores commit in one rename.  ``bucket_by``: the
+        columns rows are bucketed by, if not the key."""
         self.spark, self.root, self.buckets, self.key = spark, root, buckets, list(key)
+        self.bucket_by = list(bucket_by or key)
         self.manifest_path, self.section = manifest_path or os.path.join(root, "_manifest.json"), section
         fields = (payload.fields if payload is not None
                   else [f for f in CHANGE_SCHEMA.fields if f.name not in ("op", "lsn")])
@@ -171,7 +173,7 @@ class StateStore:
                                                    T.StructField("_deleted", T.BooleanType())])
 
     def bucket_of(self) -> F.Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.bucket_by]), F.lit(self.buckets)).cast("int")
 
     def _manifest_path(self) -> str:
         return self.manifest_path
@@ -224,10 +226,11 @@ class StateStore:
             if name not in live:
                 fsio.delete(self.spark, os.path.join(root, name))
 
-    def stage_changes(self, m: dict, changes: DataFrame, epoch: int) -> DataFrame:
+    def stage_changes(self, m: dict, changes: DataFrame, epoch: int, touched: list[int] | None = None) -> DataFrame:
         """Apply ``changes`` to the touched buckets and stage them into ``m``;
-        returns the new rows of those buckets (tombstones included)."""
-        touched = self.touched_buckets(changes)
+        returns the new rows of those buckets (tombstones included).  If a
+        change can move a row to another bucket, ``touched`` names both."""
+        touched = self.touched_buckets(changes) if touched is None else touched
         new = apply_changes(self.read(touched, m), changes, self.key) if touched else None
         self._stage(m, new, touched, epoch)
         return new if new is not None else self.spark.createDataFrame([], self.schema)

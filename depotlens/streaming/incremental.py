@@ -1,27 +1,30 @@
-"""V3's daily order buckets kept current from order and order-line changes.
-
-A change row is a row of its table plus ``lsn`` and ``op`` (I/U/D).  Per
-micro-batch (``foreachBatch``) over both tables:
-
-1. the orders that the batch touches are its changed orders and the orders of
-   its changed lines (old and new images); their days are read from the orders
-   state before and after the changes;
-2. the changes are applied to the hash buckets they touch (last writer wins on
-   LSN, tombstones for deletes, see ``cdc.apply_changes``);
-3. V3 is recomputed for the touched days only, from the orders of those days
-   (a pushed date range, then the days) and their lines (a semi-join);
-4. both states and the V3 day folders are written under folders of this
-   attempt, and one manifest that names them all is swapped in one rename.
-
-``COUNT(DISTINCT)`` is not supported by streaming aggregations, which is why
-the touched buckets are recomputed with the batch plan instead of a stateful
-streaming aggregate.  A replayed batch changes nothing: no change in it is
-newer than its key's LSN.
+"""V3 kept current by signed deltas from order and order-line changes.
+
+A change row is a row of its table plus ``lsn`` and ``op`` (I/U/D).  V3 is a sum
+over orders, so it is kept as additive figures per day and warehouse, and a
+batch adds the figures that the orders it touches have after the batch and
+subtracts those they had before.  Per micro-batch (``foreachBatch``):
+
+1. the touched orders are the changed ones and those that own a changed line,
+   before or after (``line_owners`` knows a line's order by its id);
+2. orders and lines are both bucketed by ``order_id``, so the old images of the
+   touched orders are read from their buckets alone;
+3. the changes are applied to those buckets (last writer wins on LSN, tombstones
+   for deletes, see ``cdc.apply_changes``) and the new images read from them;
+4. the difference is added to the figures of the months it touches (a row per
+   day and warehouse), and the states and month folders are committed together
+   by one manifest.
+
+What a batch reads grows with the batch and not with the tables.  A replayed
+batch changes nothing: no change in it is newer than its key's LSN, so old and
+new images are equal and the difference is zero.
+
+A sum over no value is NULL, not 0, so every such figure is kept with the number
+of orders that have it.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 import os
 import uuid
@@ -30,43 +33,97 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import rules as R
+from ..functions.exprs import BIG, bucket
 from ..operators import fsio
-from ..operators.joins import restrict_to_keys
-from ..plans.orders import order_performance
+from ..operators.rollups import order_rollup
+from ..plans.orders import order_figures
 from ..sources.tables import SCHEMAS
 from .cdc import StateStore, initial_copy, visible
 
 _CHANGE = [T.StructField("lsn", T.LongType()), T.StructField("op", T.StringType())]
 ORDER_CHANGE_SCHEMA = T.StructType(list(SCHEMAS["orders"].fields) + _CHANGE)
 LINE_CHANGE_SCHEMA = T.StructType(list(SCHEMAS["order_items"].fields) + _CHANGE)
+OWNER_SCHEMA = T.StructType([f for f in SCHEMAS["order_items"].fields if f.name in ("order_item_id", "order_id")])
 
+GROUP = ["order_date", "warehouse_id"]
+#: Figures that are NULL without a value; the others are counts.
+SUMS = {"total_quantity_ordered": "sum_ordered", "total_quantity_shipped": "sum_shipped",
+        "total_quantity_backordered": "sum_backordered", "price_cents": "price_cents", "price_n": "price_n",
+        "value_cents": "value_cents", "n_ordered": "n_ordered"}
 
-def day_key(ts: Column) -> Column:
-    """Folder key of an order day (``none`` for a NULL order date)."""
-    return F.coalesce(F.date_format(ts, "yyyyMMdd"), F.lit("none"))
+
+def month_key(ts: Column) -> Column:
+    """Folder key of an order's month (``none`` for a NULL order date)."""
+    return F.coalesce(F.date_format(ts, "yyyyMM"), F.lit("none"))
+
+
+def figures(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Additive figures of every order: its day, warehouse, counts, and each sum with whether it has a value."""
+    per = order_rollup(orders, lines, distinct_items=True)
+    status, one = F.col("status"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    counts = {"rows": F.lit(1).cast("long"), "total_orders": one(F.col("order_id").isNotNull()),
+              "total_order_items": F.coalesce("n_items", F.lit(0)),
+              "completed_orders": one(status == R.ORDER_COMPLETED), "pending_orders": one(status == R.ORDER_PENDING),
+              "cancelled_orders": one(status == R.ORDER_CANCELLED)}
+    sums = {n: F.col(c) for n, c in SUMS.items()} | {
+        "h_sum": F.col("ship_us").cast(BIG) * F.col("w"), "h_n": F.when(F.col("ship_us").isNotNull(), F.col("w"))}
+    out = [c.cast(BIG).alias(n) for n, c in counts.items()]
+    for n, c in sums.items():
+        out += [F.coalesce(c, F.lit(0)).cast(BIG).alias(n), c.isNotNull().cast("int").cast(BIG).alias(f"{n}_has")]
+    return per.select(bucket(F.col("order_date"), "day").alias("order_date"), "warehouse_id", *out)
+
+
+def added(*parts: DataFrame) -> DataFrame:
+    """Figures summed per day and warehouse; groups without an order are gone."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    names = [c for c in rows.columns if c not in GROUP]
+    return rows.groupBy(*GROUP).agg(*[F.sum(c).cast(BIG).alias(c) for c in names])
+
+
+def negated(rows: DataFrame) -> DataFrame:
+    return rows.select(*GROUP, *[(-F.col(c)).cast(BIG).alias(c) for c in rows.columns if c not in GROUP])
+
+
+def report(kept: DataFrame, warehouses: DataFrame) -> DataFrame:
+    """V3 from its kept figures."""
+    names = [c for c in kept.columns if c not in GROUP and not c.endswith("_has")]
+    as_sum = lambda c: F.when(F.col(f"{c}_has") > 0, F.col(c)).alias(c)
+    sums = [as_sum(c) for c in names if f"{c}_has" in kept.columns]
+    counts = [F.col(c).cast("long").alias(c) for c in names if f"{c}_has" not in kept.columns]
+    g = kept.where("rows > 0").select(*GROUP, *counts, *sums)
+    return order_figures(g.withColumns({c: F.col(c).cast("long") for c in (*SUMS, "h_n")}), warehouses)
 
 
 class IncrementalV3:
-    """Orders state, lines state and V3 by day under one root and one manifest."""
+    """Orders, lines, line owners and V3's figures by month under one root and one manifest."""
 
     def __init__(self, spark: SparkSession, root: str, warehouses: DataFrame, buckets: int = 64):
         self.spark, self.root, self.warehouses = spark, root, warehouses
         self.manifest_path = os.path.join(root, "_manifest.json")
-        store = lambda name, key: StateStore(spark, os.path.join(root, name), buckets, key=[key], payload=SCHEMAS[name],
-                                             manifest_path=self.manifest_path, section=name)
-        self.orders, self.lines = store("orders", "order_id"), store("order_items", "order_item_id")
+
+        def store(name: str, key: str, payload: T.StructType, by: str) -> StateStore:
+            return StateStore(spark, os.path.join(root, name), buckets, key=[key], payload=payload,
+                              manifest_path=self.manifest_path, section=name, bucket_by=[by])
+
+        self.orders = store("orders", "order_id", SCHEMAS["orders"], "order_id")
+        self.lines = store("order_items", "order_item_id", SCHEMAS["order_items"], "order_id")
+        self.owners = store("line_owners", "order_item_id", OWNER_SCHEMA, "order_item_id")
+        self.stores = (self.orders, self.lines, self.owners)
 
     def manifest(self) -> dict:
         text = fsio.read_text(self.spark, self.manifest_path)
         m = json.loads(text) if text else {"epoch": None}
-        for section in ("orders", "order_items", "v3"):
+        for section in (*[s.section for s in self.stores], "v3"):
             m.setdefault(section, {})
         return m
 
     def _write(self, before: dict, m: dict, epoch: int) -> None:
         m["epoch"] = epoch
         fsio.write_text_atomic(self.spark, self.manifest_path, json.dumps(m, sort_keys=True))
-        for store in (self.orders, self.lines):
+        for store in self.stores:
             store.prune([before, m])
         live = {os.path.basename(os.path.dirname(p)) for x in (before, m) for p in x["v3"].values()}
         root = os.path.join(self.root, "v3", "_epochs")
@@ -74,37 +131,35 @@ class IncrementalV3:
             if name not in live:
                 fsio.delete(self.spark, os.path.join(root, name))
 
-    def _v3(self, orders: DataFrame, lines: DataFrame) -> DataFrame:
-        lines = restrict_to_keys(lines, orders, "order_id")
-        return order_performance({"orders": orders, "order_items": lines, "warehouses": self.warehouses})
-
-    def _stage_v3(self, m: dict, rows: DataFrame, days: list[str] | None, epoch: int) -> None:
+    def _stage_v3(self, m: dict, rows: DataFrame, months: list[str] | None, epoch: int) -> None:
         stage = os.path.join(self.root, "v3", "_epochs", f"e={epoch}-{uuid.uuid4().hex[:12]}")
-        rows.withColumn("_day", day_key(F.col("order_date"))).repartition("_day").write \
-            .partitionBy("_day").parquet(stage)  # one file per day
-        written = {d.split("=", 1)[1] for d in fsio.list_dirs(self.spark, stage) if d.startswith("_day=")}
-        for d in (days if days is not None else sorted(written)):
+        rows.where("rows > 0").withColumn("_month", month_key(F.col("order_date"))).repartition("_month").write \
+            .partitionBy("_month").parquet(stage)  # one file per month
+        written = {d.split("=", 1)[1] for d in fsio.list_dirs(self.spark, stage) if d.startswith("_month=")}
+        for d in (months if months is not None else sorted(written)):
             if d in written:
-                m["v3"][d] = os.path.join(stage, f"_day={d}")
-            else:  # the day lost its last order
+                m["v3"][d] = os.path.join(stage, f"_month={d}")
+            else:  # the month lost its last order
                 m["v3"].pop(d, None)
 
     def initialize(self, orders: DataFrame, order_items: DataFrame, lsn: int = 0) -> None:
-        """Initial copy of both tables and the V3 computed from it (epoch -1);
-        what an earlier copy committed stays readable until the new one is."""
+        """Initial copy of both tables and the figures computed from it (epoch
+        -1); what an earlier copy committed stays readable until the new one is."""
         before, m = self.manifest(), self.manifest()
         orders, lines = orders.select(*SCHEMAS["orders"].names), order_items.select(*SCHEMAS["order_items"].names)
-        for store, rows in ((self.orders, orders), (self.lines, lines)):
+        for store, rows in ((self.orders, orders), (self.lines, lines), (self.owners, lines.select(*OWNER_SCHEMA.names))):
             store._stage(m, initial_copy(rows, lsn), list(range(store.buckets)), -1)
         m["v3"] = {}
-        self._stage_v3(m, self._v3(orders, lines), None, -1)
+        self._stage_v3(m, added(figures(orders, lines)), None, -1)
         self._write(before, m, -1)
 
+    def _kept(self, m: dict, months: list[str] | None = None) -> DataFrame:
+        paths = [p for d, p in m["v3"].items() if months is None or d in months]
+        schema = added(figures(*(self.spark.createDataFrame([], SCHEMAS[n]) for n in ("orders", "order_items")))).schema
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def read_v3(self) -> DataFrame:
-        paths = list(self.manifest()["v3"].values())
-        if not paths:
-            return self._v3(*(self.spark.createDataFrame([], SCHEMAS[n]) for n in ("orders", "order_items")))
-        return self.spark.read.parquet(*paths)
+        return report(self._kept(self.manifest()), self.warehouses)
 
     def read_orders(self) -> DataFrame:
         return visible(self.orders.read()).drop("_lsn")
@@ -112,34 +167,34 @@ class IncrementalV3:
     def read_lines(self) -> DataFrame:
         return visible(self.lines.read()).drop("_lsn")
 
-    def _orders_of(self, days: list[str], m: dict) -> DataFrame:
-        """Orders of the touched days: the range of days is pushed to the scan."""
-        date, known = F.col("order_date"), [dt.datetime.strptime(d, "%Y%m%d") for d in days if d != "none"]
-        within = date.isNull()
-        if known:
-            first, last = min(known), max(known) + dt.timedelta(days=1)
-            within = within | ((date >= F.lit(first).cast("timestamp_ntz")) & (date < F.lit(last).cast("timestamp_ntz")))
-        return visible(self.orders.read(manifest=m).where(within)).drop("_lsn").where(day_key(date).isin(days))
+    def _images(self, m: dict, ids: DataFrame, touched: list[int]) -> DataFrame:
+        """Figures of the orders ``ids`` as ``m`` has them, from the buckets ``touched``."""
+        orders, lines = (visible(s.read(touched, m)).drop("_lsn").join(ids, "order_id", "left_semi") for s in (self.orders, self.lines))
+        return figures(orders, lines)
 
     def apply(self, order_changes: DataFrame, line_changes: DataFrame | None = None, epoch: int = 0) -> bool:
         before, m = self.manifest(), self.manifest()
         ids = order_changes.select("order_id")
         if line_changes is not None:
-            keys = line_changes.select("order_item_id").distinct()
-            old = visible(self.lines.read(self.lines.touched_buckets(line_changes), m)).join(keys, "order_item_id", "left_semi")
+            owned = visible(self.owners.read(self.owners.touched_buckets(line_changes), m))
+            old = owned.join(line_changes.select("order_item_id"), "order_item_id", "left_semi")
             ids = ids.unionByName(line_changes.select("order_id")).unionByName(old.select("order_id"))
-        ids = ids.distinct()
-        touched = self.orders.touched_buckets(ids)
-        days_of = lambda manifest: (visible(self.orders.read(touched, manifest)).join(ids, "order_id", "left_semi")
-                                    .select(day_key(F.col("order_date")).alias("d")).distinct())
-        days = {r.d for r in days_of(m).collect()}  # calendar-bounded, as below
-        self.orders.stage_changes(m, order_changes, epoch)
-        if line_changes is not None:
-            self.lines.stage_changes(m, line_changes, epoch)
-        days |= {r.d for r in days_of(m).collect()}
-        if days:
-            lines = visible(self.lines.read(manifest=m)).drop("_lsn")
-            self._stage_v3(m, self._v3(self._orders_of(sorted(days), m), lines), sorted(days), epoch)
+        ids = ids.distinct().persist()  # as many as the batch has
+        try:
+            touched = self.orders.touched_buckets(ids)
+            self.orders.stage_changes(m, order_changes, epoch, touched)
+            if line_changes is not None:
+                self.lines.stage_changes(m, line_changes, epoch, touched)
+                self.owners.stage_changes(m, line_changes.select(*OWNER_SCHEMA.names, "lsn", "op"), epoch)
+            delta = added(self._images(m, ids, touched), negated(self._images(before, ids, touched))).persist()
+            try:
+                months = sorted(r.d for r in delta.select(month_key(F.col("order_date")).alias("d")).distinct().collect())  # calendar-bounded
+                if months:
+                    self._stage_v3(m, added(self._kept(before, months), delta), months, epoch)
+            finally:
+                delta.unpersist()
+        finally:
+            ids.unpersist()
         self._write(before, m, epoch)
         return True
 
