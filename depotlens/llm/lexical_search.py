@@ -42,6 +42,7 @@ from .common import map_texts, written
 
 VOCABULARY = 4096  # distinct terms in a block of items
 CELLS = 1 << 23  # of a shard's matrix, documents x terms
+SHARDS = 3  # of a task
 BLOCK = 32  # documents of a block on average
 SKETCH = 16  # dimensions of the projection that blocks are clustered by
 SALTS = 64  # parts of an item's candidates that are ranked apart first
@@ -224,7 +225,9 @@ def search_block(docs: DataFrame, texts: list[bytes], k: int, id_col: str, text_
         rows = [(q, None if null else i, -s) for q, found in enumerate(best.found) for s, null, i in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["item", "doc_id", "score"])
 
-    return postings.where(F.size("terms") > 0).mapInArrow(run, "item long, doc_id long, score long")
+    # a task has as many documents at every size of the input
+    tasks = max(1, -(-documents // (SHARDS * shard)))
+    return postings.where(F.size("terms") > 0).repartition(tasks).mapInArrow(run, "item long, doc_id long, score long")
 
 
 def best_of(rows: DataFrame, k: int, *by: str) -> DataFrame:
