@@ -185,18 +185,39 @@ def read_snapshot(spark: SparkSession, name: str, root: str | None = None) -> Da
 def materialize(spark: SparkSession, df: DataFrame, name: str, root: str | None = None,
                 key: tuple[str, ...] | None = None) -> tuple[str, DataFrame]:
     """Write ``df`` as a new version folder of ``name`` (not yet committed),
-    check its unique key on the written files and return (version, reread)."""
+    check its unique key on the written files and return (version, reread).
+    An empty ``key`` leaves the check to the caller."""
     root = root or default_root(spark)
     version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
     path = os.path.join(root, name, f"v={version}")
     df.write.mode("errorifexists").parquet(path)
-    written = spark.read.parquet(path)
-    key = key or UNIQUE_KEYS.get(name)
+    written = spark.read.schema(df.schema).parquet(path)
+    key = UNIQUE_KEYS.get(name) if key is None else key
     if key:
         assert_unique(written, key, name)
     return version, written
 
 
+def check_and_diff(old: DataFrame | None, new: DataFrame, key: list[str]) -> dict[str, int]:
+    """Rows and duplicated keys of ``new`` and the number of inserted, updated
+    and deleted rows, from one grouping of both by key: one shuffle, one job.
+
+    Keys with a NULL part may repeat, as in a SQL unique index; in the diff they
+    are equal.  Values compare with NULL equal to NULL."""
+    rest = [c for c in new.columns if c not in key] or key[:1]
+    side = lambda df, fresh: df.select(*key, F.struct(*rest).alias("row"), F.lit(fresh).alias("fresh"))
+    both = side(new, True) if old is None else side(new, True).unionByName(side(old, False))
+    fresh = F.col("fresh")
+    per = both.groupBy(*key).agg(F.count_if(fresh).alias("n"), F.count_if(~fresh).alias("was"),
+                                 F.max(F.when(fresh, F.col("row"))).alias("now"), F.max(F.when(~fresh, F.col("row"))).alias("then"))
+    whole = None
+    for k in key:
+        whole = F.col(k).isNotNull() if whole is None else whole & F.col(k).isNotNull()
+    n, was = F.col("n"), F.col("was")
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(whole & (n > 1)).alias("duplicates"), F.count_if(was == 0).alias("insert"), F.count_if(n == 0).alias("delete"),
+                   F.count_if((n > 0) & (was > 0) & ~F.col("now").eqNullSafe(F.col("then"))).alias("update")).first().asDict()
+
+
 def refresh(spark: SparkSession, tables: Tables, group: str = "daily", as_of: dt.date | None = None,
             root: str | None = None) -> dict:
     """Refresh every snapshot of ``group`` (daily|weekly|monthly) at ``as_of``
@@ -210,15 +231,19 @@ def refresh(spark: SparkSession, tables: Tables, group: str = "daily", as_of: dt
     manifest = read_manifest(root, spark)
     staged, report = {}, {}
     for name in GROUPS[group]:
-        version, written = materialize(spark, build[name](tables, as_of), name, root)
-        info = {"version": version, "as_of": as_of.isoformat(), "rows": written.count()}
+        version, written = materialize(spark, build[name](tables, as_of), name, root, ())
+        info = {"version": version, "as_of": as_of.isoformat()}
+        plain = lambda df: df.drop(*[k for k in df.columns if k.startswith("summary_")])
+        old = None
         if name in manifest:
-            old = spark.read.parquet(os.path.join(root, name, f"v={manifest[name]['version']}"))
-            biz_key = [k for k in UNIQUE_KEYS[name] if not k.startswith("summary_")]
-            counts = diff(old.drop(*[k for k in old.columns if k.startswith("summary_")]),
-                          written.drop(*[k for k in written.columns if k.startswith("summary_")]),
-                          biz_key).groupBy("op").count().collect()  # <= 3 rows
-            info["changes"] = {r["op"]: r["count"] for r in counts}
+            old = plain(spark.read.parquet(os.path.join(root, name, f"v={manifest[name]['version']}")))
+        # the summary date is the same in all rows of a version
+        found = check_and_diff(old, plain(written), [k for k in UNIQUE_KEYS[name] if not k.startswith("summary_")])
+        info["rows"] = found.pop("rows")
+        if found.pop("duplicates"):
+            assert_unique(written, UNIQUE_KEYS[name], name)  # raises, and names some
+        if old is not None:
+            info["changes"] = {op: n for op, n in found.items() if n}
         staged[name] = {"version": version, "as_of": info["as_of"]}
         report[name] = info
     # another group may have committed meanwhile: merge into what is committed now, refuse to overwrite a newer version
@@ -247,6 +272,13 @@ def prune_versions(spark: SparkSession, root: str | None = None, keep: int = 3)
     return gone
 
 
+def due(ts: Column) -> Column:
+    """``due_groups`` of a timestamp column: the array of groups due in its hour."""
+    on = {"daily": F.lit(True), "weekly": F.weekday(ts) == 0, "monthly": F.dayofmonth(ts) == 1}
+    names = [F.when((F.hour(ts) == at.hour) & on[g], F.lit(g)) for g, at in SCHEDULE.items()]
+    return F.array_compact(F.array(*names))
+
+
 def due_groups(ts: dt.datetime) -> list[str]:
     """Groups whose scheduled run falls in the hour starting at ``ts``'s hour."""
     out = []
@@ -266,18 +298,50 @@ def due_groups(ts: dt.datetime) -> list[str]:
 def export_snapshot(spark: SparkSession, df: DataFrame, export_root: str, name: str, as_of: dt.date,
                     retention_days: int = 30) -> str:
     """Write ``df`` compressed under ``export_root/dt=<as_of>/<name>`` and drop
-    ``dt=`` partitions older than ``as_of - retention_days``.  Works on any
-    Hadoop file system (listing/deleting goes through the session's FS)."""
-    path = os.path.join(export_root, f"dt={as_of.isoformat()}", name)
-    df.write.mode("overwrite").option("compression", "gzip").parquet(path)
+    ``dt=`` partitions older than ``as_of - retention_days``; returns the folder
+    written.  Works on any Hadoop file system."""
+    path = commit_export(spark, df, export_root, name, as_of)
     expire_partitions(spark, export_root, as_of, retention_days)
     return path
 
 
+def _export_folder(export_root: str, name: str, as_of: dt.date) -> str:
+    return os.path.join(export_root, f"dt={as_of.isoformat()}", name)
+
+
+def commit_export(spark: SparkSession, df: DataFrame, export_root: str, name: str, as_of: dt.date) -> str:
+    """Every run writes a folder of its own; the pointer ``_current`` is replaced
+    when it is complete.  A run that dies leaves the export before it readable,
+    and two runs cannot mix.  Runs that are neither current nor the one before
+    are deleted, but not while they may still be written (a day)."""
+    folder = _export_folder(export_root, name, as_of)
+    pointer = os.path.join(folder, "_current")
+    before = fsio.read_text(spark, pointer)
+    run = "run=" + dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+    path = os.path.join(folder, run)
+    df.write.mode("errorifexists").option("compression", "gzip").parquet(path)
+    fsio.write_text_atomic(spark, pointer, run)
+    limit = (dt.datetime.now(dt.timezone.utc) - dt.timedelta(days=1)).strftime("run=%Y%m%dT%H%M%S")
+    for old in fsio.list_dirs(spark, folder):
+        if old not in (run, before) and old < limit:
+            fsio.delete(spark, os.path.join(folder, old))
+    return path
+
+
+def read_export(spark: SparkSession, export_root: str, name: str, as_of: dt.date) -> DataFrame:
+    """The committed export of a day."""
+    folder = _export_folder(export_root, name, as_of)
+    run = fsio.read_text(spark, os.path.join(folder, "_current"))
+    if run is None:
+        raise KeyError(f"no export of {name!r} on {as_of} under {export_root}")
+    return spark.read.parquet(os.path.join(folder, run))
+
+
 def export_reports(spark: SparkSession, tables: Tables, as_of: dt.date, export_root: str,
                    retention_days: int = 30) -> list[str]:
     """Dump every analytics report (views and snapshots) at ``as_of`` under
-    ``export_root/dt=<as_of>/<report>`` (gzip Parquet), then apply retention.
+    ``export_root/dt=<as_of>/<report>`` (gzip Parquet), then apply retention;
+    returns the folders, whose committed run ``read_export`` reads.
     Each report is its own distributed write; nothing passes the driver."""
     import inspect
 
@@ -285,9 +349,8 @@ def export_reports(spark: SparkSession, tables: Tables, as_of: dt.date, export_r
     paths = []
     for name, fn in REPORT_FUNCTIONS.items():
         kw = {"as_of": as_of} if "as_of" in inspect.signature(fn).parameters else {}
-        path = os.path.join(export_root, f"dt={as_of.isoformat()}", name)
-        fn(tables, **kw).write.mode("overwrite").option("compression", "gzip").parquet(path)
-        paths.append(path)
+        commit_export(spark, fn(tables, **kw), export_root, name, as_of)
+        paths.append(_export_folder(export_root, name, as_of))
     expire_partitions(spark, export_root, as_of, retention_days)
     return paths
 

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bitmaps
 from ..operators import snapshots as S
 from ..session import checkpoint_root
-from ..sources import feed_fixture
+from ..sources import bucketed, feed_fixture
 from ..sources.fixtures import AS_OF, fixture_tables
 from ..sources.tables import SCHEMAS
 from ..streaming import cdc, incremental, replica
 from . import customers, health, inventory, ordering, supply_chain
-from .orders import order_performance
+from .orders import order_performance, weekly_order_summary
+from .warehouse import shipping_receiving_performance
 
 PREVIOUS_AS_OF = dt.date(2001, 6, 1)
 # Fixture micro-batch boundaries of the change feed (event time).
@@ -65,9 +66,77 @@ def export_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export V1 (gzip Parquet, dt= partition, 30-day retention) and read it back."""
     from .warehouse import warehouse_performance
     t = fixture_tables(spark, sf_dir)
-    root = checkpoint_root(spark, "exports", os.path.basename(os.path.normpath(sf_dir)))
-    path = S.export_snapshot(spark, warehouse_performance(t), root, "v1_warehouse_performance", AS_OF)
-    return spark.read.parquet(path)
+    root = checkpoint_root(spark, "exports", uuid.uuid4().hex)
+    for _ in range(2):  # the second run replaces what readers see of the first
+        S.export_snapshot(spark, warehouse_performance(t), root, "v1_warehouse_performance", AS_OF)
+    return S.read_export(spark, root, "v1_warehouse_performance", AS_OF)
+
+
+def r_refresh_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh by group name: the rows of every member, and the error of a name that is no group."""
+    t = fixture_tables(spark, sf_dir)
+    root, out = checkpoint_root(spark, "refreshed", uuid.uuid4().hex), []
+    for group in ("daily", "weekly", "monthly", "hourly"):
+        try:
+            done = S.refresh(spark, t, group, AS_OF, root)
+            out += [(group, name, info["rows"], None) for name, info in done.items()]
+        except ValueError as error:
+            out.append((group, None, None, str(error).split(";")[0]))
+    return spark.createDataFrame(out, "group_name string, snapshot string, rows long, error string")
+
+
+def r_refresh_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refresh groups due in every hour in which an order came."""
+    hours = fixture_tables(spark, sf_dir)["orders"].select(F.date_trunc("HOUR", "order_date").cast("timestamp_ntz").alias("hour")).distinct()
+    return hours.select("hour", F.explode(S.due(F.col("hour"))).alias("group_name"))
+
+
+def sc_view_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over report views that are computed on read, through CTEs that use one view twice."""
+    from .registry import ReportViews
+    views = ReportViews(spark, lambda: fixture_tables(spark, sf_dir), AS_OF)
+    return views.sql(VIEW_SQL)
+
+
+#: Plain SQL over the report views; the oracle runs the same text over its own versions of them.
+VIEW_SQL = """WITH per_warehouse AS (
+    SELECT warehouse_id, sum(total_orders) AS orders, sum(total_order_value) AS value FROM v3_order_performance GROUP BY warehouse_id),
+  whole AS (SELECT sum(orders) AS orders FROM per_warehouse)
+SELECT w.warehouse_id, v.warehouse_name, CAST(w.orders AS BIGINT) AS orders, CAST(w.value AS DECIMAL(38, 2)) AS order_value,
+       w.orders * 100 >= (SELECT orders FROM whole) * 5 AS busy
+FROM per_warehouse w JOIN v1_warehouse_performance v ON w.warehouse_id = v.warehouse_id"""
+
+
+class _Bucketed(dict):
+    """The tables of a report from the co-bucketed layout."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, names: list[str]):
+        name = uuid.uuid4().hex
+        root = checkpoint_root(spark, "bucketed", name)
+        super().__init__(bucketed.write_bucketed(fixture_tables(spark, sf_dir), root, f"b_{name}_", 16, names))
+
+
+def _on_buckets(report, names: list[str], *args):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(_Bucketed(spark, sf_dir, names), *args)
+    run.__doc__ = f"{report.__name__} over tables bucketed by parent id."
+    return run
+
+
+def agg_bitmap_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct customers per warehouse and day, week and month: weeks and
+    months are merged from the stored bitmaps of their days."""
+    orders = fixture_tables(spark, sf_dir)["orders"]
+    day = F.date_trunc("DAY", "order_date").cast("timestamp_ntz")
+    path = checkpoint_root(spark, "bitmaps", uuid.uuid4().hex)
+    bitmaps.bitmaps(orders, [day.alias("period"), "warehouse_id"], "customer_id").write.parquet(path)
+    days, out = spark.read.parquet(path), None
+    for unit in ("day", "week", "month"):
+        start = F.date_trunc(unit, "period").cast("timestamp_ntz").alias("period")
+        maps = days if unit == "day" else bitmaps.merge(days, [start, "warehouse_id"])
+        part = bitmaps.cardinality(maps, "unique_customers").select(F.lit(unit).alias("unit"), "period", "warehouse_id", "unique_customers")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _positions(name: str):
@@ -209,6 +278,14 @@ OPERATIONS = {
     "r_refresh_weekly": _refreshed("weekly", "m3_weekly_order_summary"),
     "r_refresh_monthly": _refreshed("monthly", "m2_monthly_inventory_summary"),
     "export_snapshot": export_snapshot,
+    "r_refresh_dispatch": r_refresh_dispatch,
+    "r_refresh_cadence": r_refresh_cadence,
+    "sc_view_cte": sc_view_cte,
+    "sc_bucketed_v3": _on_buckets(order_performance, ["warehouses", "orders", "order_items"]),
+    "sc_bucketed_m3": _on_buckets(weekly_order_summary, ["warehouses", "orders", "order_items"], AS_OF),
+    "sc_bucketed_q3": _on_buckets(customers.customer_rfm, ["customers", "orders", "order_items", "products"], AS_OF),
+    "sc_bucketed_v5": _on_buckets(shipping_receiving_performance, ["warehouses", "shipments", "shipment_items", "receipts", "receipt_items"]),
+    "agg_bitmap_customers": agg_bitmap_customers,
     "so_v4_positions": _positions("v4_customer_insights"),
     "so_q1_positions": _positions("q1_warehouse_monthly_ranking"),
     "so_q3_positions": _positions("q3_customer_rfm"),

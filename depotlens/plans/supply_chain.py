@@ -72,19 +72,24 @@ SPLIT = 16  # tasks that share the output of one warehouse
 def pair_days(a: DataFrame, b: DataFrame, cut: Column) -> DataFrame:
     """Days of both sides of a warehouse of which at least one is recent.
 
-    One equi-join on (warehouse, group, part).  A receive day is in the group
-    "recent" or "old"; a ship day joins recent receive days always and old
-    ones only when it is recent itself.  Receive days are dealt to SPLIT parts
-    by their date and ship days repeated for each, so a warehouse with most of
-    the days is paired by many tasks.
+    One equi-join on (warehouse, group, part).  Group one pairs the recent
+    receive days with all ship days, group two the old receive days with the
+    recent ship days.  In either the long side is dealt to SPLIT parts by its
+    date and the recent days, which are few, are repeated for each part, so a
+    warehouse with most of the days is paired by many tasks.
     """
     recent = lambda c: F.coalesce(F.col(c) >= cut, F.lit(False))
-    part = F.pmod(F.xxhash64("receive_date"), F.lit(SPLIT)).cast("int")
-    left = a.withColumn("_old", ~recent("receive_date")).withColumn("_part", part)
-    groups = F.when(recent("ship_date"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    right = (b.withColumn("_old", F.explode(groups))
-             .withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(SPLIT)]))))
-    return left.join(right, ["warehouse_id", "_old", "_part"]).drop("_old", "_part")
+    parts = range(SPLIT)
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(SPLIT)).cast("int")
+
+    def where(group: int, part: Column) -> Column:
+        return F.struct(F.lit(group).alias("_group"), part.alias("_part"))
+
+    every = lambda group: F.array(*[where(group, F.lit(p)) for p in parts])
+    left = a.select("*", F.inline(F.when(recent("receive_date"), every(1)).otherwise(F.array(where(2, dealt("receive_date"))))))
+    own = F.array(where(1, dealt("ship_date")))
+    right = b.select("*", F.inline(F.when(recent("ship_date"), F.concat(own, every(2))).otherwise(own)))
+    return left.join(right, ["warehouse_id", "_group", "_part"]).drop("_group", "_part")
 
 
 def supply_chain(t: Tables, as_of: dt.date, days: int = 30, mode: str = "reference") -> DataFrame:

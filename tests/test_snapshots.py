@@ -3,6 +3,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from depotlens.operators import snapshots as S
 from depotlens.sources.fixtures import AS_OF
@@ -130,3 +131,62 @@ def test_overlapping_refreshes_lose_nothing(spark, small_tables, scratch, monkey
         raise AssertionError("no conflict")
     except S.RefreshConflict:
         pass
+
+
+def test_one_grouping_checks_keys_and_counts_changes(spark):
+    schema = "k int, t string, v int"
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", None), (3, "c", 3), (None, "n", 1)], schema)
+    new = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (4, "d", 4), (None, "n", 1), (None, "m", 1), (None, "m", 1)], schema)
+    assert S.check_and_diff(old, new, ["k", "t"]) == {"rows": 6, "duplicates": 0, "insert": 2, "delete": 1, "update": 1}
+    want = {r["op"]: r["count"] for r in S.diff(old, new.dropDuplicates(), ["k", "t"]).groupBy("op").count().collect()}
+    assert want == {"insert": 2, "delete": 1, "update": 1}
+    twice = new.unionByName(new.where("k = 4"))
+    assert S.check_and_diff(None, twice, ["k", "t"])["duplicates"] == 1
+    assert S.check_and_diff(None, new.limit(0), ["k", "t"]) == {"rows": 0, "duplicates": 0, "insert": 0, "delete": 0, "update": 0}
+
+
+def test_refresh_refuses_duplicate_keys(spark, small_tables, scratch):
+    twice = dict(small_tables)
+    for name in ("warehouses", "orders", "order_items"):
+        twice[name] = small_tables[name]
+    twice["warehouses"] = small_tables["warehouses"].unionByName(small_tables["warehouses"].withColumn("warehouse_name", F.lit("again")))
+    with pytest.raises(S.DuplicateKeyError):
+        S.refresh(spark, twice, "weekly", AS_OF, scratch)
+    assert S.read_manifest(scratch, spark) == {}
+
+
+def test_refresh_reads_each_snapshot_once(spark, small_tables, scratch, monkeypatch):
+    """Beside the write one job per member: no key check, count or diff of its own."""
+    S.refresh(spark, small_tables, "weekly", AS_OF, scratch)
+    calls = []
+    for name in ("duplicate_keys", "assert_unique", "diff"):
+        monkeypatch.setattr(S, name, lambda *a, n=name, **k: calls.append(n))
+    monkeypatch.setattr(S, "check_and_diff", lambda *a, f=S.check_and_diff: (calls.append("check_and_diff"), f(*a))[1])
+    rep = S.refresh(spark, small_tables, "weekly", AS_OF, scratch)
+    assert calls == ["check_and_diff"] and rep["m3_weekly_order_summary"]["changes"] == {}
+
+
+def test_export_commits_whole_runs(spark, scratch, monkeypatch):
+    day = dt.date(2001, 7, 1)
+    first = S.export_snapshot(spark, spark.range(3), scratch, "x", day)
+    broken = spark.range(5).select(F.raise_error(F.lit("lost")).alias("id"))
+    with pytest.raises(Exception):
+        S.export_snapshot(spark, broken, scratch, "x", day)
+    assert S.read_export(spark, scratch, "x", day).count() == 3  # the old one is still there
+    real = S.fsio.write_text_atomic
+    monkeypatch.setattr(S.fsio, "write_text_atomic", lambda *a: (_ for _ in ()).throw(RuntimeError("lost before the commit")))
+    with pytest.raises(RuntimeError):
+        S.export_snapshot(spark, spark.range(7), scratch, "x", day)
+    monkeypatch.setattr(S.fsio, "write_text_atomic", real)
+    assert S.read_export(spark, scratch, "x", day).count() == 3
+    second = S.export_snapshot(spark, spark.range(4), scratch, "x", day)
+    assert second != first and S.read_export(spark, scratch, "x", day).count() == 4
+    assert spark.read.parquet(first).count() == 3  # a reader of the run before is not cut off
+    with pytest.raises(KeyError):
+        S.read_export(spark, scratch, "y", day)
+
+
+def test_due_column_agrees_with_due_groups(spark):
+    hours = [dt.datetime(2001, 6, 28) + dt.timedelta(hours=h) for h in range(24 * 8)]
+    df = spark.createDataFrame([(h,) for h in hours], "h timestamp_ntz").select("h", S.due(F.col("h")).alias("groups"))
+    assert all(r.groups == S.due_groups(r.h) for r in df.collect())
