@@ -10,14 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.monthly import MONTH
+
 NULL_SPREAD = 1024  # partitions' worth of keys that rows with a NULL key are spread over
 
 
 def restrict_to_keys(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows of ``big`` whose key occurs in ``keys``.  Below an aggregation
     on the same key this prunes a long history to what a date-filtered parent
-    needs, at the price of a join instead of an aggregation of everything."""
-    return big.join(keys.select(key).where(F.col(key).isNotNull()), key, "left_semi")
+    needs, at the price of a join instead of an aggregation of everything.
+
+    ``keys`` are of dated parents: in the monthly layout the month is part of
+    the join, which lets Spark prune the partitions of ``big`` at run time."""
+    on = [key] + [MONTH] * (MONTH in big.columns and MONTH in keys.columns)
+    return big.join(keys.select(*on).where(F.col(key).isNotNull()), on, "left_semi")
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..operators import bitmaps
 from ..operators import snapshots as S
 from ..session import checkpoint_root
-from ..sources import bucketed, feed_fixture
+from ..sources import bucketed, feed_fixture, monthly
 from ..sources.fixtures import AS_OF, fixture_tables
 from ..sources.tables import SCHEMAS
 from ..streaming import cdc, incremental, replica
 from . import customers, health, inventory, ordering, supply_chain
-from .orders import order_performance, weekly_order_summary
-from .warehouse import shipping_receiving_performance
+from .orders import hourly_operations, order_performance, warehouse_monthly_ranking, weekly_order_summary
+from .warehouse import daily_shipping_receiving, shipping_receiving_performance
 
 PREVIOUS_AS_OF = dt.date(2001, 6, 1)
 # Fixture micro-batch boundaries of the change feed (event time).
@@ -123,6 +123,15 @@ def _on_buckets(report, names: list[str], *args):
     return run
 
 
+def _on_months(report, *args):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = checkpoint_root(spark, "monthly", uuid.uuid4().hex)
+        monthly.write_monthly(fixture_tables(spark, sf_dir), root)
+        return report(monthly.load_monthly(spark, root), *args)
+    run.__doc__ = f"{report.__name__} over tables partitioned by month, lines pruned at run time."
+    return run
+
+
 def agg_bitmap_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct customers per warehouse and day, week and month: weeks and
     months are merged from the stored bitmaps of their days."""
@@ -285,6 +294,10 @@ OPERATIONS = {
     "sc_bucketed_m3": _on_buckets(weekly_order_summary, ["warehouses", "orders", "order_items"], AS_OF),
     "sc_bucketed_q3": _on_buckets(customers.customer_rfm, ["customers", "orders", "order_items", "products"], AS_OF),
     "sc_bucketed_v5": _on_buckets(shipping_receiving_performance, ["warehouses", "shipments", "shipment_items", "receipts", "receipt_items"]),
+    "sc_monthly_m3": _on_months(weekly_order_summary, AS_OF),
+    "sc_monthly_m6": _on_months(daily_shipping_receiving, AS_OF),
+    "sc_monthly_q1": _on_months(warehouse_monthly_ranking, AS_OF),
+    "sc_monthly_q4": _on_months(hourly_operations, AS_OF),
     "agg_bitmap_customers": agg_bitmap_customers,
     "so_v4_positions": _positions("v4_customer_insights"),
     "so_q1_positions": _positions("q1_warehouse_monthly_ranking"),

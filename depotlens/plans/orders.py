@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.exprs import (MICROS_PER_HUNDREDTH_HOUR, avg_hours2, bucket, bucket_start, dow0, in_bucket,
-                               money_from_cents, pct, round2, round_half_away, since, ts_lit)
+from ..functions.exprs import (MICROS_PER_HUNDREDTH_HOUR, avg_hours2, bucket, bucket_end, bucket_start, dow0, in_bucket,
+                               minus, money_from_cents, pct, round2, round_half_away, since, ts_lit)
 from ..functions.rules import ladder
 from ..operators.rollups import order_rollup, weighted_hours_aggs
+from ..sources.monthly import in_months
 from ..sources.tables import Tables
 
 
@@ -67,7 +68,7 @@ def order_figures(g: DataFrame, warehouses: DataFrame) -> DataFrame:
 
 def weekly_order_summary(t: Tables, as_of: dt.date) -> DataFrame:
     """M3: orders of as_of's (Monday) week per warehouse."""
-    orders = t["orders"].where(in_bucket(F.col("order_date"), "week", as_of))
+    orders = in_months(t["orders"], bucket_start(as_of, "week"), bucket_end(as_of, "week")).where(in_bucket(F.col("order_date"), "week", as_of))
     per = order_rollup(orders, t["order_items"], distinct_items=True, restrict=True)
     g = per.groupBy("warehouse_id").agg(*_order_group_aggs(True),
                                         F.count_distinct("customer_id").alias("unique_customers"))
@@ -86,7 +87,7 @@ def warehouse_monthly_ranking(t: Tables, as_of: dt.date) -> DataFrame:
     The WHERE on the order date turns the warehouse->orders outer joins inner.
     The rank windows partition by month over one row per warehouse.
     """
-    orders = t["orders"].where(since(F.col("order_date"), as_of, months=12))
+    orders = in_months(t["orders"], minus(as_of, months=12)).where(since(F.col("order_date"), as_of, months=12))
     per = order_rollup(orders, t["order_items"], restrict=True)
     g = per.groupBy(bucket(F.col("order_date"), "month").alias("month"), "warehouse_id").agg(
         F.count("order_id").alias("total_orders"), F.sum("value_cents").alias("rev_cents"),
@@ -120,7 +121,7 @@ def hourly_operations(t: Tables, as_of: dt.date) -> DataFrame:
     30 days.  Inner joins: orders without lines or warehouse drop out; the
     fulfillment average is weighted by the line count.  The efficiency score
     divides by the already rounded hours, as the report does."""
-    orders = t["orders"].where(since(F.col("order_date"), as_of, days=30))
+    orders = in_months(t["orders"], minus(as_of, days=30)).where(since(F.col("order_date"), as_of, days=30))
     per = order_rollup(orders, t["order_items"], inner=True, restrict=True)
     g = per.groupBy(F.hour("order_date").cast("long").alias("hour_of_day"),
                     dow0(F.col("order_date")).cast("long").alias("day_of_week"), "warehouse_id").agg(

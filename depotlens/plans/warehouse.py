@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.exprs import (BIG, avg_hours2, bucket, cents, in_bucket, micros_between, pct, round2,
+from ..functions.exprs import (BIG, avg_hours2, bucket, bucket_end, bucket_start, cents, in_bucket, micros_between, pct, round2,
                                ts_lit)
 from ..operators.joins import restrict_to_keys
 from ..operators.rollups import attach, child_rollup
+from ..sources.monthly import in_months
 from ..sources.tables import Tables
 
 LOC_COUNTS = [f"{t}_locations" for t in R.LOCATION_TYPES]
@@ -101,13 +102,14 @@ SIDES = {
 
 
 def activity_rollup(t: Tables, activity: str, header_filter: Column | None = None,
-                    restrict: bool = False) -> DataFrame:
+                    restrict: bool = False, period: tuple[dt.datetime, dt.datetime] | None = None) -> DataFrame:
     """One row per shipment (receipt) with its item count/quantity and duration.
 
     ``restrict=True`` (for a selective header filter, e.g. one day) prunes the
-    lines to the filtered headers first, so only their lines are aggregated."""
+    lines to the filtered headers first, so only their lines are aggregated.
+    ``period``: the time the filter lies in, for a layout by month."""
     head, key, ts, items, qty, _ = SIDES[activity]
-    h = t[head]
+    h = t[head] if period is None else in_months(t[head], *period)
     if header_filter is not None:
         h = h.where(header_filter)
     lines = restrict_to_keys(t[items], h, key) if restrict else t[items]
@@ -151,7 +153,8 @@ def daily_shipping_receiving(t: Tables, as_of: dt.date) -> DataFrame:
     branches = []
     for activity in ("Shipping", "Receiving"):
         head, key, ts, _, _, done = SIDES[activity]
-        per = activity_rollup(t, activity, in_bucket(F.col(ts), "day", as_of), restrict=True)
+        per = activity_rollup(t, activity, in_bucket(F.col(ts), "day", as_of), restrict=True,
+                              period=(bucket_start(as_of, "day"), bucket_end(as_of, "day")))
         g = per.groupBy("warehouse_id").agg(*_activity_measures(key, done))
         j = w.join(g, "warehouse_id", "left")
         n = F.coalesce(F.col("n_ids"), F.lit(0))

@@ -35,6 +35,10 @@ SCALE_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.files.maxPartitionBytes": "256m",
+    # run-time pruning of lines by their headers (sources.monthly) where no side can be broadcast; Spark estimates a
+    # filtered header by the size of the whole table, so its bound for building a Bloom filter would never be met
+    "spark.sql.optimizer.dynamicPartitionPruning.reuseBroadcastOnly": "false",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100t",
 }
 
 PARTITION_BYTES = 128 << 20

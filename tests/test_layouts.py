@@ -12,7 +12,8 @@ from depotlens.checks.compare import rows_multiset
 from depotlens.operators import bitmaps as B
 from depotlens.operators.joins import left_join_many
 from depotlens.plans import customers, orders, ordering, warehouse
-from depotlens.sources import bucketed
+from depotlens.session import SCALE_DEFAULTS
+from depotlens.sources import bucketed, monthly
 from depotlens.sources.fixtures import AS_OF
 from depotlens.sources.tables import SCHEMAS, load_tables, write_tables
 
@@ -77,6 +78,61 @@ def test_lines_without_a_parent_are_kept_apart(spark, scratch):
     assert [r.order_item_id for r in bucketed.orphans(spark, scratch, "order_items").collect()] == ["b"]
 
 
+MONTHLY = {"m3": (orders.weekly_order_summary, 1), "q1": (orders.warehouse_monthly_ranking, 13),
+           "q4": (orders.hourly_operations, 3), "m6": (warehouse.daily_shipping_receiving, 2)}
+
+
+def scans(node) -> list[tuple[str, int]]:
+    """(table folder, files read) of every scan of an executed plan."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return scans(node.finalPhysicalPlan())
+    if kind.endswith("QueryStageExec"):
+        return scans(node.plan())
+    if kind == "FileSourceScanExec":
+        return [(re.search(r"/(\w+)$", node.relation().location().rootPaths().head().toString())[1], node.metrics().apply("numFiles").value())]
+    return [x for k in range(node.children().size()) for x in scans(node.children().apply(k))]
+
+
+@pytest.fixture(scope="module")
+def monthly_tables(spark, small_tables, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("monthly"))
+    monthly.write_monthly(small_tables, root, partitions=4)
+    return monthly.load_monthly(spark, root)
+
+
+@pytest.mark.parametrize("name", MONTHLY)
+def test_lines_are_pruned_at_run_time(spark, small_tables, monthly_tables, no_broadcast, name):
+    """Without any broadcast: partitions of the lines by the headers' months, lines by a Bloom filter of their ids."""
+    conf = {k: v for k, v in SCALE_DEFAULTS.items() if "optimizer" in k} | {
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}  # these tables are small
+    before = {k: spark.conf.get(k) for k in conf}
+    fn, months = MONTHLY[name]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = fn(monthly_tables, AS_OF)
+        text = plan(got)
+        assert "dynamicpruning" in text and "might_contain" in text
+        assert ms(got) == ms(fn(small_tables, AS_OF))
+        got.collect()
+        read = scans(got._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    lines = [(t, n) for t, n in read if t.endswith("_items")]
+    assert lines
+    for table, files in lines:
+        whole = len(monthly_tables[table].inputFiles())
+        assert files <= 4 * months < whole  # a month is in at most four files here
+
+
+def test_monthly_layout_holds_every_row(small_tables, monthly_tables):
+    for name, schema in SCHEMAS.items():
+        assert ms(monthly_tables[name].select(*schema.names)) == ms(small_tables[name]), name
+    assert ms(orders.order_performance(monthly_tables)) == ms(orders.order_performance(small_tables))
+
+
 def test_null_and_hot_clustering_values_are_spread(spark, scratch):
     d = dt.datetime(2001, 1, 1)
     ship = [(i, 1, None if i % 3 == 0 else d + dt.timedelta(days=i % 200), d, "shipped") for i in range(6000)]
