@@ -2,7 +2,8 @@
 
     python -m depotlens.cli refresh [daily|weekly|monthly] --as-of 2001-07-01 --tables <root>
     python -m depotlens.cli report v1_warehouse_performance --as-of 2001-07-01 --tables <root> --out <dir>
-    python -m depotlens.cli layout --fixture-sf /root/testdata/sf0.1 --out <root>
+    python -m depotlens.cli layout --fixture-sf /root/testdata/sf0.1 --out <root> [--kind plain|bucketed|monthly]
+    python -m depotlens.cli clean --hours 72
 
 ``--tables`` is a folder of the twelve base tables (one Parquet folder each);
 ``--fixture-sf <dir>`` derives them from the test tables instead.  Scheduling
@@ -19,7 +20,7 @@ import json
 import sys
 
 from .operators import snapshots as S
-from .session import build_session
+from .session import build_session, expire_written
 
 
 def _tables(spark, args):
@@ -46,16 +47,32 @@ def main(argv: list[str] | None = None) -> int:
     sub.choices["report"].add_argument("name")
     sub.choices["report"].add_argument("--out", required=True)
     sub.choices["layout"].add_argument("--out", required=True)
+    sub.choices["layout"].add_argument("--kind", choices=["plain", "bucketed", "monthly"], default="plain")
+    sub.choices["layout"].add_argument("--prefix", default="wms_", help="of the names of bucketed tables")
+    sub.choices["layout"].add_argument("--buckets", type=int, default=200)
+    clean = sub.add_parser("clean")
+    clean.add_argument("--hours", required=True, type=float)
+    clean.add_argument("--master", default=None)
     args = p.parse_args(argv)
 
     if args.cmd == "refresh" and args.group not in S.GROUPS:
         print(f"usage: refresh [{'|'.join(S.GROUPS)}]", file=sys.stderr)
         return 2
     spark = build_session(args.master)
+    if args.cmd == "clean":
+        print(json.dumps(expire_written(spark, args.hours)))
+        return 0
     t = _tables(spark, args)
     if args.cmd == "layout":
-        from .sources.tables import write_tables
-        print(json.dumps(write_tables(t, args.out)))
+        if args.kind == "bucketed":
+            from .sources.bucketed import write_bucketed
+            print(json.dumps(sorted(write_bucketed(t, args.out, args.prefix, args.buckets))))
+        elif args.kind == "monthly":
+            from .sources.monthly import write_monthly
+            write_monthly(t, args.out)
+        else:
+            from .sources.tables import write_tables
+            print(json.dumps(write_tables(t, args.out)))
         return 0
     if args.cmd == "refresh":
         print(json.dumps(S.refresh(spark, t, args.group, args.as_of, args.root), default=str))

@@ -53,6 +53,18 @@ def size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
 
+def expire(spark: SparkSession, root: str, before: float) -> list[str]:
+    """Delete the folders directly below ``root`` that were last changed before
+    the POSIX time ``before``; returns their names."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    old = [st.getPath() for st in fs.listStatus(p) if st.isDirectory() and st.getModificationTime() < before * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return sorted(path.getName() for path in old)
+
+
 def delete(spark: SparkSession, path: str, recursive: bool = True) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, recursive)

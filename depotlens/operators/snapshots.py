@@ -100,6 +100,15 @@ def base_key_stats(t: Tables, keys: dict[str, tuple[str, ...] | list[str]]) -> D
     return out
 
 
+def lines_of_many_orders(order_items: DataFrame) -> DataFrame:
+    """One row: distinct line ids, and those that occur under more than one
+    order.  V3 and M3 sum distinct lines over orders, which counts the latter
+    more than once; there must be none."""
+    per = order_items.where(F.col("order_item_id").isNotNull()).groupBy("order_item_id").agg(
+        F.min("order_id").alias("low"), F.max("order_id").alias("high"))
+    return per.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("low") < F.col("high")).alias("lines_of_many_orders"))
+
+
 class DuplicateKeyError(ValueError):
     pass
 

@@ -41,6 +41,11 @@ def r_base_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.base_key_stats(t, PRIMARY_KEYS)
 
 
+def r_line_owner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines that belong to more than one order (there must be none)."""
+    return S.lines_of_many_orders(fixture_tables(spark, sf_dir)["order_items"])
+
+
 def _m4_plain(t, as_of):
     return S.builders()["m4_customer_lifetime_value"](t, as_of).drop("summary_month")
 
@@ -230,12 +235,15 @@ def c_delta_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _Replicated(dict):
-    """Tables as their replicas have them: initial copy, then the feed of all tables."""
+    """Tables as their replicas have them: initial copy, then one feed of all
+    tables that the reports use (None: all twelve)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, names: list[str] | None = None):
         super().__init__()
         self.source = fixture_tables(spark, sf_dir)
-        self.feed = feed_fixture.feed(self.source)
+        path = checkpoint_root(spark, "feed", uuid.uuid4().hex)
+        feed_fixture.feed(self.source, names).write.parquet(path)
+        self.feed = spark.read.schema(replica.FEED_SCHEMA).parquet(path)
 
     def __missing__(self, name: str) -> DataFrame:
         copy = replica.copied(feed_fixture.copy_of(self.source, name), name, feed_fixture.STARTED)
@@ -244,9 +252,9 @@ class _Replicated(dict):
         return self[name]
 
 
-def _on_replicas(report, *args):
+def _on_replicas(report, names: list[str], *args):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(_Replicated(spark, sf_dir), *args)
+        return report(_Replicated(spark, sf_dir, names), *args)
     run.__doc__ = f"{report.__name__} over replicated tables (initial copy and typed change feed)."
     return run
 
@@ -282,6 +290,7 @@ def o_table_dml_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATIONS = {
     "r_unique_key_check": r_unique_key_check,
     "r_base_key_check": r_base_key_check,
+    "r_line_owner_check": r_line_owner_check,
     "r_refresh_diff_m4": r_refresh_diff_m4,
     "r_refresh_daily": _refreshed("daily", "m6_daily_shipping_receiving"),
     "r_refresh_weekly": _refreshed("weekly", "m3_weekly_order_summary"),
@@ -311,10 +320,10 @@ OPERATIONS = {
     "c_incremental_v3": c_incremental_v3,
     "c_delta_v3": c_delta_v3,
     "c_replica_counts": c_replica_counts,
-    "c_replica_v2": _on_replicas(inventory.inventory_summary),
-    "c_replica_v6": _on_replicas(inventory.product_movement_summary),
-    "c_replica_q3": _on_replicas(customers.customer_rfm, AS_OF),
-    "c_replica_q5": _on_replicas(supply_chain.supply_chain, AS_OF),
+    "c_replica_v2": _on_replicas(inventory.inventory_summary, ["products", "inventory"]),
+    "c_replica_v6": _on_replicas(inventory.product_movement_summary, ["inventory_movements", "locations", "warehouses", "products"]),
+    "c_replica_q3": _on_replicas(customers.customer_rfm, ["customers", "orders", "order_items", "products"], AS_OF),
+    "c_replica_q5": _on_replicas(supply_chain.supply_chain, ["warehouses", "receipts", "receipt_items", "shipments", "shipment_items"], AS_OF),
     "o_replication_lag": o_replication_lag,
     "o_slow_queries_topk": o_slow_queries_topk,
     "o_column_profile": o_column_profile,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 
 from pyspark.sql import SparkSession
 
@@ -118,6 +119,21 @@ def checkpoint_root(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts) if parts else base
 
 
+#: Folders below the checkpoint folder whose tables serve one result only.
+WRITTEN = ("llm", "positions", "feed", "bitmaps", "refreshed", "exports", "bucketed", "monthly", "delta_v3")
+
+
+def expire_written(spark: SparkSession, hours: float) -> list[str]:
+    """Remove tables that results wrote on their way (stages, rounds of an
+    iteration, sorted copies) and that nothing has changed for ``hours``: longer
+    than any result takes to be stored.  Snapshots, replicas and states stay."""
+    from .operators import fsio
+    gone = []
+    for part in WRITTEN:
+        gone += [f"{part}/{n}" for n in fsio.expire(spark, checkpoint_root(spark, part), time.time() - hours * 3600)]
+    return gone
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Reports are defined on UTC wall-clock ``timestamp_ntz`` values; Spark
     routes some NTZ arithmetic (date_trunc, timestampdiff) through the session

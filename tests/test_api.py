@@ -77,3 +77,30 @@ def test_scale_defaults_respect_launch_conf(spark):
     finally:  # the test session is shared: put local sizing back
         for k in applied:
             spark.conf.unset(k)
+
+
+def test_cli_layouts(spark, scratch):
+    import os
+    import uuid
+
+    from depotlens.sources.bucketed import load_bucketed
+    from depotlens.sources.monthly import load_monthly
+    base = ["layout", "--fixture-sf", "/root/testdata/sf0.001", "--out"]
+    prefix = f"cli_{uuid.uuid4().hex}_"
+    assert cli.main([*base, os.path.join(scratch, "b"), "--kind", "bucketed", "--buckets", "3", "--prefix", prefix]) == 0
+    assert load_bucketed(spark, os.path.join(scratch, "b"), prefix, 3)["orders"].count() == 1500
+    assert cli.main([*base, os.path.join(scratch, "m"), "--kind", "monthly"]) == 0
+    assert load_monthly(spark, os.path.join(scratch, "m"))["orders"].count() == 1500
+
+
+def test_written_tables_expire(spark):
+    import os
+
+    from depotlens.session import checkpoint_root, expire_written
+    mine, kept = checkpoint_root(spark, "positions", "old"), checkpoint_root(spark, "snapshots-test", "old")
+    for path in (mine, kept):
+        spark.range(2).write.mode("overwrite").parquet(path)
+    os.utime(mine, (1, 1))
+    os.utime(kept, (1, 1))
+    assert "positions/old" in expire_written(spark, hours=1000)
+    assert not os.path.exists(mine) and os.path.exists(kept)
