@@ -36,8 +36,8 @@ def month_of(ts: Column) -> Column:
     return (F.year(ts) * 100 + F.month(ts)).cast("int")
 
 
-def write_monthly(tables: Mapping[str, DataFrame], root: str, partitions: int | None = None) -> None:
-    """Write all twelve tables below ``root``.  ``partitions``: files written at
+def write_monthly(tables: Mapping[str, DataFrame], root: str, partitions: int | None = None, names: list[str] | None = None) -> None:
+    """Write all twelve tables (or ``names``) below ``root``.  ``partitions``: files written at
     once per table (default: the session's shuffle partitions); a large month
     becomes several files."""
     def stored(df: DataFrame, name: str) -> None:
@@ -46,23 +46,28 @@ def write_monthly(tables: Mapping[str, DataFrame], root: str, partitions: int |
         spread = df.withColumn("_spread", F.xxhash64(*df.columns)).repartitionByRange(n, MONTH, "_spread").drop("_spread")
         spread.write.partitionBy(MONTH).parquet(os.path.join(root, name))
 
-    with_lines = {}
+    with_lines, names = {}, names or list(SCHEMAS)
     for name, (key, ts, lines) in HEADERS.items():
+        if name not in names:
+            continue
         header = conform(tables[name], name).withColumn(MONTH, month_of(F.col(ts)))
         stored(header, name)
+        if lines not in names:
+            continue
         with_lines[lines] = conform(tables[lines], lines).join(header.select(key, MONTH), key, "left").select(*SCHEMAS[lines].names, MONTH)
     for name, df in with_lines.items():
         stored(df, name)
     for name in SCHEMAS:
-        if name not in HEADERS and name not in with_lines:
+        if name in names and name not in HEADERS and name not in with_lines:
             conform(tables[name], name).write.parquet(os.path.join(root, name))
 
 
-def load_monthly(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables below ``root``; headers and lines have the column ``event_month``."""
+def load_monthly(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The tables (or ``names``) below ``root``; headers and lines have the column ``event_month``."""
     dated = {*HEADERS, *(lines for _, _, lines in HEADERS.values())}
     out = {}
-    for name, schema in SCHEMAS.items():
+    for name in names or list(SCHEMAS):
+        schema = SCHEMAS[name]
         month = [T.StructField(MONTH, T.IntegerType())] if name in dated else []
         out[name] = spark.read.schema(T.StructType([*schema.fields, *month])).parquet(os.path.join(root, name))
     return out
