@@ -59,3 +59,28 @@ def test_defined_results(spark):
     assert not any(r.toxic for r in T.detect(docs, labels.limit(0)).collect())
     assert not any(r.toxic for r in T.detect(docs, labels.withColumn("toxic", F.lit(0))).collect())
     assert T.detect(docs.limit(0), labels).collect() == []
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Each row against the learned models, one document and one category after the other."""
+    docs, labels = table(spark, SF_MID, "documents"), table(spark, SF_MID, "labels")
+    chain = T.learn(docs, labels)
+    got = {r.doc_id: r for r in T.detect(docs, labels, chain=chain).collect()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for r in docs.select("doc_id", "text").collect():
+        have, before = set(T.features(r.text).tolist()), []
+        for m in chain.models:
+            logit = sum(w for f, w in zip(m.chosen.tolist(), m.weights) if f in have) + sum(p * w for p, w in zip(before, m.before)) + m.constant
+            before.append(sigmoid(logit))
+        score = sigmoid(chain.scale[0] * logit + chain.scale[1])
+        assert np.allclose([*before[:-1], score], [*(got[r.doc_id][c] for c in T.CATEGORIES[:-1]), got[r.doc_id].score], atol=1e-9)
+        assert got[r.doc_id].toxic == (got[r.doc_id].score >= chain.threshold)
+
+
+def test_long_documents_are_learned_from(spark):
+    """Labels whose documents are all long teach as well as short ones."""
+    rows = [(i, "plain words of a text " * 3000 + (f"you are an awful wretch {i}" if i % 2 else f"good day {i}")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in T.detect(docs, labels).collect()}
+    assert got == {i: bool(i % 2) for i, _ in rows}
