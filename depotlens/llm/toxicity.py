@@ -5,10 +5,11 @@ model over the presence of words and word beginnings, and the probabilities of
 the categories before it.  For training, those probabilities are out-of-fold:
 every sampled document gets them from models that have not seen it, so later
 models learn from what they will meet.  The last category is the label
-``toxic`` itself; the ones before it are made from that label and what the
-text holds: ``named`` (it uses words of the list NAMED), ``coded`` (it uses none
-of them) and ``repeated`` (it uses at least REPEATED of the words that mark
-toxic documents in the training sample).
+``toxic`` itself; the ones before it are learned from the toxic documents of the
+sample and the words that mark them (MARKS times as frequent as elsewhere):
+``kind_1`` and ``kind_2`` are two clusters of those documents by the marking
+words they use, the larger first, and ``dense`` are those that use more of them
+than the median one.
 
 A model's words are chosen by how much more often they stand in documents of
 the category, on the same rows the model learns from.  Probabilities of the
@@ -19,7 +20,8 @@ Defined results: a null or wordless text has no features and gets the score of
 that; texts are read whole; a null id is held out; null labels are not learned
 from; without two kinds of labels every score is the share of toxic ones (0
 without any) and nothing is predicted unless all are toxic; repeated rows are
-scored alike; of several labels or texts of one id the least is learned from;
+scored alike; of several labels or texts of one id the
+least label and the least features are learned from;
 long documents are learned from like others, by at most SAMPLE_FEATURES of
 their features; other columns are ignored.
 """
@@ -38,10 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import hashed_sample, held_out, map_texts, one_per_key
 
-CATEGORIES = ("named", "coded", "repeated", "toxic")
-# abusive words that name what they mean; only the category split reads them, never a score
-NAMED = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
-REPEATED = 4
+CATEGORIES = ("kind_1", "kind_2", "dense", "toxic")
+MARKS = 4.0  # times as frequent in toxic documents as in others
+ROUNDS = 20  # of clustering
 SAMPLE = 6000  # labelled documents learned from, about
 SAMPLE_FEATURES = 16_384  # of a sampled document; of more, those with the least numbers, the same ones in every document
 FOLDS = 4
@@ -149,13 +150,33 @@ class Chain:
         return out
 
 
+def two_kinds(x: np.ndarray) -> np.ndarray:
+    """0 or 1 for every row: spherical k-means of two centres, the larger cluster is 0."""
+    rows = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    apart = rows - rows.mean(axis=0)
+    side = (apart @ np.linalg.svd(apart, full_matrices=False)[2][0] > 0) if min(rows.shape) else np.zeros(len(rows), bool)
+    centres = np.stack([rows[side == c].sum(axis=0) for c in (False, True)])  # the halves along the widest direction
+    for _ in range(ROUNDS):
+        at = np.argmax(rows @ centres.T, axis=1)
+        sums = np.stack([rows[at == c].sum(axis=0) for c in (0, 1)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    return at if 2 * at.sum() <= len(at) else 1 - at
+
+
 def categories_of(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Labels of the sample, a column per category."""
-    named = np.array([zlib.crc32(w.encode()) for w in NAMED], np.int64)
-    uses = np.array([np.isin(named, f, assume_unique=True).sum() for f in docs])
-    marks = [] if not 0 < toxic.sum() < len(toxic) else choose(docs, toxic)
-    n = np.array([np.isin(marks, f, assume_unique=True).sum() if len(marks) else 0 for f in docs])
-    return np.stack([toxic * (uses > 0), toxic * (uses == 0), toxic * (n >= REPEATED), toxic], axis=1).astype(float)
+    out = np.zeros((len(docs), len(CATEGORIES)))
+    out[:, -1] = toxic
+    if not 0 < toxic.sum() < len(toxic):
+        return out
+    docs = frequent(docs)
+    chosen = choose(docs, toxic)
+    x, bad = presence(docs, chosen), toxic > 0
+    marking = (x[bad].sum(axis=0) + 0.5) / (bad.sum() + 1) > MARKS * (x[~bad].sum(axis=0) + 0.5) / ((~bad).sum() + 1)
+    x = x[bad][:, marking]
+    kind, uses = two_kinds(x), x.sum(axis=1)
+    out[bad, 0], out[bad, 1], out[bad, 2] = kind == 0, kind == 1, uses > np.median(uses)
+    return out
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...] = CATEGORIES, seed: int = 1) -> Chain:
@@ -193,14 +214,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL")
     src = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = hashed_sample(known.where(~held_out("id")), "id", SAMPLE)
-    rows = one_per_key(src.join(F.broadcast(sample), "id"), "id")  # SAMPLE rows, about
+    rows = src.join(F.broadcast(sample), "id")  # SAMPLE rows, about; encoded where they are read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t.as_py())[:SAMPLE_FEATURES] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "y", "x"])
 
-    got = map_texts(rows.select(F.col("id").cast("string").alias("id"), "y", "text"), run, "id string, y int, x array<long>").toArrow()
+    found = map_texts(rows.select(F.col("id").cast("string").alias("id"), "y", "text"), run, "id string, y int, x array<long>")
+    got = one_per_key(found, "id").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py() or "", got["y"][i].as_py()))
     docs_ = [got["x"][i].values.to_numpy() for i in order]
     toxic = np.array([got["y"][i].as_py() for i in order], float)

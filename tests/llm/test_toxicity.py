@@ -52,7 +52,7 @@ def test_whole_texts_and_upper_case(spark):
 
 def test_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "1 2 3 !"), (None, "idiot"), (4, "é " * 100_000), (4, "é " * 100_000)]
-    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, toxic int, named string")
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, toxic int, kind_1 string")
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, None), (None, 1), (9, 0)], "doc_id long, toxic int")
     got = T.detect(docs, labels).collect()
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (1, 2, 3)}) == 1
@@ -84,3 +84,27 @@ def test_long_documents_are_learned_from(spark):
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     got = {r.doc_id: r.toxic for r in T.detect(docs, labels).collect()}
     assert got == {i: bool(i % 2) for i, _ in rows}
+
+
+def test_categories_are_clusters_of_marking_words():
+    """Two groups of toxic documents with words of their own, and clean ones: the groups are found, and the denser half."""
+    rng = np.random.default_rng(2)
+    docs, want = [], []
+    for i in range(600):
+        own = {0: np.arange(1000, 1012), 1: np.arange(2000, 2012)}.get(i % 6, np.zeros(0, int))
+        mine = rng.permutation(own)[: 3 + i % 8]
+        docs.append(np.unique(np.concatenate([rng.integers(0, 300, 30), mine])).astype(np.int64))
+        want.append((i % 6, len(mine)))
+    toxic = np.array([float(k < 2) for k, _ in want])
+    got = T.categories_of(docs, toxic)
+    assert (got[:, 3] == toxic).all() and (got[toxic == 0] == 0).all()
+    assert (got[:, 0] + got[:, 1] == toxic).all()
+    groups = {k: {tuple(got[i, :2]) for i, (j, _) in enumerate(want) if j == k} for k in (0, 1)}
+    assert len(groups[0]) == len(groups[1]) == 1 and groups[0] != groups[1]
+    many, few = ([got[i, 2] for i, (k, n) in enumerate(want) if k < 2 and test(n)] for test in (lambda n: n >= 8, lambda n: n <= 4))
+    assert all(many) and not any(few)
+
+
+def test_categories_of_one_kind_of_label():
+    assert (T.categories_of([np.zeros(0, np.int64)] * 3, np.ones(3)) == [0, 0, 0, 1]).all()
+    assert (T.two_kinds(np.zeros((4, 0))) == 0).all()
