@@ -2,8 +2,9 @@
 
 Sources share the total size by their weights, up to ``cap`` times their own
 size; what a capped source leaves is shared again.  Inside a source a document
-is expected to be taken target / size times (times its own weight, if a weight
-column is given, up to ``cap``).  The whole part of that number is allocated as
+is expected to be taken in proportion to its weight, at most ``cap`` times; the
+weight is a column or, without one, the bits of the document's number of words,
+so that longer documents are likelier.  The whole part of that number is allocated as
 certain copies.  The rest is an inclusion probability p: documents are ranked
 by u / (1 - u) divided by p / (1 - p), u a number drawn from the document's id,
 its text and, of rows alike in both, a number of the row, and the source takes documents in that order until the words it still needs
@@ -123,26 +124,28 @@ def cuts(ranked: DataFrame, need: DataFrame) -> DataFrame:
             .select("key", F.col("score").alias("cut"), (over <= F.col("words") - over).alias("whole")))
 
 
-def expected_copies(rows: DataFrame, targets: DataFrame, cap: int, weighted: bool) -> DataFrame:
+def expected_copies(rows: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
     """``rows`` with ``copies``: how often the mix should take each on average.
 
     Copies are in proportion to ``weight`` inside a source, at most ``cap``;
-    words that full documents leave go to the others by weight, in rounds.
+    words that full documents leave go to the others by weight, in rounds over
+    the words of each weight.  A source that is its cap has ``cap`` of each.
     """
-    rate = targets.select("key", (F.col("target") / F.greatest("source_size", F.lit(1))).alias("rate"))
-    if not weighted:
-        return rows.join(rate, "key").withColumn("copies", F.least("rate", F.lit(float(cap)))).drop("rate")
-    rate = written(rate.withColumn("rate", F.lit(0.0)), "rates")
+    all_full = F.col("target") >= cap * F.col("source_size")
+    classes = written(rows.groupBy("key", "weight").agg(F.sum("size").alias("size")), "weights")
+    rate = written(targets.select("key", F.lit(0.0).alias("rate")), "rates")
     while True:
         full = F.col("weight") * F.col("rate") >= cap
-        sums = rows.join(rate, "key").groupBy("key").agg(
+        sums = classes.join(rate, "key").groupBy("key").agg(
             F.sum(F.when(full, F.col("size"))).alias("full"), F.sum(F.when(~full, F.col("size") * F.col("weight"))).alias("rest"))
         new = F.when(F.col("rest") > 0, (F.col("target") - cap * F.coalesce("full", F.lit(0))) / F.when(F.col("rest") > 0, F.col("rest")))
         step = written(targets.join(sums, "key").join(rate, "key")
                        .select("key", F.greatest("rate", F.coalesce(new, "rate")).alias("rate"), F.col("rate").alias("old")), "rates")
         rate = step.select("key", "rate")
         if not step.where("rate > old * (1 + 1e-12)").head(1):
-            return rows.join(rate, "key").withColumn("copies", F.least(F.col("weight") * F.col("rate"), F.lit(float(cap)))).drop("rate")
+            rate = rate.join(targets.select("key", all_full.alias("all_full")), "key")
+            copies = F.when(F.col("all_full"), float(cap)).otherwise(F.least(F.col("weight") * F.col("rate"), F.lit(float(cap))))
+            return rows.join(rate, "key").withColumn("copies", copies).drop("rate", "all_full")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -151,19 +154,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``copies`` is how often the mix has the document, ``taken`` its words in
     it, ``digest`` the MD5 of its text.  ``weight_col``: positive weights of
-    documents inside their source.
+    documents inside their source (null: 1); without it the bits of their number of words.
     """
-    weight = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
+    size = n_words(F.col(text_col))
+    weight = F.length(F.bin("size")).cast("double") if weight_col is None else F.col("given")
+    given = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"),
-                       n_words(F.col(text_col)).alias("size"), weight.alias("weight"),
+                       size.alias("size"), given.alias("given"),
                        F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"))
-    rows = written(numbered(rows, "doc_id", "digest", "key", "weight"), "sizes")
+    rows = numbered(rows, "doc_id", "digest", "key", "given").withColumn("weight", weight)
+    rows = written(rows.drop("given"), "sizes")
     targets = source_targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, cap)
-    rows = expected_copies(rows, targets, cap, weight_col is not None)
+    rows = expected_copies(rows, targets, cap)
     rows = rows.withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
     rows = rows.withColumn("score", F.when(F.col("p") > 0, pareto_score(uniform(F.col("doc_id"), F.col("digest"), F.col("nth")), F.when(F.col("p") > 0, F.col("p")))))
-    rows = written(rows, "ranked") if weight_col else rows
+    rows = written(rows, "ranked")
     certain = rows.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
     need = targets.join(certain, "key").select("key", (F.col("target") - F.col("certain")).alias("need")).where("need > 0")
     cut = cuts(rows.where("score IS NOT NULL").select("key", "size", "score"), need).withColumnRenamed("whole", "at_cut")

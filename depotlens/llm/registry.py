@@ -154,14 +154,23 @@ ORACLES: dict[str, str] = {
                         ELSE (SELECT words FROM lvl) * w / (SELECT ws FROM lvl) END AS target
             FROM o),
         r AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target, t.source, u,
-                   least(target / greatest(source_size, 1), 3.0::DOUBLE) AS copies
+            SELECT d.doc_id, d.size, t.source_size, t.target, t.source, u, length(bin(d.size))::DOUBLE AS bits
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        -- documents above a number of bits are full; the first number whose rate leaves it below the cap
+        b AS (SELECT source, target, bits, sum(size)::DOUBLE AS words, sum(size * bits) AS weighed FROM r GROUP BY ALL),
+        lv AS (
+            SELECT source, bits, target - 3 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                   sum(weighed) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weighed
+            FROM b),
+        rt AS (SELECT source, max_by(rest / weighed, bits) AS rate FROM lv WHERE weighed > 0 AND bits * (rest / weighed) < 3 GROUP BY source),
+        e AS (
+            SELECT r.*, CASE WHEN target >= 3 * source_size THEN 3.0::DOUBLE ELSE least(bits * coalesce(rate, 0), 3.0::DOUBLE) END AS copies
+            FROM r LEFT JOIN rt ON r.source IS NOT DISTINCT FROM rt.source),
         q AS (
-            SELECT *, floor(copies)::BIGINT AS whole, target - floor(copies) * source_size AS need,
+            SELECT *, floor(copies)::BIGINT AS whole, target - sum(floor(copies) * size) OVER (PARTITION BY source) AS need,
                    CASE WHEN copies > floor(copies)
                         THEN u / (1 - u) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS odds
-            FROM r),
+            FROM e),
         c AS (
             SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
                    sum(size) OVER (PARTITION BY source, odds) AS unit

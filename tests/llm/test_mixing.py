@@ -52,22 +52,30 @@ def brute(rows, cap=3):
     want = targets(sizes, cap=cap)
     out = []
     for s, size in sizes.items():
-        rate = min(want[s] / max(size, 1), cap)
-        whole, p = math.floor(rate), rate - math.floor(rate)
-        need, units = want[s] - whole * size, {}
-        for x, (i, t, s2, _) in zip(draws, rows, strict=True):
-            if s2 == s:
-                units[x] = units.get(x, 0) + words(t)
+        mine = [(x, i, words(t)) for x, (i, t, s2, _) in zip(draws, rows, strict=True) if s2 == s]
+        bits = [n.bit_length() or 1 for _, _, n in mine]
+        copies = [float(cap)] * len(mine)
+        for most in sorted(set(bits), reverse=True) if want[s] < cap * size else ():
+            # documents above this weight are full
+            rest = sum(n * b for (_, _, n), b in zip(mine, bits, strict=True) if b <= most)
+            rate = (want[s] - cap * sum(n for (_, _, n), b in zip(mine, bits, strict=True) if b > most)) / rest if rest else 0
+            if most * rate < cap:
+                copies = [min(b * rate, float(cap)) for b in bits]
+                break
+        need = want[s] - sum(math.floor(c) * n for c, (_, _, n) in zip(copies, mine, strict=True))
+        units = {}
+        for at, (c, (x, _, n)) in enumerate(zip(copies, mine, strict=True)):
+            if p := c - math.floor(c):
+                units.setdefault(x / (1 - x) / (p / (1 - p)), []).append((at, n))
         got, sum_ = set(), 0
-        if p > 0 and need > 0:
-            for x in sorted(units):
-                if sum_ >= need:
-                    break
-                if sum_ + units[x] - need <= need - sum_ or sum_ + units[x] < need:
-                    got.add(x)
-                sum_ += units[x]
-        out += [(i, words(t), size, round(want[s], 6), words(t) * (whole + (x in got)))
-                for x, (i, t, s2, _) in zip(draws, rows, strict=True) if s2 == s]
+        for odds in sorted(units) if need > 0 else ():
+            n = sum(n for _, n in units[odds])
+            if sum_ >= need:
+                break
+            if sum_ + n - need <= need - sum_ or sum_ + n < need:
+                got |= {at for at, _ in units[odds]}
+            sum_ += n
+        out += [(i, n, size, round(want[s], 6), n * (math.floor(copies[at]) + (at in got))) for at, (_, i, n) in enumerate(mine)]
     return sorted(out, key=str)
 
 
@@ -123,6 +131,17 @@ def test_document_weights(spark):
     assert mean["b", 1.0] == pytest.approx(10 * mean["b", 0.1], rel=0.35)
 
 
+def test_longer_documents_are_likelier(spark):
+    """Without a weight column, copies grow with the bits of the number of words."""
+    rows = [(i, "w " * (3 if i % 2 else 200), "a" if i % 4 < 2 else "b", 1.0) for i in range(4000)]
+    got = M.mix(frame(spark, rows)).groupBy("source", "size").agg(F.avg("copies").alias("c"), F.max("copies").alias("most")).collect()
+    mean = {(r.source, r.size): r.c for r in got}
+    assert all(r.most <= 3 for r in got)
+    rate = 406_000 * 2 / 7 / (1000 * (200 * 8 + 3 * 2))  # 8 bits against 2
+    assert mean["b", 200] == pytest.approx(8 * rate, abs=0.02)
+    assert mean["b", 3] == pytest.approx(2 * rate, abs=0.045)  # three deviations of 1,000 draws and the cut
+
+
 def test_reruns_agree_and_empty(spark):
     df = frame(spark, rows_of(5))
     a, b = (sorted(map(tuple, M.mix(x).collect()), key=str) for x in (df, df.repartition(7)))
