@@ -5,9 +5,16 @@ word gaps, hashed into buckets.  Every bucket has an embedding; the mean over
 all n-grams of the whole text goes through a linear layer and a softmax.
 Embeddings and layer are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled documents; what the executors send for training
-are bucket counts, not texts.  Scores are calibrated on a part of the sample
-that training did not see: a temperature is fitted, and the rejection bound is
-a low quantile of the calibrated scores of rightly classified documents.
+are bucket counts, not texts.  On a part of the sample that training did not
+see, a temperature is fitted to the scores, and the rejection bound is set.
+
+A softmax must choose among the languages it knows, so rejection asks something
+else: how surprising a text's buckets are to the language they surprise least
+(mean negative log of a bucket's share in the training texts, short texts drawn
+to the usual value by PRIOR n-grams).  The bound is calibrated by leaving each
+language out in turn: it lies halfway between the most surprising held-back text
+of a known language and the median text of a left-out one.  If the first is
+above the second, or only one language is known, nothing is rejected by it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; without any labelled document every text is ``und``, and only
@@ -33,8 +40,7 @@ GRAMS = (1, 2, 3, 4)
 DIM = 16
 SAMPLE = 3000  # labelled documents learned from, about
 CALIBRATION_SHARE = 0.25
-REJECT_QUANTILE = 0.0005
-REJECT_MOST = 0.4  # the rejection bound is never above this score
+PRIOR = 200  # n-grams of usual surprise that each text is counted with
 PIECE = 1 << 20  # bytes hashed at once
 
 # bytes as the features see them: letters in lower case, everything else a gap
@@ -84,8 +90,10 @@ class LanguageModel:
     embedding: np.ndarray  # BUCKETS x DIM
     layer: np.ndarray  # DIM x languages
     bias: np.ndarray
+    surprisal: np.ndarray  # BUCKETS x languages
     temperature: float = 1.0
-    reject_below: float = 0.0
+    usual: float = 0.0  # surprise of a held-back text, the median
+    reject_above: float = np.inf
 
     def logits(self, shares: np.ndarray) -> np.ndarray:
         return shares @ self.embedding @ self.layer + self.bias
@@ -112,7 +120,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
     order = rng.permutation(len(y))
     back = order[: int(len(y) * CALIBRATION_SHARE)]
     learn = order[len(back):]
-    model = LanguageModel(languages, rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages)))
+    model = LanguageModel(languages, rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(languages))), np.zeros(len(languages)),
+                          surprisals([docs[i] for i in learn], y[learn], len(languages)))
     done = 0
     while done < steps and len(learn):
         rng.shuffle(learn)
@@ -131,19 +140,40 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             done += 1
     if len(back):
         calibrate(model, np.concatenate([model.logits(dense([docs[i] for i in back[at:at + 64]])) for at in range(0, len(back), 64)]), y[back])
+        set_bound(model, [docs[i] for i in back], y[back])
     return model
 
 
 def calibrate(model: LanguageModel, logits: np.ndarray, y: np.ndarray) -> None:
-    """Temperature of least log loss on rows that training did not see, and the rejection bound."""
+    """Temperature of least log loss on rows that training did not see."""
     rows = np.arange(len(y))
     grid = np.exp(np.linspace(-8, 4, 121))
     loss = [-np.log(np.maximum(softmax(logits / t)[rows, y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
-    p = softmax(logits / model.temperature)
-    right = p.argmax(axis=1) == y
-    if right.any():
-        model.reject_below = float(min(REJECT_MOST, np.quantile(p.max(axis=1)[right], REJECT_QUANTILE)))
+
+
+def surprisals(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: int) -> np.ndarray:
+    """Negative log of each bucket's share in the texts of each language."""
+    total = np.full((BUCKETS, languages), 0.5)
+    for (hit, n), k in zip(docs, y, strict=True):
+        total[hit, k] += n
+    return -np.log(total / total.sum(axis=0))
+
+
+def drawn_in(surprise, grams, usual: float):
+    """Mean surprise of a text that PRIOR n-grams of usual surprise are added to."""
+    return (grams * surprise + PRIOR * usual) / (grams + PRIOR)
+
+
+def set_bound(model: LanguageModel, docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
+    """The rejection bound from held-back texts, each language left out in turn."""
+    grams = np.array([n.sum() for _, n in docs])
+    each = np.stack([(n / n.sum()) @ model.surprisal[hit] for hit, n in docs])
+    model.usual = float(np.median(each.min(axis=1)))
+    known = drawn_in(each.min(axis=1), grams, model.usual).max()
+    each[np.arange(len(y)), y] = np.inf
+    left_out = np.median(drawn_in(each.min(axis=1), grams, model.usual))
+    model.reject_above = float((known + left_out) / 2) if left_out > known else np.inf
 
 
 def features(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -174,7 +204,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def verdicts(model: LanguageModel | None):
     """A function from Arrow texts to (lang_pred, score, rejected) lists."""
-    weights = None if model is None else model.embedding @ model.layer  # what each bucket adds to the logits
+    # what each bucket adds to the logits, and to the surprise of each language
+    weights = None if model is None else np.hstack([model.embedding @ model.layer, model.surprisal])
 
     def judge(texts: pa.Array) -> tuple:
         out = []
@@ -183,10 +214,12 @@ def verdicts(model: LanguageModel | None):
             if n is None or model is None:
                 out.append(("und", 0.0, n is None))
                 continue
-            hit = np.flatnonzero(n)
-            p = softmax(((n[hit] / n.sum()) @ weights[hit] + model.bias) / model.temperature)
+            hit, grams, kinds = np.flatnonzero(n), int(n.sum()), len(model.languages)
+            sums = (n[hit] / grams) @ weights[hit]
+            p = softmax((sums[:kinds] + model.bias) / model.temperature)
             best = int(p.argmax())
-            out.append((model.languages[best], float(p[best]), bool(p[best] < model.reject_below)))
+            rejected = drawn_in(sums[kinds:].min(), grams, model.usual) > model.reject_above
+            out.append((model.languages[best], float(p[best]), bool(rejected)))
         return tuple(zip(*out, strict=True)) if out else ((), (), ())
 
     return judge
