@@ -81,28 +81,34 @@ class Linear:
         return x @ self.weights + before @ self.before + self.constant
 
 
-def frequent(docs: list[np.ndarray]) -> list[np.ndarray]:
-    """Without the features that too few documents have to be chosen."""
-    values, n = np.unique(np.concatenate([np.zeros(0, np.int64), *docs]), return_counts=True)
-    often = values[n >= MIN_DOCUMENTS]
-    return [f[np.isin(f, often, assume_unique=True)] for f in docs]
+def frequent(docs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Documents as places in the sorted features that enough of them have to be chosen, and those features."""
+    values, at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *docs]), return_inverse=True, return_counts=True)
+    often = n >= MIN_DOCUMENTS
+    place = np.where(often, np.cumsum(often) - 1, -1)[at]
+    ends = np.cumsum([len(f) for f in docs])[:-1]
+    return [p[p >= 0] for p in np.split(place, ends)] if docs else [], values[often]
 
 
 def choose(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The features that tell the kinds apart best, by smoothed log odds times the root of how many documents have them."""
-    values, at, count = np.unique(np.concatenate([np.zeros(0, np.int64), *docs]), return_inverse=True, return_counts=True)
-    p = np.bincount(at, weights=np.repeat(y, [len(f) for f in docs]), minlength=len(values))
+    flat = np.concatenate([np.zeros(0, np.int64), *docs])  # small numbers: places in the frequent features
+    count = np.bincount(flat)
+    p = np.bincount(flat, weights=np.repeat(y, [len(f) for f in docs]))
     n, k = len(y), y.sum()
     gain = np.abs(np.log((p + 0.5) / (k + 1)) - np.log((count - p + 0.5) / (n - k + 1))) * np.sqrt(count)
     gain[count < MIN_DOCUMENTS] = -1
-    best = np.lexsort((values, -gain))[:WORDS_USED]
-    return np.sort(values[best[gain[best] >= 0]])
+    best = np.argsort(-gain, kind="stable")[:WORDS_USED]
+    return np.sort(best[gain[best] >= 0])
 
 
 def presence(docs: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     x = np.zeros((len(docs), len(chosen)))
-    for i, f in enumerate(docs):
-        x[i, np.isin(chosen, f, assume_unique=True)] = 1
+    if len(chosen):
+        flat = np.concatenate([np.zeros(0, np.int64), *docs])
+        column = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
+        hit = chosen[column] == flat
+        x[np.repeat(np.arange(len(docs)), [len(f) for f in docs])[hit], column[hit]] = 1
     return x
 
 
@@ -169,7 +175,7 @@ def categories_of(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     out[:, -1] = toxic
     if not 0 < toxic.sum() < len(toxic):
         return out
-    docs = frequent(docs)
+    docs, _ = frequent(docs)
     chosen = choose(docs, toxic)
     x, bad = presence(docs, chosen), toxic > 0
     marking = (x[bad].sum(axis=0) + 0.5) / (bad.sum() + 1) > MARKS * (x[~bad].sum(axis=0) + 0.5) / ((~bad).sum() + 1)
@@ -182,7 +188,7 @@ def categories_of(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 def train(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...] = CATEGORIES, seed: int = 1) -> Chain:
     """A chain over the columns of ``labels`` in their order."""
     n, kinds = labels.shape
-    docs = frequent(docs)
+    docs, names = frequent(docs)
     fold = np.random.default_rng(seed).permutation(n) % FOLDS
     before = np.zeros((n, 0))  # out-of-fold probabilities of the categories so far
     x = np.zeros(n)  # out-of-fold logits of the last one
@@ -197,6 +203,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...
             x[rest] = m.logits(presence([docs[i] for i in rest], m.chosen), before[rest])
         models.append(fit(docs, before, labels[:, k]))
         before = np.hstack([before, sigmoid(x)[:, None]])
+    for m in models:
+        m.chosen = names[m.chosen]
     chain = Chain(categories, models)
     y = labels[:, -1]
     if 0 < y.sum() < n:
