@@ -48,46 +48,49 @@ def tenth(name: str) -> Column:
     return F.pmod(F.xxhash64(*R.KEYS[name]), F.lit(10))
 
 
-def old_image(rows: DataFrame, name: str) -> DataFrame:
-    kinds = {f.name: f.dataType for f in SCHEMAS[name].fields}
-    return rows.select(*[F.col(c) if c in R.KEYS[name] else F.lit(None).cast(kinds[c]).alias(c) for c in R.columns(name)])
-
-
-def other_key(rows: DataFrame, name: str) -> DataFrame:
-    """The rows under keys that no row has."""
+def _other(rows: DataFrame, name: str) -> Column:
+    """A key that no row has."""
     key = R.KEYS[name][0]
     text = isinstance(rows.schema[key].dataType, T.StringType)
-    return rows.withColumn(key, F.concat(F.lit("gone-"), F.col(key)) if text else -1 - F.col(key))
+    return F.concat(F.lit("gone-"), F.col(key)) if text else -1 - F.col(key)
+
+
+def _told(rows: DataFrame, name: str, histories: list[list[tuple]], fields: str) -> DataFrame:
+    """Every row once for each entry of its tenth's history, all from one pass
+    over the rows: ``fields`` of the entry, among them ``old`` (NULL in every
+    column but the key) and ``other`` (under the key that no row has)."""
+    own = T.StructType.fromDDL(fields)
+    entries = F.array(*[F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(own.fields, e)]) for e in h])
+                        .cast(T.ArrayType(own)) for h in histories])
+    first, kinds = R.KEYS[name][0], {f.name: f.dataType for f in rows.schema.fields}
+    told = rows.select("*", F.inline(F.element_at(entries, (tenth(name) + 1).cast("int"))))
+    told = told.withColumn(first, F.when(F.col("other"), _other(rows, name)).otherwise(F.col(first)))
+    image = lambda c: F.when(~F.col("old"), F.col(c)).cast(kinds[c])
+    return told.withColumns({c: image(c) for c in R.columns(name) if c not in R.KEYS[name]})
 
 
 def copy_of(t: FixtureTables, name: str) -> DataFrame:
     """What the initial copy read."""
-    rows, k = identified(t, name), tenth(name)
-    seen = rows.where((k >= 2) & (k <= 6)).unionByName(old_image(rows.where(k <= 1), name))
-    return seen.unionByName(other_key(rows.where(k == 2), name))
+    row, old, other = (False, False), (True, False), (False, True)
+    seen = [[old]] * 2 + [[row, other]] + [[row]] * 4 + [[]] * 3
+    return _told(identified(t, name), name, seen, "old boolean, other boolean").select(*R.columns(name))
 
 
 def feed_of(t: FixtureTables, name: str) -> DataFrame:
     """The changes of one table, some before the copy and some sent twice."""
-    rows, k = identified(t, name), tenth(name)
-
-    def sent(part: DataFrame, op: str, after: int) -> DataFrame:
-        lsn = F.lit(after) + F.pmod(F.xxhash64(*R.KEYS[name]), F.lit(1 << 38))
-        row_id = F.col(R.ROW_ID) if R.KEYS[name] == [R.ROW_ID] else None
-        return R.changes(part, name, op, lsn, row_id)
-
-    old = lambda part: old_image(part, name)
-    parts = [sent(rows.where(k <= 1), "U", AFTER),
-             sent(other_key(rows.where(k == 2), name), "D", AFTER),
-             sent(old(rows.where(k == 3)), "U", DURING), sent(rows.where(k == 3), "U", AFTER),
-             sent(old(rows.where(k == 4)), "U", BEFORE),
-             sent(other_key(rows.where(k == 5), name), "I", AFTER), sent(old(other_key(rows.where(k == 5), name)), "D", LATER),
-             sent(rows.where((k == 7) | (k == 8)), "I", AFTER), sent(rows.where(k == 8), "I", AFTER),
-             sent(old(rows.where(k == 9)), "I", AFTER), sent(rows.where(k == 9), "U", LATER)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    row, old, other, gone = (False, False), (True, False), (False, True), (True, True)
+    sent = [[("U", AFTER, *row)]] * 2 + [
+        [("D", AFTER, *other)],
+        [("U", DURING, *old), ("U", AFTER, *row)],
+        [("U", BEFORE, *old)],
+        [("I", AFTER, *other), ("D", LATER, *gone)],
+        [],
+        [("I", AFTER, *row)],
+        [("I", AFTER, *row)] * 2,
+        [("I", AFTER, *old), ("U", LATER, *row)]]
+    rows = _told(identified(t, name), name, sent, "op string, after long, old boolean, other boolean")
+    lsn = F.col("after") + F.pmod(F.xxhash64(*R.KEYS[name]), F.lit(1 << 38))
+    return R.changes(rows, name, F.col("op"), lsn, F.col(R.ROW_ID) if R.KEYS[name] == [R.ROW_ID] else None)
 
 
 def feed(t: FixtureTables, names: list[str] | None = None) -> DataFrame:

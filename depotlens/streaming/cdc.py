@@ -3,16 +3,17 @@
 A change row is ``(lsn, table, key, op, value, ts)``; ``op`` is I/U/D and
 ``lsn`` orders changes.  Applying a batch is last-writer-wins per (table, key):
 
-* the latest change per key is picked with ``max_by(struct, lsn)`` -- a
-  partial (map-side) aggregate, so a key that owns a third of the feed is
-  reduced before the shuffle, never sorted in one task;
+* the latest change per key is the first by LSN; every task keeps one row per
+  key before the shuffle, so a key that owns a third of the feed is reduced
+  there, never sorted in one task;
 * the state keeps the LSN that produced each row (``_lsn``), and a delete
   leaves a tombstone (``_deleted``) so the key's LSN is remembered; a change
   whose LSN is not newer than the state's LSN for that key is skipped, so
   replaying a batch or applying an old batch late leaves the state unchanged
   (exactly-once effect over at-least-once delivery).  ``visible`` hides the
   tombstones;
-* state and latest changes meet in one full outer join on the key.
+* state and latest changes meet in one full outer join on the key, for which
+  either is shuffled once.
 
 ``start_apply_stream`` runs the same function in ``foreachBatch`` over a
 Structured Streaming file source into a ``StateStore``: the state is hash-
@@ -27,7 +28,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,23 +105,48 @@ def visible(state: DataFrame) -> DataFrame:
     return state.where(~F.col("_deleted")).drop("_deleted")
 
 
-def apply_changes(state: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
+def _comparable(df: DataFrame, key: list[str], digest: bool = False) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Key columns that are never NULL, and the key made of them again: equal
+    keys (NULL parts included) have equal columns, so that one plain
+    partitioning serves a grouping and a join on them.  ``digest``: texts are
+    compared by their 128-bit MD5, which does not give the text back."""
+    parts, back = {}, {}
+    for k in key:
+        n, z = f"_n_{k}", f"_z_{k}"
+        kind = df.schema[k].dataType
+        if isinstance(kind, T.IntegralType):
+            parts |= {n: F.coalesce(F.col(k), F.lit(0).cast(kind)), z: F.col(k).isNull()}
+            back[k] = F.when(~F.col(z), F.col(n))
+        elif digest:
+            parts[n] = F.coalesce(F.unhex(F.md5(F.col(k).cast("string"))), F.lit(b""))
+            back[k] = F.coalesce(F.col(f"_s_{k}"), F.col(f"_c_{k}"))
+        else:
+            parts[n] = F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit(""))
+            back[k] = F.when(F.col(n) != "", F.substring(F.col(n), 2, 2**31 - 1)).cast(kind)
+    return parts, back
+
+
+def apply_changes(state: DataFrame, changes: DataFrame, key: list[str] = KEY, digest: bool = False) -> DataFrame:
     """New state = state merged with the latest change per key; a change not
-    newer than the key's state LSN is skipped, a delete leaves a tombstone."""
+    newer than the key's state LSN is skipped, a delete leaves a tombstone.
+
+    Both sides are shuffled once, on the key: the latest change is ranked first
+    (before the shuffle each task keeps one row per key, so a hot key is reduced
+    there) and joined where it lies.  Columns that no reader asks for are not
+    shuffled; with ``digest`` (for long keys, such as whole rows as text) nor
+    are text keys, which then meet by their digests."""
     cols = [c for c in state.columns if c not in key and c not in META]
-    last = latest_changes(changes, key)
-    s = state.select(*key, *[F.col(c).alias(f"_s_{c}") for c in cols], F.col("_lsn").alias("_s_lsn"),
-                     F.col("_deleted").alias("_s_del"))
-    c = last.select(*key, *[F.col(x).alias(f"_c_{x}") for x in cols], F.col("op").alias("_op"),
-                    F.col("lsn").alias("_c_lsn"))
     # NULL key parts are equal here, or every replay would add the row again
-    c = c.withColumnsRenamed({k: f"_k_{k}" for k in key})
-    same = F.lit(True)
-    for k in key:
-        same = same & s[k].eqNullSafe(c[f"_k_{k}"])
-    j = s.join(c, same, "full")
+    parts, back = _comparable(state, key, digest)
+    s = state.select(*[c.alias(n) for n, c in parts.items()], *[F.col(c).alias(f"_s_{c}") for c in cols + key], F.col("_lsn").alias("_s_lsn"),
+                     F.col("_deleted").alias("_s_del"))
+    c = changes.select(*[c.alias(n) for n, c in parts.items()], *[F.col(x).alias(f"_c_{x}") for x in cols + key], F.col("op").alias("_op"),
+                       F.col("lsn").alias("_c_lsn"))
+    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col("_c_lsn").desc_nulls_last()))
+    last = c.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    j = s.join(last, list(parts), "full")
     newer = F.col("_c_lsn").isNotNull() & (F.col("_s_lsn").isNull() | (F.col("_c_lsn") > F.col("_s_lsn")))
-    return j.select(*[F.coalesce(F.col(k), F.col(f"_k_{k}")).alias(k) for k in key], *[F.when(newer, F.col(f"_c_{x}")).otherwise(F.col(f"_s_{x}")).alias(x) for x in cols],
+    return j.select(*[back[k].alias(k) for k in key], *[F.when(newer, F.col(f"_c_{x}")).otherwise(F.col(f"_s_{x}")).alias(x) for x in cols],
                     F.when(newer, F.col("_c_lsn")).otherwise(F.col("_s_lsn")).alias("_lsn"),
                     F.when(newer, F.col("_op") == "D").otherwise(F.col("_s_del")).alias("_deleted"))
 

@@ -75,7 +75,8 @@ def changes(rows: DataFrame, name: str, op: str | Column, lsn: Column, row_id: C
 def _parsed(feed: DataFrame, name: str) -> DataFrame:
     schema = T.StructType([*SCHEMAS[name].fields, T.StructField("_bad", T.StringType())])
     image = F.from_json("payload", schema, TIMES | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return feed.where(F.col("table") == name).withColumn("_image", image)
+    # a generated column: a condition on it is not pushed below it, where the text would be parsed once more
+    return feed.where(F.col("table") == name).select("*", F.explode(F.array(image)).alias("_image"))
 
 
 def typed(feed: DataFrame, name: str) -> DataFrame:
@@ -101,7 +102,7 @@ def copied(rows: DataFrame, name: str, position: int) -> DataFrame:
 
 def merged(copy: DataFrame, feed_rows: DataFrame, name: str, position: int) -> DataFrame:
     """Copy and typed changes after ``position`` as one state (tombstones included)."""
-    return apply_changes(copy, feed_rows.where(F.col("lsn") > position), KEYS[name])
+    return apply_changes(copy, feed_rows.where(F.col("lsn") > position), KEYS[name], digest=KEYS[name] == [ROW_ID])
 
 
 def table_of(state: DataFrame, name: str) -> DataFrame:

@@ -117,3 +117,37 @@ def test_publication_filter_and_null_keys(spark, scratch):
     gone.unionByName(new).write.parquet(src)
     rep.start(src, os.path.join(scratch, "ckpt"), publish=("insert", "update")).awaitTermination(300)
     assert sorted((r.warehouse_id or 0, r.region) for r in rep.read("warehouses").collect()) == [(0, "x"), (1, "r")]
+
+
+def test_copy_and_feed_of_a_table_read_it_once(spark, tables):
+    """The histories of all tenths come from one pass over the rows."""
+    for name in ("order_items", "inventory_movements", "orders"):
+        for df in (X.copy_of(tables, name), X.feed_of(tables, name)):
+            assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1, name
+
+
+def test_a_merge_shuffles_copy_and_changes_once(spark, tables):
+    """And every payload is parsed once."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("order_items", "orders"):
+            rows = X.identified(tables, name)
+            feed = spark.createDataFrame([], R.FEED_SCHEMA)
+            state = R.merged(R.copied(rows, name, 0), R.typed(feed, name), name, 0)
+            text = R.table_of(state, name)._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange hashpartitioning") == 2 and text.count("from_json") == 1, text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("digest", [False, True])
+def test_repeated_null_and_empty_text_keys(spark, digest):
+    from depotlens.streaming.cdc import apply_changes
+    state = spark.createDataFrame([("a", 1, 5, False), ("a", 2, 5, False), ("", 3, 5, False), (None, 4, 5, False), ("b", 6, 5, False)],
+                                  "k string, v int, _lsn long, _deleted boolean")
+    changes = spark.createDataFrame([("a", 10, 7, "U"), ("a", 11, 6, "U"), (None, 12, 8, "U"), ("c", 13, 1, "I"), ("b", 14, 4, "D"), ("", None, 9, "D")],
+                                    "k string, v int, lsn long, op string")
+    got = [tuple(r) for r in apply_changes(state, changes, ["k"], digest).select("k", "v", "_lsn", "_deleted").collect()]
+    want = [("a", 10, 7, False), ("a", 10, 7, False), ("", None, 9, True), (None, 12, 8, False), ("b", 6, 5, False), ("c", 13, 1, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
