@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bitmaps
+from ..operators import bitmaps, fsio
 from ..operators import snapshots as S
 from ..session import checkpoint_root
 from ..sources import bucketed, feed_fixture, monthly
@@ -118,8 +118,9 @@ class _Bucketed(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str, names: list[str]):
         name = uuid.uuid4().hex
-        root = checkpoint_root(spark, "bucketed", name)
-        super().__init__(bucketed.write_bucketed(fixture_tables(spark, sf_dir), root, f"b_{name}_", 16, names))
+        root, t = checkpoint_root(spark, "bucketed", name), fixture_tables(spark, sf_dir)
+        buckets = bucketed.buckets_for(sum(fsio.size(spark, os.path.join(sf_dir, f"{n}.parquet")) for n in ("orders", "lineitem")))
+        super().__init__(bucketed.write_bucketed(t, root, f"b_{name}_", buckets, names))
 
 
 def _on_buckets(report, names: list[str], *args):

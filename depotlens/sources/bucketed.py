@@ -26,6 +26,13 @@ from .tables import SCHEMAS, conform
 PARENT = {"orders": "order_id", "order_items": "order_id", "shipments": "shipment_id", "shipment_items": "shipment_id",
           "receipts": "receipt_id", "receipt_items": "receipt_id"}
 LINES = ("order_items", "shipment_items", "receipt_items")
+BUCKET_BYTES = 16 << 20
+
+
+def buckets_for(input_bytes: int, least: int = 16) -> int:
+    """Buckets for headers and lines of ``input_bytes`` (compressed): a task
+    sorts a bucket, so with a fixed number its memory would grow with the input."""
+    return max(least, -(-input_bytes // BUCKET_BYTES))
 
 
 def write_bucketed(tables: Mapping[str, DataFrame], root: str, prefix: str, buckets: int, names: list[str] | None = None) -> dict[str, DataFrame]:

@@ -198,3 +198,10 @@ def test_positions_of_many_partitions(spark):
 def test_no_window_over_all_rows_for_positions(spark, small_tables):
     df = ordering.positions("v4_customer_insights", customers.customer_insights(small_tables))
     assert "Window" not in plan(df)
+
+
+def test_buckets_grow_with_the_input():
+    """A task sorts one bucket, which holds no more than a fixed part of the input."""
+    assert bucketed.buckets_for(0) == 16
+    for size in (1 << 30, 6 << 30):
+        assert size / bucketed.buckets_for(size) <= bucketed.BUCKET_BYTES
