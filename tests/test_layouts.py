@@ -200,6 +200,15 @@ def test_no_window_over_all_rows_for_positions(spark, small_tables):
     assert "Window" not in plan(df)
 
 
+def test_sparse_bitmaps_hold_no_more_than_their_rows(spark):
+    """Ids far apart store a word each, and words are hashed, not sorted."""
+    df = spark.createDataFrame([(d, c * 100_000) for d in range(3) for c in range(50)], "d int, c long")
+    days = B.bitmaps(df, ["d"], "c")
+    assert dict(days.dtypes)[B.BITS] == "bigint" and days.count() == 150
+    assert "SortAggregate" not in plan(B.cardinality(B.merge(days, ["d"]), "n"))
+    assert [r.n for r in B.cardinality(days, "n").collect()] == [50] * 3
+
+
 def test_buckets_grow_with_the_input():
     """A task sorts one bucket, which holds no more than a fixed part of the input."""
     assert bucketed.buckets_for(0) == 16
