@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prune_at_run_time
 from ..sources.monthly import MONTH
 
 NULL_SPREAD = 1024  # partitions' worth of keys that rows with a NULL key are spread over
@@ -21,7 +22,10 @@ def restrict_to_keys(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     needs, at the price of a join instead of an aggregation of everything.
 
     ``keys`` are of dated parents: in the monthly layout the month is part of
-    the join, which lets Spark prune the partitions of ``big`` at run time."""
+    the join, which lets Spark prune the partitions of ``big`` at run time.  In
+    every layout a Bloom filter of the keys drops most other rows of ``big``
+    before they are shuffled."""
+    prune_at_run_time(big.sparkSession)
     on = [key] + [MONTH] * (MONTH in big.columns and MONTH in keys.columns)
     return big.join(keys.select(*on).where(F.col(key).isNotNull()), on, "left_semi")
 

@@ -113,6 +113,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: setting -> (Spark's default, for lines that are pruned by few of their headers).  By default Spark filters no scan
+#: below 10 GB, and takes a filtered header for as large as its table.
+PRUNING = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": ("10GB", "64m"),
+           "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": ("10MB", "100t")}
+
+
+def prune_at_run_time(spark: SparkSession) -> None:
+    """Let Spark drop lines by a Bloom filter of their headers' ids before they
+    are shuffled; what the user set stays."""
+    for key, (default, value) in PRUNING.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def checkpoint_root(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)

@@ -214,3 +214,24 @@ def test_buckets_grow_with_the_input():
     assert bucketed.buckets_for(0) == 16
     for size in (1 << 30, 6 << 30):
         assert size / bucketed.buckets_for(size) <= bucketed.BUCKET_BYTES
+
+
+def test_lines_are_filtered_before_their_shuffle(spark, scratch):
+    """Without settings of the launch, too: a week's orders leave few of all lines to shuffle."""
+    from depotlens.operators.joins import restrict_to_keys
+    from depotlens.session import PRUNING
+    own = {k: spark.conf.get(k) for k in (*PRUNING, "spark.sql.autoBroadcastJoinThreshold")}
+    for k, (default, _) in PRUNING.items():
+        spark.conf.set(k, default)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # text that does not compress: a table over the setting's 64 MB
+        spark.range(0, 600_000, 1, 4).selectExpr("id", "concat(sha2(cast(id as string), 512), sha2(cast(-id as string), 256)) as t").write.parquet(f"{scratch}/lines")
+        spark.range(0, 600_000, 1, 4).selectExpr("id", "id % 1000 as day").write.parquet(f"{scratch}/heads")
+        kept = restrict_to_keys(spark.read.parquet(f"{scratch}/lines"), spark.read.parquet(f"{scratch}/heads").where("day < 3"), "id")
+        assert "might_contain" in plan(kept) and kept.count() == 1800
+        spark.conf.set(next(iter(PRUNING)), "5GB")  # what the user set stays
+        restrict_to_keys(kept, kept, "id")
+        assert spark.conf.get(next(iter(PRUNING))) == "5GB"
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
