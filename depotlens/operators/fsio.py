@@ -53,6 +53,13 @@ def size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
 
+def files(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of the files below ``path``, and their bytes."""
+    fs, p = _fs(spark, path)
+    s = fs.getContentSummary(p)
+    return int(s.getFileCount()), int(s.getLength())
+
+
 def expire(spark: SparkSession, root: str, before: float) -> list[str]:
     """Delete the folders directly below ``root`` that were last changed before
     the POSIX time ``before``; returns their names."""
