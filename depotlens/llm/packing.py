@@ -28,6 +28,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -93,12 +94,39 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def signature(ids: np.ndarray) -> int:
-    """A hash of the min-hash of neighbouring ids: rests with like pairs often have the same."""
-    pairs = (ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)) if len(ids) > 1 else ids.astype(np.uint64)
-    mixed = (pairs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    least = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return int((least.min(keepdims=True) * np.uint64(0x94D049BB133111EB)).view(np.int64)[0]) if len(ids) else 0
+def signatures(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each rest (``n`` ids of ``flat``) a hash of the min-hash of its
+    neighbouring ids (0 if it has none): rests with like pairs often have the same."""
+    out = np.zeros(len(n), np.uint64)
+    if len(flat):
+        ends = np.cumsum(n)
+        pairs = flat.astype(np.uint64)
+        pairs[:-1] = pairs[:-1] << np.uint64(32) | pairs[1:]
+        single = ends[n == 1] - 1
+        pairs[single] = flat[single]
+        pairs += np.uint64(1)
+        pairs *= np.uint64(0x9E3779B97F4A7C15)
+        pairs ^= pairs >> np.uint64(29)
+        pairs *= np.uint64(0xBF58476D1CE4E5B9)
+        pairs[ends[n > 1] - 1] = np.iinfo(np.uint64).max  # the last id of a rest starts no pair
+        out[n > 0] = np.minimum.reduceat(pairs, (ends - n)[n > 0]) * np.uint64(0x94D049BB133111EB)
+    return out.view(np.int64)
+
+
+def lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Lists of ``n`` values each."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
+
+
+def distinct(term: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (term, doc) of ``rows`` documents in order, and how often each occurs."""
+    bits = max(1, rows - 1).bit_length()
+    kind = np.int32 if len(term) and int(term.max()) >> 31 - bits == 0 else np.int64  # the shorter are sorted faster
+    key = term.astype(kind) << kind(bits) | doc.astype(kind)
+    key.sort()
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    one = key[at]
+    return one >> kind(bits), one & kind((1 << bits) - 1), np.diff(np.r_[at, len(key)])
 
 
 def rests(docs: DataFrame, id_col: str, text_col: str, path: str, window: int) -> DataFrame:
@@ -110,13 +138,17 @@ def rests(docs: DataFrame, id_col: str, text_col: str, path: str, window: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec.value)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = np.array([*own.encode(text.as_py() or ""), END], np.int32)
-                start = len(ids) // window * window
-                rows.append((len(ids), [crc(ids[at:at + window]) for at in range(0, start, window)], start, ids[start:], signature(ids[start:])))
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.int64()]
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            encoded = [own.encode(text or "") for text in batch.column(1).to_pylist()]
+            for ids in encoded:
+                ids.append(END)
+            n = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            flat = np.fromiter(itertools.chain.from_iterable(encoded), np.int32, n.sum())
+            begin, start = np.cumsum(n) - n, n // window * window
+            full = [crc(flat[b + at:b + at + window]) for b, upto in zip(begin, start, strict=True) if upto for at in range(0, upto, window)]
+            if full:
+                flat = flat[np.arange(len(flat)) >= np.repeat(begin + start, n)]
+            made = [pa.array(n), lists(np.array(full, np.int64), start // window), pa.array(start), lists(flat, n - start),
+                    pa.array(signatures(flat, n - start))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "doc_tokens", "full", "start", "ids", "sig"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -130,9 +162,9 @@ def frequencies(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1, np.int64)
         for batch in batches:
-            term = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            term = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(0).offsets.to_numpy()))
-            got = np.bincount(np.unique(doc << 32 | term) & 0xFFFFFFFF)
+            got = np.bincount(distinct(term, doc, batch.num_rows)[0])
             df = np.pad(df, (0, max(0, len(got) - len(df))))
             df[:len(got)] += got
         terms = np.flatnonzero(df)
@@ -147,18 +179,35 @@ class Shard:
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         n = np.array([len(x) for x in ids])
         doc = np.repeat(np.arange(len(ids)), n)
-        key, tf = np.unique(np.concatenate(ids).astype(np.int64) << 32 | doc, return_counts=True)
-        term, self.doc = key >> 32, key & 0xFFFFFFFF
+        term, doc, tf = distinct(np.concatenate(ids), doc, len(ids))
+        self.doc = doc.astype(np.intp)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.doc] / mean))
-        self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.starts = np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))]
         self.rows = len(ids)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every rest for distinct ``terms``."""
         starts, n = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-        at = np.arange(n.sum()) + np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n)
+        at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
         return np.bincount(self.doc[at], self.weight[at], self.rows)
 
+    def drop(self, unused: np.ndarray) -> None:
+        """Forgets the rests that are not ``unused``."""
+        keep = unused[self.doc]
+        self.starts = np.r_[0, np.cumsum(keep)][self.starts]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
+
+def ranking(scores: np.ndarray, first: int = 16) -> Iterator[int]:
+    """Positions by descending score, equal ones in order; the ``first`` are found without sorting all."""
+    done = 0
+    if len(scores) > 4 * first:
+        top = np.flatnonzero(scores >= np.partition(scores, -first)[-first])
+        done = len(top)
+        yield from top[np.argsort(-scores[top], kind="stable")]
+    if done < len(scores):
+        yield from np.argsort(-scores, kind="stable")[done:]
+
 
 class Packer:
     """Fills windows from one shard after another.  A piece is (document, start,
@@ -186,7 +235,7 @@ class Packer:
         """``rows``: (document, start, ids) of the shard, all of them placed."""
         index = Shard([ids for _, _, ids in rows], self.idf, self.mean)
         unused = np.ones(len(rows), bool)
-        seed = 0
+        seed, held = 0, len(rows)
         while True:
             if not self.open:
                 while seed < len(rows) and not unused[seed]:
@@ -200,7 +249,11 @@ class Packer:
             left = np.flatnonzero(unused)
             if not len(left):
                 return
-            for k in left[np.argsort(-index.scores(self.asked)[left], kind="stable")]:
+            if len(left) < 0.8 * held:
+                index.drop(unused)
+                held = len(left)
+            for at in ranking(index.scores(self.asked)[left]):
+                k = left[at]
                 unused[k] = False
                 doc, start, ids = rows[k]
                 rest = self.put(doc, start, ids)

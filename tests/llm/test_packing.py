@@ -109,3 +109,22 @@ def test_a_window_holds_the_neighbours_of_its_seed():
     assert sum(len(ids) for s in out for _, _, ids in s) == 12000
     same = [len({doc[0] for doc, _, _ in s}) == 1 for s in out]
     assert sum(same) >= 0.8 * len(out)  # random filling would leave about none
+
+
+def test_ranking_and_used_rests():
+    """The first are found without sorting all, and an index without the used rests scores the others as before."""
+    rnd = np.random.default_rng(3)
+    scores = rnd.integers(0, 9, 300).astype(float)
+    assert list(P.ranking(scores)) == list(np.argsort(-scores, kind="stable"))
+    ids = [rnd.integers(0, 40, rnd.integers(1, 50)) for _ in range(50)]
+    index, unused = P.Shard(ids, rnd.random(41), 20.0), rnd.random(50) < 0.5
+    want, size = index.scores(np.unique(ids[0])), len(index.doc)
+    index.drop(unused)
+    assert len(index.doc) < size and (index.scores(np.unique(ids[0]))[unused] == want[unused]).all()
+
+
+def test_signatures_of_a_batch():
+    """Equal rests have equal signatures wherever they lie; empty ones have 0."""
+    rests = [[5, 6, 7], [], [5], [5, 6, 7], [9], [], [5, 6], [5]]
+    got = P.signatures(np.array(sum(rests, []), np.int32), np.array([len(r) for r in rests]))
+    assert got[0] == got[3] and got[2] == got[7] and got[1] == got[5] == 0 and len(set(got.tolist())) == 5
