@@ -6,12 +6,12 @@ import datetime as dt
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitmaps, fsio
 from ..operators import snapshots as S
-from ..session import checkpoint_root
+from ..session import checkpoint_root, split_to_sort
 from ..sources import bucketed, feed_fixture, monthly
 from ..sources.fixtures import AS_OF, fixture_tables
 from ..sources.tables import SCHEMAS
@@ -237,34 +237,41 @@ def c_delta_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class _Replicated(dict):
-    """Tables as their replicas have them: initial copy, then one feed of all
-    tables that the reports use (None: all twelve).  ``stored``: tables that a
-    report reads more than once; copy and feed are merged once for them."""
+    """Tables as their replicas have them: initial copy and typed change feed,
+    merged where they are read.  ``stored``: tables that a report reads more
+    than once; copy and feed are merged once for them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, names: list[str] | None = None, stored: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: tuple[str, ...] = ()):
         super().__init__()
+        split_to_sort(spark)
         self.stored = stored
         self.source = fixture_tables(spark, sf_dir)
-        self.path = path = checkpoint_root(spark, "feed", uuid.uuid4().hex)
-        for name in names or list(SCHEMAS):  # a folder per table: a replica reads its own changes only
-            rows = feed_fixture.feed_of(self.source, name).drop("table")
-            rows.write.option("compression", "zstd").parquet(os.path.join(path, f"table={name}"))
-        self.feed = spark.read.schema(replica.FEED_SCHEMA).parquet(path)
+
+    def images(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """Copy and changes of a table."""
+        return (replica.copied(feed_fixture.copy_of(self.source, name), name, feed_fixture.STARTED),
+                replica.typed(feed_fixture.feed_of(self.source, name), name))
+
+    def made(self, name: str, **columns: Column) -> DataFrame:
+        """Columns made of single rows of a replica: every image gives its own,
+        and key, LSN and they are all that is shuffled to merge the images."""
+        copy, changes = [rows.select(*replica.KEYS[name], *[c.alias(n) for n, c in columns.items()], *own)
+                         for rows, own in zip(self.images(name), (cdc.META, ["lsn", "op"]))]
+        return cdc.visible(replica.merged(copy, changes, name, feed_fixture.STARTED)).select(*columns)
 
     def __missing__(self, name: str) -> DataFrame:
-        copy = replica.copied(feed_fixture.copy_of(self.source, name), name, feed_fixture.STARTED)
-        state = replica.merged(copy, replica.typed(self.feed, name), name, feed_fixture.STARTED)
-        self[name] = replica.table_of(state, name)
+        self[name] = replica.table_of(replica.merged(*self.images(name), name, feed_fixture.STARTED), name)
         if name in self.stored:
-            merged = f"{self.path}_merged_{name}"
-            self[name].write.option("compression", "zstd").parquet(merged)
-            self[name] = state.sparkSession.read.schema(SCHEMAS[name]).parquet(merged)
+            spark = self[name].sparkSession
+            path = checkpoint_root(spark, "feed", f"{uuid.uuid4().hex}_merged_{name}")
+            self[name].write.option("compression", "zstd").parquet(path)
+            self[name] = spark.read.schema(SCHEMAS[name]).parquet(path)
         return self[name]
 
 
-def _on_replicas(report, names: list[str], *args, stored: tuple[str, ...] = ()):
+def _on_replicas(report, *args, stored: tuple[str, ...] = ()):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(_Replicated(spark, sf_dir, names, stored), *args)
+        return report(_Replicated(spark, sf_dir, stored), *args)
     run.__doc__ = f"{report.__name__} over replicated tables (initial copy and typed change feed)."
     return run
 
@@ -276,7 +283,8 @@ def c_replica_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         whole = None
         for c in schema.names:
             whole = F.col(c).isNull() if whole is None else whole | F.col(c).isNull()
-        part = t[name].agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count(F.when(whole, 1)).alias("rows_with_null"))
+        part = t.made(name, _null=whole).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"),
+                                             F.count(F.when(F.col("_null"), 1)).alias("rows_with_null"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -330,10 +338,10 @@ OPERATIONS = {
     "c_incremental_v3": c_incremental_v3,
     "c_delta_v3": c_delta_v3,
     "c_replica_counts": c_replica_counts,
-    "c_replica_v2": _on_replicas(inventory.inventory_summary, ["products", "inventory"]),
-    "c_replica_v6": _on_replicas(inventory.product_movement_summary, ["inventory_movements", "locations", "warehouses", "products"]),
-    "c_replica_q3": _on_replicas(customers.customer_rfm, ["customers", "orders", "order_items", "products"], AS_OF, stored=("orders", "order_items")),
-    "c_replica_q5": _on_replicas(supply_chain.supply_chain, ["warehouses", "receipts", "receipt_items", "shipments", "shipment_items"], AS_OF),
+    "c_replica_v2": _on_replicas(inventory.inventory_summary),
+    "c_replica_v6": _on_replicas(inventory.product_movement_summary),
+    "c_replica_q3": _on_replicas(customers.customer_rfm, AS_OF, stored=("orders", "order_items")),
+    "c_replica_q5": _on_replicas(supply_chain.supply_chain, AS_OF),
     "o_replication_lag": o_replication_lag,
     "o_slow_queries_topk": o_slow_queries_topk,
     "o_column_profile": o_column_profile,

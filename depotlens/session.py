@@ -127,6 +127,20 @@ def prune_at_run_time(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+#: Bytes that a task reads where it sorts what it reads.
+SORTED_SPLIT = ("spark.sql.files.maxPartitionBytes", "32m")
+
+
+def split_to_sort(spark: SparkSession) -> None:
+    """Let a task read a quarter of Spark's default, for plans that sort rows
+    before they shuffle them (the latest change of a key): what a task of the
+    default size made of its rows would not fit its memory.  What the user set
+    stays."""
+    key, size = SORTED_SPLIT
+    if not spark.sparkContext.getConf().contains(key) and spark.conf.get(key) in ("134217728b", SCALE_DEFAULTS[key]):
+        spark.conf.set(key, size)
+
+
 def checkpoint_root(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)

@@ -140,15 +140,15 @@ def apply_changes(state: DataFrame, changes: DataFrame, key: list[str] = KEY, di
     parts, back = _comparable(state, key, digest)
     s = state.select(*[c.alias(n) for n, c in parts.items()], *[F.col(c).alias(f"_s_{c}") for c in cols + key], F.col("_lsn").alias("_s_lsn"),
                      F.col("_deleted").alias("_s_del"))
-    c = changes.select(*[c.alias(n) for n, c in parts.items()], *[F.col(x).alias(f"_c_{x}") for x in cols + key], F.col("op").alias("_op"),
-                       F.col("lsn").alias("_c_lsn"))
+    c = changes.select(*[c.alias(n) for n, c in parts.items()], *[F.col(x).alias(f"_c_{x}") for x in cols + key],
+                       (F.col("op") == "D").alias("_c_del"), F.col("lsn").alias("_c_lsn"))
     rank = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col("_c_lsn").desc_nulls_last()))
     last = c.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     j = s.join(last, list(parts), "full")
     newer = F.col("_c_lsn").isNotNull() & (F.col("_s_lsn").isNull() | (F.col("_c_lsn") > F.col("_s_lsn")))
     return j.select(*[back[k].alias(k) for k in key], *[F.when(newer, F.col(f"_c_{x}")).otherwise(F.col(f"_s_{x}")).alias(x) for x in cols],
                     F.when(newer, F.col("_c_lsn")).otherwise(F.col("_s_lsn")).alias("_lsn"),
-                    F.when(newer, F.col("_op") == "D").otherwise(F.col("_s_del")).alias("_deleted"))
+                    F.when(newer, F.col("_c_del")).otherwise(F.col("_s_del")).alias("_deleted"))
 
 
 def table_dml_counts(feed: DataFrame, schema_like: str | None = None) -> DataFrame:

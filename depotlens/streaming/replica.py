@@ -68,8 +68,9 @@ def changes(rows: DataFrame, name: str, op: str | Column, lsn: Column, row_id: C
     """Rows of ``name`` as feed rows."""
     op = F.lit(op) if isinstance(op, str) else op
     row_id = F.lit(None).cast("string") if row_id is None else row_id
+    # a generated column, as in _parsed: a condition on it does not write the text once more
     return rows.select(lsn.cast("long").alias("lsn"), F.lit(name).alias("table"), op.alias("op"), row_id.alias("row_id"),
-                       payload(name).alias("payload"))
+                       F.explode(F.array(payload(name))).alias("payload"))
 
 
 def _parsed(feed: DataFrame, name: str) -> DataFrame:

@@ -141,6 +141,40 @@ def test_a_merge_shuffles_copy_and_changes_once(spark, tables):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_counts_run_no_job_and_shuffle_no_wide_row(spark, monkeypatch):
+    """The feed of a replica is not stored to be read once, and of an image only its flag meets the other image's."""
+    from depotlens.plans import operations
+    sc = spark.sparkContext
+    sc.setJobGroup("replica counts", "plan only")
+    try:
+        df = operations.c_replica_counts(spark, SF_SMALL)
+        assert list(sc.statusTracker().getJobIdsForGroup("replica counts")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    sides = [ln for ln in text.splitlines() if "Project [" in ln and ("_s_lsn" in ln or "_c_lsn" in ln)]
+    assert sides and not any(f"AS _s_{c}#" in text or f"AS _c_{c}#" in text for s in SCHEMAS.values() for c in s.names)
+
+
+def test_columns_made_of_images_equal_those_of_the_merge(spark):
+    """Odd images: NULL and repeated keys, NULL columns on either side, deletes, changes before the copy."""
+    from depotlens.plans import operations
+    t = operations._Replicated(spark, SF_SMALL)
+    at, late = X.STARTED, X.AFTER
+    copy = spark.createDataFrame([(1, 1, "EA"), (1, 2, None), (2, 3, "EA"), (None, 4, "EA"), (3, 5, "CS"), (4, 6, None), (7, 9, "EA")],
+                                 "product_id long, size int, unit_of_measure string")
+    copy = R.copied(copy.withColumns({c: F.lit("x") for c in ("product_name", "product_category", "sku")}), "products", at)
+    rows = [(1, "U", late, "CS"), (2, "U", late, "EA"), (2, "U", late + 1, None), (None, "U", late, None), (3, "D", late, None),
+            (4, "U", at - 1, "EA"), (5, "I", late, "EA"), (6, "I", late, None), (6, "D", late + 1, None), (8, "I", None, "EA"), (7, None, late, "CS")]
+    changes = spark.createDataFrame(rows, "product_id long, op string, lsn long, unit_of_measure string")
+    changes = changes.withColumns({c: F.lit("y") for c in ("product_name", "product_category", "sku")})
+    t.images = lambda name: (copy, changes)
+    none = F.col("unit_of_measure").isNull() | F.col("product_id").isNull()
+    got = sorted(r.flag for r in t.made("products", flag=none).collect())
+    assert got == sorted(r.flag for r in t["products"].select(none.alias("flag")).collect())
+    assert got == [False, False, False, True, True, True]
+
+
 @pytest.mark.parametrize("digest", [False, True])
 def test_repeated_null_and_empty_text_keys(spark, digest):
     from depotlens.streaming.cdc import apply_changes
