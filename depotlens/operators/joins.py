@@ -34,13 +34,15 @@ def lookup(fact: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataF
     """``fact JOIN dim`` for an N:1 lookup on a key that may be NULL.
 
     Rows with a NULL key match nothing, but a shuffle join would send all of
-    them to one task; a second join column that is 0 for every real key and a
-    hash of the row for NULL keys spreads them.
+    them to one task; a second key that is 0 for every real key and a hash of
+    the row for NULL keys spreads them.  It is part of the join's condition
+    and no column, so neither side's rows get wider.
     """
-    spread = F.when(F.col(on).isNull(), 1 + F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
-    left = fact.withColumn("_spread", spread.cast("int"))
-    zero = F.pmod(F.hash(on), F.lit(1))  # always 0, but no constant that the optimizer would fold out of the join
-    return left.join(dim.withColumn("_spread", zero), [on, "_spread"], how).drop("_spread")
+    f, d = [lambda c, side=side: F.col(f"{side}.`{c}`") for side in ("_fact", "_dim")]
+    spread = F.when(f(on).isNull(), 1 + F.pmod(F.xxhash64(*[f(c) for c in fact.columns]), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    zero = F.pmod(F.hash(d(on)), F.lit(1))  # always 0, but no constant that the optimizer would fold out of the join
+    j = fact.alias("_fact").join(dim.alias("_dim"), (f(on) == d(on)) & (spread.cast("int") == zero), how)
+    return j.select(f(on), *[f(c) for c in fact.columns if c != on], *[d(c) for c in dim.columns if c != on])
 
 
 def left_join_many(one: DataFrame, many: DataFrame, key: str) -> DataFrame:

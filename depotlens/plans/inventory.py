@@ -94,6 +94,21 @@ def monthly_inventory_summary(t: Tables, as_of: dt.date, mode: str = "reference"
     ).withColumn("stock_status", _stock_status())
 
 
+def _with_warehouse_key(t: Tables, movements: DataFrame) -> DataFrame:
+    """Movements with ``wh_key``, the warehouse id of their from- (else to-) location."""
+    loc = t["locations"].select("location_id", "warehouse_id")
+    fl = loc.select(F.col("location_id").alias("from_location_id"), F.col("warehouse_id").alias("fl_wh"))
+    tl = loc.select(F.col("location_id").alias("to_location_id"), F.col("warehouse_id").alias("tl_wh"))
+    m = lookup(lookup(movements, fl, "from_location_id"), tl, "to_location_id")
+    return m.withColumn("wh_key", F.coalesce(F.col("fl_wh"), F.col("tl_wh"))).drop("fl_wh", "tl_wh")
+
+
+def _with_warehouse(t: Tables, movements: DataFrame) -> DataFrame:
+    """Rows with a ``wh_key`` and their warehouse in its place."""
+    w = t["warehouses"].select(F.col("warehouse_id").alias("wh_key"), "warehouse_id", "warehouse_name")
+    return lookup(movements, w, "wh_key").drop("wh_key")
+
+
 def movements_with_warehouse(t: Tables, movements: DataFrame) -> DataFrame:
     """Movements with the warehouse of their from- (else to-) location.
 
@@ -101,13 +116,7 @@ def movements_with_warehouse(t: Tables, movements: DataFrame) -> DataFrame:
     ``COALESCE`` key (still an equi-join).  Unmatched lookups give NULL; rows
     without a location are spread (``operators.joins.lookup``).
     """
-    loc = t["locations"].select("location_id", "warehouse_id")
-    fl = loc.select(F.col("location_id").alias("from_location_id"), F.col("warehouse_id").alias("fl_wh"))
-    tl = loc.select(F.col("location_id").alias("to_location_id"), F.col("warehouse_id").alias("tl_wh"))
-    w = t["warehouses"].select(F.col("warehouse_id").alias("wh_key"), "warehouse_id", "warehouse_name")
-    m = lookup(lookup(movements, fl, "from_location_id"), tl, "to_location_id") \
-        .withColumn("wh_key", F.coalesce(F.col("fl_wh"), F.col("tl_wh")))
-    return lookup(m, w, "wh_key").drop("wh_key", "fl_wh", "tl_wh")
+    return _with_warehouse(t, _with_warehouse_key(t, movements))
 
 
 def product_movement_summary(t: Tables) -> DataFrame:
@@ -116,20 +125,23 @@ def product_movement_summary(t: Tables) -> DataFrame:
     The warehouse is COALESCE(warehouse(from), warehouse(to)), a function of
     (from, to), so grouping by the name adds nothing to the (product, day,
     type, from, to) grouping: movements are aggregated first and the three
-    lookups run on the aggregated rows, not on every movement.
+    lookups run on the aggregated rows, not on every movement.  Movements are
+    shuffled once, on all five columns, for the distinct ids and the sums; the
+    day is a date and the warehouse an id until the last shuffle is over.
     """
-    m = t["inventory_movements"]
     qty, cost = F.col("quantity_moved"), F.col("unit_cost")
-    g = m.groupBy("product_id", bucket(F.col("movement_date"), "day").alias("movement_date"), "movement_type",
-                  "from_location_id", "to_location_id").agg(
+    group = ["product_id", "movement_date", "movement_type", "from_location_id", "to_location_id"]
+    m = t["inventory_movements"].select("movement_id", *group, qty, cost).withColumn("movement_date", F.col("movement_date").cast("date"))
+    # where the rows of a group lie together, the first row of an id is told by their order; a distinct count would hash them four times
+    new = ~F.lag("movement_id").over(Window.partitionBy(*group).orderBy("movement_id")).eqNullSafe(F.col("movement_id"))
+    g = m.repartition(*group).withColumn("new", new).groupBy(*group).agg(
         F.sum(qty).alias("total_quantity_moved"),
-        F.count_distinct("movement_id").alias("movement_count"),
+        F.count(F.when(F.col("new"), F.col("movement_id"))).alias("movement_count"),
         F.sum(cents(cost)).alias("cost_cents"), F.count(cost).alias("cost_n"),
         F.sum(qty * cents(cost)).alias("value_cents"))
-    g = movements_with_warehouse(t, g)
     p = t["products"].select("product_id", "product_name", "product_category")
-    return g.join(p, "product_id", "inner").select(
-        "product_id", "product_name", "product_category", "movement_date", "movement_type",
+    return _with_warehouse(t, _with_warehouse_key(t, g).join(p, "product_id", "inner")).select(
+        "product_id", "product_name", "product_category", F.col("movement_date").cast("timestamp_ntz").alias("movement_date"), "movement_type",
         "from_location_id", "to_location_id", "total_quantity_moved", "movement_count",
         round2(F.col("cost_cents"), F.col("cost_n")).alias("avg_unit_cost"),
         money_from_cents(F.col("value_cents")).alias("total_movement_value"), "warehouse_name")

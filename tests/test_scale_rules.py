@@ -12,7 +12,7 @@ from depotlens.checks.compare import compare, duckdb_con
 from depotlens.functions import rules as R
 from depotlens.operators import snapshots as S
 from depotlens.operators.joins import lookup
-from depotlens.plans import primitives, supply_chain, warehouse
+from depotlens.plans import inventory, primitives, supply_chain, warehouse
 from depotlens.sources.fixtures import AS_OF
 from depotlens.sources.tables import PRIMARY_KEYS, SCHEMAS
 
@@ -103,6 +103,35 @@ def test_null_keys_are_spread(spark, no_broadcast):
     assert tasks > 1
 
 
+def test_lookup_widens_no_row(spark, no_broadcast):
+    """What spreads NULL keys is part of the join's condition, so a dimension is as large as its own columns."""
+    fact = spark.range(50).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    dim = spark.createDataFrame([(3, 30), (3, 31), (6, None), (None, 1)], "k long, d long")
+    j = lookup(fact, dim, "k")
+    sides = j._jdf.queryExecution().optimizedPlan().children().head().children()
+    assert [sides.apply(i).output().size() for i in range(2)] == [2, 2]
+    assert j.columns == ["k", "v", "d"] and lookup(fact, dim, "k", "inner").count() == 3
+    assert sorted(((r.v, r.d) for r in j.collect() if r.v in (0, 1, 3, 6)), key=str) == [(0, None), (1, None), (3, 30), (3, 31), (6, None)]
+
+
+def test_v6_shuffles_movements_once_to_group_them(spark, no_broadcast):
+    """Ids that are NULL, come twice in a group and in two groups; a location that comes twice multiplies its rows."""
+    day, hour = dt.datetime(2001, 5, 1), dt.timedelta(hours=1)
+    t = _tables(spark, warehouses=[(1, "A", "a", "r"), (2, "B", "b", "r")], products=[(1, "p", "c", "s", "EA")],
+                locations=[(10, 1, "storage", None, 1, 1), (11, 2, "storage", None, 1, 1), (11, 2, "storage", None, 1, 1), (12, None, "storage", None, 1, 1)],
+                inventory_movements=[("a", 1, "in", day, 2, None, None, 10), ("a", 1, "in", day + hour, 3, None, None, 10),
+                                     ("b", 1, "in", day, 4, None, None, 10), (None, 1, "in", day, 5, None, None, 10),
+                                     (None, 1, "out", day, 1, None, 12, 11), ("a", 1, "out", day, 1, None, 12, 11),
+                                     ("a", 1, None, None, 7, None, None, None), ("z", None, "in", day, 9, None, None, 10), ("z", 2, "in", day, 9, None, None, 10)])
+    df = inventory.product_movement_summary(t)
+    text = executed(df)
+    assert text.count("Exchange hashpartitioning") == 9 and text.count("Exchange hashpartitioning(product_id#") == 3, text
+    got = sorted((tuple(r[c] for c in ("movement_date", "movement_type", "to_location_id", "total_quantity_moved", "movement_count", "warehouse_name"))
+                  for r in df.collect()), key=str)
+    out = (day, "out", 11, 2, 1, "B")
+    assert got == sorted([(day, "in", 10, 14, 2, "A"), out, out, (None, None, None, 7, 1, None)], key=str)
+
+
 def test_a_changed_bound_shows(spark, monkeypatch):
     """The oracle's bounds are its own: moving one on the Spark side is a mismatch."""
     con = duckdb_con(SF_SMALL)
